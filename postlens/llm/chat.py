@@ -14,7 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
@@ -73,6 +73,15 @@ def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, i
     return before, found, None
 
 
+def _key(conv_id: Column) -> tuple[Column, Column]:
+    """pandas has no null integers: a number and whether it stands for a null."""
+    return F.coalesce(conv_id.cast("long"), F.lit(0)).alias("conv_id"), conv_id.isNull().alias("unknown")
+
+
+def _named() -> Column:
+    return F.when(~F.col("unknown"), F.col("conv_id")).alias("conv_id")
+
+
 def format_conversations(rows: DataFrame, template: Template = instruct_template, read: Callable = read_turn) -> DataFrame:
     """One row per conversation of rows (conv_id, turn, role, text): conv_id, formatted, turn_spans, loss_spans, rewritten_at.
 
@@ -82,12 +91,14 @@ def format_conversations(rows: DataFrame, template: Template = instruct_template
     conv_id is a conversation; an empty table gives none.
     """
     slim = rows.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        *_key(F.col("conv_id")), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    dealt = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = slim.repartition("conv_id").sortWithinPartitions("conv_id", "unknown", "turn", "role", "text")
+
+    columns = ["conv_id", "unknown", "formatted", "turn_spans", "loss_spans", "rewritten_at"]
 
-    def one(conv_id, turns: list[Turn]) -> dict:
+    def one(key, turns: list[Turn]) -> dict:
         formatted, found, rewritten = spans(turns, template)
         loss = []
         if rewritten is None:
@@ -95,38 +106,38 @@ def format_conversations(rows: DataFrame, template: Template = instruct_template
                 role, _, start, stop = read(formatted[a:b])
                 if role == "assistant":
                     loss.append((a + start, a + stop))
-        return {"conv_id": conv_id, "formatted": formatted, "turn_spans": found, "loss_spans": loss, "rewritten_at": rewritten}
+        return {"conv_id": key[0], "unknown": key[1], "formatted": formatted, "turn_spans": found, "loss_spans": loss, "rewritten_at": rewritten}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["conv_id", "formatted", "turn_spans", "loss_spans", "rewritten_at"]
         key, turns, done = (), [], []
         for pdf in batches:
-            ids = pdf["conv_id"].astype("object").where(pdf["conv_id"].notna(), None)
-            for conv_id, role, text in zip(ids.tolist(), pdf["role"].tolist(), pdf["text"].tolist(), strict=True):
-                if (conv_id,) != key:
+            for conv_id, unknown, role, text in zip(*(pdf[c].tolist() for c in ("conv_id", "unknown", "role", "text")), strict=True):
+                if (conv_id, unknown) != key:
                     if turns:
-                        done.append(one(key[0], turns))
-                    key, turns = (conv_id,), []
+                        done.append(one(key, turns))
+                    key, turns = (conv_id, unknown), []
                     if len(done) >= 500:
-                        yield pd.DataFrame(done, columns=columns).astype({"rewritten_at": "object", "conv_id": "object"})
+                        yield pd.DataFrame(done, columns=columns).astype({"rewritten_at": "Int32"})
                         done = []
                 turns.append((role, text))
         if turns:
-            done.append(one(key[0], turns))
+            done.append(one(key, turns))
         if done:
-            yield pd.DataFrame(done, columns=columns).astype({"rewritten_at": "object", "conv_id": "object"})
+            yield pd.DataFrame(done, columns=columns).astype({"rewritten_at": "Int32"})
 
-    schema = "conv_id long, formatted string, turn_spans array<struct<start:long,stop:long>>, loss_spans array<struct<start:long,stop:long>>, rewritten_at int"
-    return dealt.mapInPandas(run, schema)
+    schema = "conv_id long, unknown boolean, formatted string, turn_spans array<struct<start:long,stop:long>>, loss_spans array<struct<start:long,stop:long>>, rewritten_at int"
+    return dealt.mapInPandas(run, schema).select(_named(), *columns[2:])
 
 
 def digests(formatted: DataFrame, read: Callable = read_turn) -> DataFrame:
     """What format_conversations wrote, read back from it: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
 
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for conv_id, text, turn_spans, loss_spans in zip(pdf["conv_id"].tolist(), pdf["formatted"], pdf["turn_spans"], pdf["loss_spans"], strict=True):
+            for text, turn_spans, loss_spans in zip(pdf["formatted"], pdf["turn_spans"], pdf["loss_spans"], strict=True):
                 turns, loss = hashlib.sha256(), hashlib.sha256()
                 for s in turn_spans:
                     role, said, _, _ = read(text[s["start"] : s["stop"]])
@@ -136,10 +147,8 @@ def digests(formatted: DataFrame, read: Callable = read_turn) -> DataFrame:
                     said = unescaped(text[s["start"] : s["stop"]])
                     chars += len(said)
                     loss.update(said.encode())
-                rows.append((conv_id, len(turn_spans), turns.hexdigest(), chars, loss.hexdigest(), len(text)))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            yield out.astype({"conv_id": "object"}).where(out["conv_id"].notna(), None) if out["conv_id"].isna().any() else out
+                rows.append((len(turn_spans), turns.hexdigest(), chars, loss.hexdigest(), len(text)))
+            yield pd.concat([pdf[["conv_id", "unknown"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    return formatted.select("conv_id", "formatted", "turn_spans", "loss_spans").mapInPandas(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    schema = "conv_id long, unknown boolean, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formatted.select(*_key(F.col("conv_id")), "formatted", "turn_spans", "loss_spans").mapInPandas(run, schema).select(_named(), *names)

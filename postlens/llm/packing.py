@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,24 +155,24 @@ def pack(cut: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, group
     # the hash of the whole row deals repeated ids evenly too
     number = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups))
     dealt = open_rows.withColumn("_group", number).repartition(groups, "_group").sortWithinPartitions("_group", F.xxhash64("doc_id", "piece"), *order)
-    names = [*cut.columns, "sequence_id", "offset"]
+    columns = cut.columns
+    names = [*columns, "sequence_id", "offset"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bins, feed = None, None, []
-        for pdf in batches:
+        for batch in batches:
             places = []
-            for g, n in zip(pdf["_group"].tolist(), pdf["length"].tolist(), strict=True):
+            for g, n in zip(batch.column("_group").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 if g != group:
                     group, feed = g, []
                     bins = best_fit(iter(lambda feed=feed: feed.pop(), None), length, open_bins)
                 feed.append(n)
                 bin_, place = next(bins)
                 places.append((2 * (bin_ * groups + g), place))
-            pdf["sequence_id"] = [x[0] for x in places]
-            pdf["offset"] = [x[1] for x in places]
-            yield pdf[names]
+            ends = [pa.array([x[i] for x in places], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *ends], names)
 
-    packed = dealt.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long")
+    packed = dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long")
     # a full piece is a sequence: odd numbers, gaps are allowed
     full = cut.filter(F.col("length") == length).select(*cut.columns, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.select(*names).unionByName(full)

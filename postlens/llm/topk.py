@@ -31,12 +31,12 @@ _LONG = np.iinfo(np.int64)
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vectors: vec_id, embedding. Returns vec_id, v (floor(scale * x) as doubles), norm, dim; unfit vectors are left out.
 
-    Unfit: null, empty, or with a null or non-finite component, before or after scaling.
+    Unfit: null, without an id, empty, or with a null or non-finite component, before or after scaling.
     """
     x = F.transform("embedding", lambda e: F.floor(e.cast("double") * scale).cast("double"))
     fit = F.size("embedding") > 0
     finite = ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) * scale > 9e18))
-    data = vectors.filter(F.col("embedding").isNotNull() & fit).filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+    data = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fit).filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
     return data.withColumns({"norm": norm, "dim": F.size("v")})
 
@@ -83,8 +83,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
     """vectors: vec_id, embedding; is_query: a condition on vec_id. Returns query_id, rank, vec_id, score.
 
     Candidates of a query: every fit vector of its dimension but those with its own id. Rows that repeat
-    an id are candidates as often; scores beyond a long are shown as its end, ordered as such. Null ids
-    are candidates, not queries. Fewer candidates than k give fewer rows, an empty table none.
+    an id are candidates as often; scores beyond a long are shown as its end, ordered as such. Fewer candidates than k give fewer rows, an empty table none.
     """
     spark = vectors.sparkSession
     data = written(integer_vectors(vectors, scale), "topk-vectors")
@@ -96,7 +95,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
     chunks = {(r.dim, r.bucket): -(-r.n // CHUNK_ROWS) for r in shape}
     shape_rows = spark.createDataFrame([(r.dim, r.bucket, r.top, chunks[r.dim, r.bucket]) for r in shape], "dim int, bucket int, top double, chunks int")
 
-    queries = data.filter(is_query & F.col("vec_id").isNotNull())
+    queries = data.filter(is_query)
     seeds = {d: pd.DataFrame(r) for d in {r.dim for r in shape} if (r := [x.asDict() for x in data.filter(F.col("dim") == d).orderBy(F.desc("norm"), "vec_id").limit(SEED_ROWS).select("vec_id", "v").collect()])}
     held = spark.sparkContext.broadcast(seeds)  # SEED_ROWS vectors a dimension
 
