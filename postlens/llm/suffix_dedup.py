@@ -8,8 +8,10 @@ first, exactly:
    windows have equal anchors at equal places. Neighbouring windows with the same anchor form a run of
    one context (their bytes together). Runs are rows: hash of the anchor, digest of the context.
 2. A run whose anchor is met once repeats nowhere. A run whose context is met again repeats whole.
-3. What is left are runs with a known anchor in a new context: the edges of repeats. Only their windows
-   are spelt out as suffixes. Sampled splitters range-partition the suffixes by their leading tokens,
+3. What is left are runs with a known anchor in a new context: the edges of repeats. They are cut into
+   parts of STEP windows by the distance to the anchor. A part whose core (the bytes that all its windows
+   share) is met once repeats nowhere, one whose hull (all its bytes) is met again repeats whole.
+4. Only parts of one core and several hulls have their windows spelt out as suffixes. Sampled splitters range-partition the suffixes by their leading tokens,
    each bucket sorts its own by multikey quicksort, and equal neighbours repeat. A frequent suffix may
    straddle buckets; the edges of all buckets are compared with each other.
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 LENGTH, GRAM = 400, 128
+STEP = 17
 #: Windows that are hashed at once; the low bits of a packed hash hold a place in such a block.
 BLOCK = 1 << 20
 BUCKET_ROWS = 300_000
@@ -115,8 +118,8 @@ def _context(raw: memoryview, first: int, last: int, anchor: int, length: int) -
 
 
 def anchored(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """texts: t (key), raw (binary). Returns t, first, last (windows, places in the text), anchor (hash), context (digest)."""
-    names = ["t", "first", "last", "anchor", "context"]
+    """texts: t (key), raw (binary). Returns t, first, last (windows, places in the text), left (first to the anchor), anchor (hash), context (digest)."""
+    names = ["t", "first", "last", "left", "anchor", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,10 +133,10 @@ def anchored(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                 shift = np.array([s[3] - s[1] for s in spans], np.int64)[owner] if len(first) else first
                 rows = [spans[o][0] for o in owner.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[r] for r in rows], pa.binary()), pa.array(first + shift, pa.int64()), pa.array(last + shift, pa.int64()), pa.array(hashes, pa.int64()), pa.array(digests, pa.binary())], names
+                    [pa.array([keys[r] for r in rows], pa.binary()), pa.array(first + shift, pa.int64()), pa.array(last + shift, pa.int64()), pa.array((place - first).astype(np.int32), pa.int32()), pa.array(hashes, pa.int64()), pa.array(digests, pa.binary())], names
                 )
 
-    return texts.select("t", "raw").mapInArrow(run, "t binary, first long, last long, anchor long, context binary")
+    return texts.select("t", "raw").mapInArrow(run, "t binary, first long, last long, left int, anchor long, context binary")
 
 
 def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
@@ -153,10 +156,43 @@ def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.arange(0)
 
 
+def _parts(reps: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """reps: t, first, last, left, anchor, context. One row a part: t, begin, end (windows), offset (begin from the run's first), anchor, context, sub, core, hull."""
+    wanted = reps.groupBy("t").agg(F.collect_list(F.struct("first", "last", "left", "anchor", "context")).alias("wanted"))  # bounded by a text's length
+    names = ["t", "begin", "end", "offset", "anchor", "context", "sub", "core", "hull"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+
+    def of(t: bytes, raw: bytes, w: dict) -> Iterator[tuple]:
+        at = w["first"] + w["left"]
+        for sub in range((at - w["last"]) // STEP, w["left"] // STEP + 1):
+            near, far = sub * STEP, sub * STEP + STEP - 1
+            begin, end = max(w["first"], at - far), min(w["last"], at - near)
+            core = xxhash.xxh3_64_intdigest(raw[at - near : at - far + length]) - (1 << 63)
+            hull = hashlib.blake2b(raw[begin : end + length], digest_size=16, key=b"%d %d" % (at - end, at - begin)).digest()
+            yield t, begin, end, begin - w["first"], w["anchor"], w["context"], sub, core, hull
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for batch in batches:
+            for t, raw, wanted in zip(*batch.columns, strict=True):
+                t, raw = t.as_py(), raw.as_buffer().to_pybytes()
+                for w in wanted.as_py():
+                    rows += of(t, raw, w)
+                    if len(rows) >= 20_000:
+                        yield batch_of()
+                        rows = []
+        if rows:
+            yield batch_of()
+
+    schema = "t binary, begin long, end long, offset int, anchor long, context binary, sub int, core long, hull binary"
+    return texts.join(wanted, "t").select("t", "raw", "wanted").mapInArrow(run, schema)
+
+
 def _suffixes(reps: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """reps: t, first, last, anchor, context. One row a window: lead (8 bytes), d1, d2 (of all bytes), anchor, context, at (from the run's first)."""
-    wanted = reps.groupBy("t").agg(F.collect_list(F.struct("first", "last", "anchor", "context")).alias("wanted"))  # bounded by a text's length
-    names = ["lead", "d1", "d2", "anchor", "context", "at"]
+    """reps: t, begin, end, anchor, hull. One row a window: lead (8 bytes), d1, d2 (of all bytes), anchor, hull, at (from begin)."""
+    wanted = reps.groupBy("t").agg(F.collect_list(F.struct("begin", "end", "anchor", "hull")).alias("wanted"))  # bounded by a text's length
+    names = ["lead", "d1", "d2", "anchor", "hull", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -170,27 +206,27 @@ def _suffixes(reps: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             for raw, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 raw = raw.as_buffer().to_pybytes()
                 for w in wanted.as_py():
-                    for at in range(w["first"], w["last"] + 1):
+                    for at in range(w["begin"], w["end"] + 1):
                         window = raw[at : at + length]
                         d = hashlib.blake2b(window, digest_size=16).digest()
                         # the sign bit is turned so that Spark's order of longs is the order of bytes
                         lead = int.from_bytes(window[:8], "big") ^ (1 << 63)
-                        rows.append((lead, int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big"), w["anchor"], w["context"], at - w["first"]))
+                        rows.append((lead, int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big"), w["anchor"], w["hull"], at - w["begin"]))
                     if len(rows) >= 20_000:
                         yield batch_of(rows)
                         rows = []
         if rows:
             yield batch_of(rows)
 
-    return texts.join(wanted, "t").select("raw", "wanted").mapInArrow(run, "lead long, d1 long, d2 long, anchor long, context binary, at int")
+    return texts.join(wanted, "t").select("raw", "wanted").mapInArrow(run, "lead long, d1 long, d2 long, anchor long, hull binary, at int")
 
 
 def _repeated(suffixes: DataFrame) -> DataFrame:
-    """anchor, context, at of the suffixes that are met twice or more."""
+    """anchor, hull, at of the suffixes that are met twice or more."""
     buckets = max(1, -(-suffixes.count() // BUCKET_ROWS))
     key = ["lead", "d1", "d2"]
     # the whole row is the range key: one frequent suffix may fill many buckets
-    dealt = suffixes.repartitionByRange(buckets, *key, "anchor", "context", "at")
+    dealt = suffixes.repartitionByRange(buckets, *key, "anchor", "hull", "at")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)  # a bucket, of BUCKET_ROWS rows or so
@@ -207,13 +243,13 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
         pdf["edge"] = (pdf[key] == first).all(axis=1) | (pdf[key] == last).all(axis=1)
         yield pdf[pdf["repeats"] | pdf["edge"]]
 
-    found = dealt.mapInPandas(run, "lead long, d1 long, d2 long, anchor long, context binary, at int, repeats boolean, edge boolean")
+    found = dealt.mapInPandas(run, "lead long, d1 long, d2 long, anchor long, hull binary, at int, repeats boolean, edge boolean")
     found = written(found, "suffix-repeats")
     # across boundaries: an edge that is alone in its bucket repeats if another bucket has it as an edge
     lone = found.filter("edge and not repeats")
     edges = found.filter("edge").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     straddling = lone.join(edges, key, "left_semi")
-    return found.filter("repeats").unionByName(straddling).select("anchor", "context", "at")
+    return found.filter("repeats").unionByName(straddling).select("anchor", "hull", "at")
 
 
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -242,16 +278,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     met = written(rows.join(contexts, ["anchor", "context"]), "suffix-met")
 
     own = written(texts.join(met.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"]), "suffix-texts")
-    new = met.filter("kinds > 1").groupBy("anchor", "context").agg(F.min(F.struct("t", "first", "last")).alias("r")).select("r.*", "anchor", "context")
-    suffixes = written(_suffixes(new, own, length), "suffixes")
-    again = _repeated(suffixes).groupBy("anchor", "context").agg(F.array_sort(F.collect_set("at")).alias("ats"))  # at most length - gram + 1
-    whole = met.filter("n > 1").select("t", "first", (F.col("last") + length).alias("stop"))
-    part = (
-        met.filter("n = 1")
-        .join(again, ["anchor", "context"])
-        .select("t", "first", F.explode("ats").alias("at"))
-        .select("t", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at") + length).alias("stop"))
+    new = met.filter("kinds > 1").groupBy("anchor", "context").agg(F.min(F.struct("t", "first", "last", "left")).alias("r")).select("r.*", "anchor", "context")
+    parts = written(_parts(new, own, length), "suffix-parts")
+    core = ["anchor", "sub", "core"]
+    cores = parts.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*core)
+    live = written(parts.join(cores, core, "left_semi"), "suffix-live")
+    hulls = written(live.groupBy(*core, "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "begin", "end")).alias("r")), "suffix-hulls")
+    mixed = hulls.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*core)
+    spelt = hulls.join(mixed, core, "left_semi").select("r.*", "anchor", "hull")
+    again = _repeated(written(_suffixes(spelt, own, length), "suffixes"))
+    size = F.col("end") - F.col("begin")
+    inside = (
+        live.join(hulls.filter("n > 1").select("anchor", "hull"), ["anchor", "hull"])
+        .select("anchor", "context", F.col("offset").alias("a"), (F.col("offset") + size).alias("b"))
+        .unionByName(live.join(again, ["anchor", "hull"]).select("anchor", "context", (F.col("offset") + F.col("at")).alias("a"), (F.col("offset") + F.col("at")).alias("b")))
     )
+    whole = met.filter("n > 1").select("t", "first", (F.col("last") + length).alias("stop"))
+    part = met.filter("n = 1").join(inside, ["anchor", "context"]).select("t", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b") + length).alias("stop"))
     spans = whole.unionByName(part).groupBy("t").agg(F.collect_set(F.struct(F.col("first").alias("start"), "stop")).alias("spans"))  # bounded by a text's length
     return spans, own
 
