@@ -18,14 +18,14 @@ SQL: dict[str, str] = {}
 def with_tables(body: str) -> str:
     """body behind the definitions of the logical tables that it names, directly or not."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def add(text: str) -> None:
-        for name in re.findall(r"\b[a-z_]+\b", text):
-            if name in CTES and name not in needed:
-                needed.append(name)
-                at = len(needed) - 1
+        for name in re.findall(r"(?<!')\b[a-z_]+\b(?!')", text):
+            if name in CTES and name not in seen:
+                seen.add(name)
                 add(CTES[name])
-                needed.append(needed.pop(at))
+                needed.append(name)
 
     add(body)
     heads = ", ".join(f"{n} as ({CTES[n]})" for n in needed)

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 AS_OF, EVENTS_AS_OF = "2001-08-01", "2024-01-31"
 
 
+RESUME_WORDS = (
+    ("the", "医院"), ("of", "助理"), ("and", "2021-2023"), ("in", "项目"), ("to", "熟悉SPSS"), ("is", "硕士"), ("with", "大学"), ("this", "发表论文"), ("der", "护士资格证"), ("die", "英语"), ("und", "六级"), ("le", "一等奖"), ("la", "教学"),
+    ("el", "未取得"), ("en", "2019.3至今"), ("The", "- "), ("For", "【教育经历】"), ("As", "技能"), ("Der", "一、工作经历"),
+)
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -41,7 +47,7 @@ class Tables:
         return self.read("supplier").agg(F.count(F.lit(1)).alias("sources"))
 
     def _institution_of(self, key) -> F.Column:
-        return (key % F.col("sources") + 1).cast("long")
+        return (key % F.col("sources")).cast("long")
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -111,8 +117,8 @@ class Tables:
     @cached_property
     def subscriptions(self) -> DataFrame:
         k = F.col("s_suppkey")
-        words = F.array(*map(F.lit, ("urgent", "HIGH", "Customer#00000001", "machinery", "specified", " ", "build")))
-        ids = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: (k + i * 3) % F.col("sources") + 1)
+        words = F.array(*map(F.lit, ("urgent", "HIGH", "customer", "machinery", "specified", " ", "build")))
+        ids = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: (k + i * 3) % F.col("sources"))
         at = F.timestamp_add("DAY", (k % 900).cast("int"), F.lit("1999-01-01").cast("timestamp"))
         return (
             self.read("supplier")
@@ -144,6 +150,15 @@ class Tables:
         cut = self.postings_text.select(F.col("id").alias("job_id"), F.posexplode(F.split(F.regexp_replace("body", "\n", " "), "[.!]")).alias("ord", "clause"))
         return cut.withColumns({"clause": F.trim("clause"), "ord": F.col("ord").cast("long")}).filter(F.length("clause").between(12, 80))
 
+    @cached_property
+    def resume_lines(self) -> DataFrame:
+        """Lines of documents in which some words stand for the vocabulary of resumes, so that its rules have hits and misses."""
+        text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[.!?] ", "\n")
+        for word, said in RESUME_WORDS:
+            text = F.regexp_replace(text, rf"\b{word}\b", said)
+        cut = self.read("documents").select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "text"))
+        return cut.withColumn("text", F.trim("text"))
+
     @cached_property
     def facts(self) -> DataFrame:
         return self.read("conversations").select(
@@ -167,7 +182,7 @@ class Tables:
         return self.read("part").filter("p_size < 40").select(F.col("p_partkey").alias("field_id"))
 
 
-_INST = "({key}) % (select count(*) from supplier) + 1"
+_INST = "({key}) % (select count(*) from supplier)"
 
 CTES = {
     "institutions": """select s_suppkey as id, s_name as name, r_name as institution_type, n_name as region, 'https://org' || s_suppkey || '.example/' as official_url,
@@ -189,10 +204,10 @@ CTES = {
         case when event_type = 'error' then 0 else floor(abs(value))::bigint % 4 end as n_postings, case when event_type = 'error' then case when event_id % 2 = 0 then 'network' else 'outbound_blocked' end end as error_type,
         case when user_id % 3 = 0 then 'manual' else 'auto' end as trigger from events""",
     "postings_text": "select doc_id as id, source as institution, lang as region, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(text, '') as body from documents",
-    "subscriptions": """select s_suppkey as id, s_suppkey % 20 as user_id, ['urgent', 'HIGH', 'Customer#00000001', 'machinery', 'specified', ' ', 'build'][s_suppkey % 7 + 1] as keyword,
-        list_distinct([(s_suppkey + i * 3) % (select count(*) from supplier) + 1 for i in range(0, s_suppkey % 4 + 1)]) as institution_ids,
+    "subscriptions": """select s_suppkey as id, s_suppkey % 20 as user_id, ['urgent', 'HIGH', 'customer', 'machinery', 'specified', ' ', 'build'][s_suppkey % 7 + 1] as keyword,
+        list_distinct([(s_suppkey + i * 3) % sources for i in range(0, s_suppkey % 4 + 1)]) as institution_ids,
         timestamp '1999-01-01' + to_days((s_suppkey % 900)::int) as last_checked_at, case when s_suppkey % 3 = 0 then timestamp '1999-01-01' + to_days((s_suppkey % 900 + 60)::int) end as last_pushed_at,
-        timestamp '1999-01-01' + to_days((s_suppkey % 900 - 30)::int) as created_at, s_suppkey % 17 = 0 as deleted from supplier""",
+        timestamp '1999-01-01' + to_days((s_suppkey % 900 - 30)::int) as created_at, s_suppkey % 17 = 0 as deleted from supplier, (select count(*) as sources from supplier)""",
     "intervals": """select o_custkey as user_id, case when o_orderkey % 3 = 0 then 'education' else 'experiences' end as collection, o_orderkey as item_id,
         case when o_orderkey % 29 = 0 then strftime(o_orderdate, '%Y.%m') when o_orderkey % 23 = 0 then strftime(o_orderdate, '%Y') when o_orderkey % 19 = 0 then strftime(o_orderdate, '%Y-%-m') else strftime(o_orderdate, '%Y-%m-%d') end as start_raw,
         case when o_orderkey % 31 = 0 then 'present' when days is null then '' else strftime(o_orderdate::date + days, '%Y-%-m-%-d') end as end_raw
