@@ -72,8 +72,8 @@ def run_summary(t: Tables):
     return _summary(t)
 
 
-@query(f"""select run_id, institution_id, sum(case when outcome = 'success' then n_postings else 0 end) over w::bigint as success_so_far, sum((outcome <> 'success')::int) over w::bigint as failures_so_far
-    from ({_OUT}) window w as (partition by run_id order by institution_id rows unbounded preceding)""".replace("over w::bigint", "over w"))
+@query(f"""select run_id, institution_id, (sum(case when outcome = 'success' then n_postings else 0 end) over w)::bigint as success_so_far, (sum((outcome <> 'success')::int) over w)::bigint as failures_so_far
+    from ({_OUT}) window w as (partition by run_id order by institution_id rows unbounded preceding)""")
 def run_progress(t: Tables):
     return ingest.run_progress(_outcomes(t)).select("run_id", "institution_id", "success_so_far", "failures_so_far")
 
@@ -96,8 +96,8 @@ def run_targets(t: Tables):
     return every.withColumn("asked", F.lit("all")).unionByName(some.withColumn("asked", F.lit("list"))).unionByName(ingest.run_targets(t.institutions, []).withColumn("asked", F.lit("none")))
 
 
-_HLOG = """select institution_id, seq, sum((not ok)::int) over (partition by institution_id, island order by seq)::bigint as consecutive_failures
-    from (select *, sum(ok::int) over (partition by institution_id order by seq) as island from outcomes)""".replace("order by seq)::bigint", "order by seq)")
+_HLOG = """select institution_id, seq, sum((not ok)::int) over (partition by institution_id, island order by seq) as consecutive_failures
+    from (select *, sum(ok::int) over (partition by institution_id order by seq) as island from outcomes)"""
 _HEALTH = f"select institution_id, arg_max(consecutive_failures, seq)::bigint as consecutive_failures, max(seq) as last_seq from ({_HLOG}) group by 1"
 
 

@@ -154,7 +154,7 @@ def draft_appendix(t: Tables):
     )
 
 
-@query("""select l_orderkey as k, l_linenumber as n, case when l_linenumber = 4 then 'plain' else l_returnflag end as head, case when l_linenumber = 4 then null else l_linestatus || case when l_linenumber % 2 = 0 then '' else ' · x' end end as role,
+@query("""select l_orderkey as k, l_linenumber::bigint as n, case when l_linenumber = 4 then 'plain' else l_returnflag end as head, case when l_linenumber = 4 then null else l_linestatus || case when l_linenumber % 2 = 0 then '' else ' · x' end end as role,
     case when l_linenumber = 4 then null when l_linenumber % 2 = 0 then strftime(l_shipdate, '%Y-%m') end as period, case when l_linenumber % 3 = 0 then 'a|b' else '' end as details, count(*) as c from lineitem where l_linenumber <> 6 group by all""")
 def entry_structure(t: Tables):
     n = F.col("l_linenumber")
@@ -222,8 +222,8 @@ def sub_empty_30d(t: Tables):
     return S.sub_empty_30d(t.subscriptions.filter("not deleted"), _watching(t), t.jobs, AS_OF).select("id")
 
 
-@query(f"""select id, matched, total, trunc(matched / total * 100)::bigint as percent from (select id, count(*) as total from ({_ACTIVE}) w join jobs j using (institution_id) group by all having true) x
-    join (select id, count(*) as matched from ({_HITS}) where {_WORD} group by 1) using (id) where matched / total > 0.5""".replace("select id, count(*) as total from", "select w.id, count(*) as total from").replace("join jobs j using (institution_id)", "join jobs j on j.institution_id = w.institution_id"))
+@query(f"""select id, matched, total, trunc(matched / total * 100)::bigint as percent from (select w.id, count(*) as total from ({_ACTIVE}) w join jobs j on j.institution_id = w.institution_id group by 1)
+    join (select id, count(*) as matched from ({_HITS}) where {_WORD} group by 1) using (id) where matched / total > 0.5""")
 def sub_broad_keyword(t: Tables):
     return S.sub_broad_keyword(_watching(t), t.jobs)
 

@@ -108,7 +108,6 @@ def txt_clean_invisible(t: Tables):
 
 
 _TOK = "list_filter(regexp_extract_all(lower({c}), '[a-z][a-z0-9+#.]*|\\d+(?:\\.\\d+)?'), lambda w: not regexp_matches(w, '^\\d+$') and w not in (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))"
-_IDF = f"""select token, df, round_even(ln((n + 1) / (df + 1)) + 1, 4) as idf from (select unnest(list_distinct({_TOK.format(c='clause')})) as token, count(*) as df from requirements group by 1), (select count(*) as n from requirements)"""
 _IDF = f"""select token, df, round_even(ln((n + 1) / (df + 1)) + 1, 4) as idf from (select token, count(*) as df from (select unnest(list_distinct({_TOK.format(c='clause')})) as token from requirements) group by 1), (select count(*) as n from requirements)"""
 
 
