@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import written
 from .graph import components
 
@@ -124,3 +125,16 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     gone = near_duplicates(docs, **how).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def keep_dissimilar(docs: DataFrame, words: int = similar.WORDS, similarity: float = similar.SIMILARITY) -> DataFrame:
+    """The rows of docs that stay when groups of texts alike in their word shingles keep their smallest doc_id.
+
+    Candidates are the links of this module's index on fingerprints of `words`-word shingles and the bands
+    of `similar`, which meets what lies further apart; each pair is verified on its whole sets, so documents
+    below the similarity stay. Rows that repeat an id stay or go together; rows without an id stay.
+    """
+    close = near_duplicates(docs, shingle=words).select(F.col("doc_id").alias("doc"), F.col("component_id").alias("other"))
+    groups = written(similar.groups(docs.select("doc_id", "text"), close, words, similarity), "similar-groups")
+    gone = groups.filter("node <> root").select(F.col("node").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

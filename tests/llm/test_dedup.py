@@ -99,6 +99,32 @@ def test_simhash_links_of_dense_codes(spark):
             assert len({got.get(m, m) for m in members}) == 1
 
 
+def test_keep_dissimilar_hub(spark):
+    """Copies that are alike to their original only are found through it."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(120):
+        copy = list(words)
+        for at in rnd.sample(range(80), 6):
+            copy[at * 5] = f"x{i}_{at}"
+        texts.append(" ".join(copy))
+    texts.insert(60, " ".join(words))
+    texts += [" ".join(words[:200] + [f"y{i}_{j}" for j in range(200)]) for i in range(60)]
+    kept = {r.doc_id for r in simhash.keep_dissimilar(docs_of(spark, texts)).collect()}
+    assert kept == {0, *range(121, 181)}
+
+
+def test_keep_dissimilar_edges(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  b"), (6, "a b c"), (None, "a b"), (None, None), (7, "p q r"), (7, "a b"), (8, "z " * 300_000), (9, "Z " * 200_000)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, u int, node int")
+    kept = simhash.keep_dissimilar(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, (r.text or "")[:5]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, ""), (4, "a b"), (6, "a b c"), (None, "a b"), (None, ""), (8, "z z z")], key=str)
+    assert simhash.keep_dissimilar(docs.limit(0)).count() == 0
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 

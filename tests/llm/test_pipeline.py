@@ -8,15 +8,26 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 pipeline = importlib.import_module("corpus_pipeline")
 
-from postlens.llm.simhash import fingerprint  # noqa: E402
-
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def edited(rnd, text, times):
+    words = text.split()
+    for _ in range(times):
+        words[rnd.randrange(len(words))] = f"x{rnd.randrange(9999)}"
+    return " ".join(words)
+
+
 def test_stages(spark, tmp_path):
     rnd = random.Random(11)
     base = [" ".join(f"w{rnd.randrange(500)}" for _ in range(rnd.randrange(20, 200))) for _ in range(150)]
     texts = [t + (" vile" if i % 6 == 0 else "") for i, t in enumerate(base)] * 2
+    texts += [edited(rnd, t, 1 + len(t.split()) // 60) for t in base if len(t.split()) > 60]
     texts += [base[3] + "\n", base[4].replace("w", "W", 1), None, "", "a b"]
     rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -44,16 +55,17 @@ def test_stages(spark, tmp_path):
     kept = {min(g)[1] for g in groups.values()}
     assert {r.doc_id for r in seen["exact_dedup"]} == kept
 
-    fps = {r.doc_id: fingerprint((r.text or "").encode()) for r in seen["exact_dedup"]}
-    root = {i: i for i in fps}
-    for _ in fps:
-        for a in sorted(fps):
-            for b in fps:
-                if (fps[a] ^ fps[b]).bit_count() <= 2:
+    sets = {r.doc_id: shingles(r.text or "") for r in seen["exact_dedup"]}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sorted(sets):
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
-        if all(root[root[i]] == root[i] for i in fps):
+        if all(root[root[i]] == root[i] for i in sets):
             break
     assert {r.doc_id for r in seen["simhash_near_dedup"]} == set(root.values())
+    assert len(set(root.values())) < len(sets) - 20
 
     once = {r.doc_id: tuple(r) for r in seen["simhash_near_dedup"]}
     assert seen["source_mixing"] and all(once[r.doc_id] == tuple(r) for r in seen["source_mixing"])
