@@ -127,6 +127,16 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
+def linked_pairs(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED, list_cap: int = LIST_CAP) -> DataFrame:
+    """doc, other: each document with the least of its fingerprint, and these where `links` joins their fingerprints."""
+    slim = written(fingerprints(docs, shingle, seed).filter("doc_id is not null"), "simhash-fingerprints")
+    nodes = written(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    equal = slim.join(nodes, "fp").filter("doc_id <> first").select(F.col("doc_id").alias("doc"), F.col("first").alias("other"))
+    of_u, of_v = nodes.select(F.col("fp").alias("u"), F.col("first").alias("doc")), nodes.select(F.col("fp").alias("v"), F.col("first").alias("other"))
+    near = links(nodes.select("fp"), bits, list_cap).join(of_u, "u").join(of_v, "v").select("doc", "other")
+    return equal.unionByName(near).distinct()
+
+
 def keep_dissimilar(docs: DataFrame, words: int = similar.WORDS, similarity: float = similar.SIMILARITY) -> DataFrame:
     """The rows of docs that stay when groups of texts alike in their word shingles keep their smallest doc_id.
 
@@ -134,7 +144,7 @@ def keep_dissimilar(docs: DataFrame, words: int = similar.WORDS, similarity: flo
     of `similar`, which meets what lies further apart; each pair is verified on its whole sets, so documents
     below the similarity stay. Rows that repeat an id stay or go together; rows without an id stay.
     """
-    close = near_duplicates(docs, shingle=words).select(F.col("doc_id").alias("doc"), F.col("component_id").alias("other"))
+    close = linked_pairs(docs, shingle=words)
     groups = written(similar.groups(docs.select("doc_id", "text"), close, words, similarity), "similar-groups")
     gone = groups.filter("node <> root").select(F.col("node").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import xxhash
-from postlens.llm import exact_dedup, line_dedup, simhash, suffix_dedup
+from postlens.llm import exact_dedup, line_dedup, simhash, similar, suffix_dedup
 
 SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, kept string"
@@ -115,6 +115,31 @@ def test_keep_dissimilar_hub(spark):
     assert kept == {0, *range(121, 181)}
 
 
+def test_keep_dissimilar_without_original(spark, monkeypatch):
+    """Copies of a text that is not in the table: most lie below the similarity, and each link between them counts."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(304)]
+    texts = []
+    for i in range(500):
+        copy = list(words)
+        for at in rnd.sample(range(304), 5):
+            copy[at] = f"x{i}_{at}"
+        texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(300)} for t in texts]
+    root = list(range(500))
+    for i in range(500):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (600 - common) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    monkeypatch.setattr(similar, "PART_DOCS", 60, raising=False)  # several parts a bucket
+    kept = {r.doc_id for r in simhash.keep_dissimilar(docs_of(spark, texts)).collect()}
+    due = 500 - len(set(root))
+    gone = 500 - len(kept)
+    assert due > 20 and kept >= set(root) and gone >= 0.99 * due, (due, gone)
+
+
 def test_keep_dissimilar_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  b"), (6, "a b c"), (None, "a b"), (None, None), (7, "p q r"), (7, "a b"), (8, "z " * 300_000), (9, "Z " * 200_000)]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, u int, node int")
