@@ -3,7 +3,8 @@
 A document of source s is repeated as often as a Poisson variable with mean rate(s) says. The variable
 is the inverse of the distribution at a number that a hash of seed and document fixes, so a rerun of a
 task gives the same copies. rate(s) = weight(s) * total / size(s): the expected size stays the total,
-and each source's expected share is its weight. Sizes are UTF-8 bytes or rows.
+and each source's expected share is its weight. Sizes are UTF-8 bytes or rows. A rate above `PART_RATE` is
+the sum of independent draws of equal rates, as the sum of Poisson variables is one of the summed rate.
 
 Null sources are a source of their own. Sources without a weight share what is left of 1, or the mean
 weight if nothing is left. Sources of no size have rate 0. Equal ids draw equal copies.
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, unit_hash, written
 
 SEED = "mix-1"
-#: Of a distribution of which mass 2**-53 or less is left, no further count is tabled.
-MAX_RATE = 64.0
+#: The greatest rate of one draw: its table is short, and exp(-rate) far from the least double.
+PART_RATE = 64.0
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "bytes") -> DataFrame:
@@ -35,12 +36,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, by: s
     weighed = sized.crossJoin(F.broadcast(over)).withColumn("raw", F.coalesce("given", share))  # one row, not a product
     whole = weighed.agg(F.sum("raw").alias("whole"))
     weighed = weighed.crossJoin(F.broadcast(whole)).withColumn("weight", F.col("raw") / F.col("whole"))
-    rate = F.when(F.col("size") > 0, F.least(F.col("weight") * F.col("total") / F.col("size"), F.lit(MAX_RATE))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("size") > 0, F.col("weight") * F.col("total") / F.col("size")).otherwise(F.lit(0.0))
     return weighed.select("source", "size", "weight", rate.alias("rate"))
 
 
 def cumulative(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... as an array, as far as a double tells them from 1."""
+    """P(X <= 0), P(X <= 1), ... as an array: of a distribution of which mass 2**-53 or less is left, no further count is tabled."""
     top = (rate + 12 * F.sqrt(rate) + 30).cast("int")
 
     def more(acc: Column, k: Column) -> Column:
@@ -62,13 +63,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "byt
     Returns the columns of docs, then copy (from 0), n_copies, rate and shuffle_key (0 to 1): partitions
     are dealt by the key and sorted by it. weights: of sources, None for equal weights.
     """
-    rates = written(source_rates(docs, weights, by), "mix-rates").select(F.col("source").alias("_source"), "rate", cumulative(F.col("rate")).alias("_table"))
+    n_parts = F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int")
+    rates = written(source_rates(docs, weights, by), "mix-rates")
+    rates = rates.select(F.col("source").alias("_source"), "rate", n_parts.alias("_parts"), cumulative(F.col("rate") / n_parts).alias("_table"))
+    doc = F.col("doc_id").cast("string")
+
+    def drawn_in(part: Column) -> Column:
+        u = F.when(part == 0, unit_hash(seed, doc)).otherwise(unit_hash(seed, "part", doc, part.cast("string")))
+        return copies_of(u, F.col("_table"))
+
     data = docs.drop("copy", "n_copies", "rate", "shuffle_key")
     drawn = (
         data.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("n_copies", copies_of(unit_hash(seed, F.col("doc_id").cast("string")), F.col("_table")))
-        .drop("_source", "_table")
-        .withColumn("copy", F.explode(F.expr("case when n_copies > 0 then sequence(0, n_copies - 1) else cast(array() as array<int>) end")))
+        .withColumn("_counts", F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), drawn_in))
+        .withColumn("n_copies", F.aggregate("_counts", F.lit(0), lambda a, n: a + n))
+        # part by part, so that no array holds all copies; the copies of a part are numbered after those of the parts before it
+        .select(*data.columns, "rate", "n_copies", "_counts", F.posexplode("_counts").alias("_part", "_n"))
+        .withColumn("_first", F.aggregate(F.slice("_counts", F.lit(1), F.col("_part")), F.lit(0), lambda a, n: a + n))
+        .drop("_counts")
+        .withColumn("copy", F.explode(F.expr("case when _n > 0 then sequence(_first, _first + _n - 1) else cast(array() as array<int>) end")))
     )
     key = unit_hash(seed, "order", F.col("doc_id").cast("string"), F.col("copy").cast("string"))
     return drawn.withColumn("shuffle_key", key).select(*data.columns, "copy", "n_copies", "rate", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

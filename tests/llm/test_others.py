@@ -142,6 +142,18 @@ def test_mixing(spark):
     assert rows != sorted(rows, key=lambda r: r.doc_id) and len({(r.doc_id, r.copy) for r in rows}) == len(rows)
 
 
+def test_mixing_of_a_scarce_source(spark):
+    """5 documents of 4,000 with half the weight are each repeated some 400 times."""
+    docs = docs_of(spark, ["text"] * 4000, lambda i: "scarce" if i % 800 == 0 else "many")
+    out = mixing.mix(docs, {"scarce": 0.5, "many": 0.5}, by="rows")
+    rows = out.select("doc_id", "source", "copy", "n_copies", "rate").collect()
+    scarce = [r for r in rows if r.source == "scarce"]
+    assert {r.rate for r in scarce} == {400.0} and abs(len(scarce) - 2000) < 200 and abs(len(rows) - 4000) < 400
+    drawn = {r.doc_id: r.n_copies for r in scarce}
+    assert len(drawn) == 5 and len(set(drawn.values())) > 1
+    assert sorted((r.doc_id, r.copy) for r in scarce) == sorted((i, k) for i, n in drawn.items() for k in range(n))
+
+
 def test_mixing_of_nothing_and_empty_texts(spark):
     assert mixing.mix(docs_of(spark, ["a"]).limit(0)).count() == 0
     assert mixing.mix(docs_of(spark, [None, ""])).count() == 0  # no bytes, no rate
