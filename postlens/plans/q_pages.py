@@ -55,11 +55,29 @@ def src_attachment_grid(t: Tables):
     l = t.read("lineitem").filter("l_orderkey <= 5000")  # noqa: E741
     width = F.when(F.col("l_suppkey") % 7 == 3, 130).otherwise(3)
     cells = l.select(F.format_string("b%d", F.col("l_suppkey") % 7).alias("attachment_url"), F.format_string("s%d", F.col("l_suppkey") % 2).alias("sheet"), F.col("l_linenumber").alias("row_index"), F.array_repeat(F.lit("x"), width).alias("cells"))
+    return _grid_states(cells)
+
+
+def _grid_states(cells):
     ok, bad = E.read_grid(cells)
     n = cells.groupBy("attachment_url").agg(F.count(F.lit(1)).alias("n"))
     return ok.groupBy("attachment_url").agg(F.count(F.lit(1)).alias("n")).withColumn("state", F.lit("ok")).unionByName(bad.join(n, "attachment_url").select("attachment_url", "n", F.col("reason").alias("state")))
 
 
+_BLOCK = "l_orderkey // case l_suppkey % 7 when 1 then 50000 when 5 then 4000 else 1000 end"
+
+
+@query(f"""with g as (select 'b' || (l_suppkey % 7) || '-' || ({_BLOCK}) as a, case l_suppkey % 7 when 3 then 130 when 5 then 100 else 3 end as w from lineitem),
+    x as (select a, case when count(*) > 5000 then 'rows' when max(w) > 128 then 'columns' when sum(w) > 200000 then 'cells' end as reason, count(*) as n from g group by 1) select a as attachment_url, coalesce(reason, 'ok') as state, n from x""")
+def src_attachment_grid_all(t: Tables):
+    """Grids of all of lineitem: their number grows with it, and they lie on both sides of each limit."""
+    m = F.col("l_suppkey") % 7
+    block = F.call_function("div", F.col("l_orderkey"), F.when(m == 1, 50_000).when(m == 5, 4000).otherwise(1000))
+    width = F.when(m == 3, 130).when(m == 5, 100).otherwise(3)
+    cells = t.read("lineitem").select(F.format_string("b%d-%d", m, block).alias("attachment_url"), F.format_string("s%d", F.col("l_suppkey") % 2).alias("sheet"), F.col("l_linenumber").alias("row_index"), F.array_repeat(F.lit("x"), width).alias("cells"))
+    return _grid_states(cells)
+
+
 @query()
 def src_profiles(t: Tables):
     k = F.col("c_custkey")

@@ -2,9 +2,11 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from postlens.lexicon import ZH_MEDICAL
 from postlens.operators import drafts, extract, imports, ingest, intervals, market, matching, postings, profiles, subscriptions
+from postlens.plans import catalog
 from postlens.plans.registry import with_tables
 from postlens.sources import pages
 from postlens.streaming import streams
@@ -172,3 +174,22 @@ def test_scan_uses_the_checkpoint_and_whole_words(spark):
 def test_tables_come_before_those_that_name_them():
     sql = with_tables("select * from jobs")
     assert sql.index("institutions as (") < sql.index("jobs as (")
+
+
+# whole forms of queries, against their SQL
+def both(spark, name):
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for table in ("lineitem", "orders", "events"):
+        db.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    mine = catalog.QUERIES[name](spark, sf)
+    asked = db.sql(catalog.SQL[name])
+    rows = sorted(map(tuple, mine.select(*asked.columns).collect()), key=str)
+    assert rows == sorted(asked.fetchall(), key=str)
+    return [dict(zip(asked.columns, r, strict=True)) for r in rows], db
+
+
+def test_attachment_grid_of_all_rows(spark):
+    rows, db = both(spark, "src_attachment_grid_all")
+    assert sum(r["n"] for r in rows) == db.sql("select count(*) from lineitem").fetchall()[0][0]
+    assert {"ok", "columns"} <= {r["state"] for r in rows}
