@@ -83,6 +83,42 @@ def run_recent(t: Tables):
     return _summary(t).orderBy(F.desc("run_id")).limit(10)
 
 
+# the same with every institution as a target
+_EVERY = " where institution_id % 4 = 0", ""
+
+
+def _outcomes_all(t: Tables):
+    # one row a day is broadcast; runs times targets rows, by definition
+    runs = t.outcomes.select("run_id").distinct()
+    targets = t.outcomes.select("institution_id").distinct().crossJoin(F.broadcast(runs))
+    return ingest.run_outcomes(targets, t.outcomes)
+
+
+def _summary_all(t: Tables):
+    return ingest.run_summary(_outcomes_all(t)).withColumn("errors", F.array_join("errors", ","))
+
+
+@query(_OUT.replace(*_EVERY))
+def run_outcomes_all(t: Tables):
+    return _outcomes_all(t)
+
+
+@query(_RUNS.replace(*_EVERY))
+def run_summary_all(t: Tables):
+    return _summary_all(t)
+
+
+@query(f"""select run_id, institution_id, (sum(case when outcome = 'success' then n_postings else 0 end) over w)::bigint as success_so_far, (sum((outcome <> 'success')::int) over w)::bigint as failures_so_far
+    from ({_OUT.replace(*_EVERY)}) window w as (partition by run_id order by institution_id rows unbounded preceding)""")
+def run_progress_all(t: Tables):
+    return ingest.run_progress(_outcomes_all(t)).select("run_id", "institution_id", "success_so_far", "failures_so_far")
+
+
+@query(f"select * from ({_RUNS.replace(*_EVERY)}) order by run_id desc limit 10")
+def run_recent_all(t: Tables):
+    return _summary_all(t).orderBy(F.desc("run_id")).limit(10)
+
+
 @query(f"""select count(*) = 0 as due from (select * from (select run_id * 1000 + institution_id as run, min(happened) as started_at, min(trigger) as trigger from outcomes group by 1) order by started_at desc, run desc limit 50)
     where trigger = 'auto' and started_at >= timestamp '{EVENTS_AS_OF}' - interval 24 hour""")
 def run_gap_24h(t: Tables):

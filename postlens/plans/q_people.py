@@ -59,6 +59,12 @@ def overlap_new_item(t: Tables):
     return I.overlap_new_item(iv, iv.filter("item_id % 10 = 3"))
 
 
+@query(_PAIRS.replace("{apart}", "a.item_id <> b.item_id"))
+def overlap_new_item_all(t: Tables):
+    iv = _intervals(t)
+    return I.overlap_new_item(iv, iv)
+
+
 @query("select l_orderkey as user_id, sum((l_returnflag <> 'N' or l_linenumber = 2)::int)::bigint as n_nonblank, sum((l_returnflag <> 'N' or l_linenumber = 2)::int) = 0 as is_empty from lineitem group by 1")
 def profile_nonblank(t: Tables):
     item = F.struct(F.col("l_linenumber").alias("id"), F.when(F.col("l_returnflag") == "N", " ").otherwise(F.col("l_returnflag")).alias("name"), F.when(F.col("l_linenumber") == 2, "x").alias("level"))

@@ -116,7 +116,16 @@ def profile_latest(t: Tables):
 
 @query("""select l_orderkey as draft_id, arg_max(l_returnflag, row(l_shipdate, l_linenumber, l_partkey, l_suppkey)) as decision, count(*) as updates from lineitem where l_orderkey % 50 = 7 group by 1""")
 def draft_latest(t: Tables):
-    log = t.read("lineitem").filter("l_orderkey % 50 = 7").select(F.col("l_orderkey").alias("draft_id"), F.col("l_returnflag").alias("decision"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
+    return _latest_drafts(t.read("lineitem").filter("l_orderkey % 50 = 7"))
+
+
+@query("""select l_orderkey as draft_id, arg_max(l_returnflag, row(l_shipdate, l_linenumber, l_partkey, l_suppkey)) as decision, count(*) as updates from lineitem group by 1""")
+def draft_latest_all(t: Tables):
+    return _latest_drafts(t.read("lineitem"))
+
+
+def _latest_drafts(lines):
+    log = lines.select(F.col("l_orderkey").alias("draft_id"), F.col("l_returnflag").alias("decision"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
     n = log.groupBy("draft_id").agg(F.count(F.lit(1)).alias("updates"))
     return postings.latest(log, "draft_id", "seq").drop("seq").join(n, "draft_id")
 

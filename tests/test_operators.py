@@ -193,3 +193,14 @@ def test_attachment_grid_of_all_rows(spark):
     rows, db = both(spark, "src_attachment_grid_all")
     assert sum(r["n"] for r in rows) == db.sql("select count(*) from lineitem").fetchall()[0][0]
     assert {"ok", "columns"} <= {r["state"] for r in rows}
+
+
+def test_all_drafts_candidates_and_targets(spark):
+    rows, db = both(spark, "draft_latest_all")
+    assert len(rows) == db.sql("select count(distinct l_orderkey) from lineitem").fetchall()[0][0]
+    rows, _ = both(spark, "overlap_new_item_all")
+    assert {r["left_id"] % 10 for r in rows} - {3}
+    for name in ("run_summary_all", "run_progress_all", "run_recent_all"):
+        both(spark, name)
+    rows, db = both(spark, "run_outcomes_all")
+    assert {r["institution_id"] for r in rows} == {i for (i,) in db.sql("select distinct user_id from events").fetchall()}
