@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_local: dict[str, str] = {}
+
 #: The characters of `[\x20\x09-\x0D]`.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -22,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if at is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="postlens-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="postlens-")
+        _local[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
@@ -37,6 +39,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as it takes to differ from all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and spaces included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -4,6 +4,7 @@ A byte goes when some string of `length` bytes that covers it starts at two plac
 suffixes would move `length` bytes for each byte of text, so suffixes that can't repeat are left out
 first, exactly:
 
+0. Of equal texts one goes on, with weight two: the others repeat whole.
 1. Every window of `length` bytes has an anchor, its leftmost `gram`-byte string of least hash. Equal
    windows have equal anchors at equal places. Neighbouring windows with the same anchor form a run of
    one context (their bytes together). Runs are rows: hash of the anchor, digest of the context.
@@ -11,12 +12,14 @@ first, exactly:
 3. What is left are runs with a known anchor in a new context: the edges of repeats. They are cut into
    parts of STEP windows by the distance to the anchor. A part whose core (the bytes that all its windows
    share) is met once repeats nowhere, one whose hull (all its bytes) is met again repeats whole.
-4. Only parts of one core and several hulls have their windows spelt out as suffixes. Sampled splitters range-partition the suffixes by their leading tokens,
-   each bucket sorts its own by multikey quicksort, and equal neighbours repeat. A frequent suffix may
-   straddle buckets; the edges of all buckets are compared with each other.
-
-Groups that grow with the input (a common passage, many copies) are counted with partial aggregation and
-never gathered. Texts are keyed by their 128-bit digest, so repeated ids or rows do no harm.
+4. Parts of one core and several hulls have their windows spelt out as suffixes of `length` bytes. Sampled
+   splitters range-partition the suffixes by their bytes, each bucket sorts its own by multikey quicksort on
+   tokens of eight bytes, and equal neighbours repeat: whole byte strings are compared. A frequent suffix may
+   straddle buckets, so the first and last suffix of each bucket are compared with those of the others.
+
+The digests of steps 1 to 3 have 128 bits. Groups that grow with the input (a common passage, many copies)
+are counted with partial aggregation and never gathered. Texts are keyed by their 128-bit digest, so
+repeated ids or rows do no harm. Columns of docs other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,7 +39,9 @@ LENGTH, GRAM = 400, 128
 STEP = 17
 #: Windows that are hashed at once; the low bits of a packed hash hold a place in such a block.
 BLOCK = 1 << 20
-BUCKET_ROWS = 300_000
+BUCKET_ROWS = 100_000
+#: Up to so many digests (16 bytes each) are broadcast; beyond it both sides are shuffled.
+BROADCAST_DIGESTS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -118,12 +122,12 @@ def _context(raw: memoryview, first: int, last: int, anchor: int, length: int) -
 
 
 def anchored(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """texts: t (key), raw (binary). Returns t, first, last (windows, places in the text), left (first to the anchor), anchor (hash), context (digest)."""
-    names = ["t", "first", "last", "left", "anchor", "context"]
+    """texts: t (key), raw (binary), weight. Returns t, first, last (windows, places in the text), left (first to the anchor), anchor (hash), context (digest), weight."""
+    names = ["t", "first", "last", "left", "anchor", "context", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
+            keys, weights = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for data, spans in _blocks(batch, length):
                 starts, ends = np.array([s[1] for s in spans]), np.array([s[2] for s in spans])
                 first, last, place, hashes = runs(data, starts, ends, length, gram)
@@ -133,10 +137,10 @@ def anchored(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                 shift = np.array([s[3] - s[1] for s in spans], np.int64)[owner] if len(first) else first
                 rows = [spans[o][0] for o in owner.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[r] for r in rows], pa.binary()), pa.array(first + shift, pa.int64()), pa.array(last + shift, pa.int64()), pa.array((place - first).astype(np.int32), pa.int32()), pa.array(hashes, pa.int64()), pa.array(digests, pa.binary())], names
+                    [pa.array([keys[r] for r in rows], pa.binary()), pa.array(first + shift, pa.int64()), pa.array(last + shift, pa.int64()), pa.array((place - first).astype(np.int32), pa.int32()), pa.array(hashes, pa.int64()), pa.array(digests, pa.binary()), pa.array([weights[r] for r in rows], pa.int64())], names
                 )
 
-    return texts.select("t", "raw").mapInArrow(run, "t binary, first long, last long, left int, anchor long, context binary")
+    return texts.select("t", "raw", "weight").mapInArrow(run, "t binary, first long, last long, left int, anchor long, context binary, weight long")
 
 
 def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
@@ -146,7 +150,7 @@ def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
         rows, depth = todo.pop()
         if depth == tokens.shape[1] or len(rows) < 2:
             out.append(rows)
-        elif len(rows) < 512:
+        elif len(rows) < 64:
             out.append(rows[np.lexsort(tokens[rows][:, depth:][:, ::-1].T)])
         else:
             own = tokens[rows, depth]
@@ -190,65 +194,61 @@ def _parts(reps: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 
 
 def _suffixes(reps: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """reps: t, begin, end, anchor, hull. One row a window: lead (8 bytes), d1, d2 (of all bytes), anchor, hull, at (from begin)."""
+    """reps: t, begin, end, anchor, hull. One row a window: suffix (its bytes), anchor, hull, at (from begin)."""
     wanted = reps.groupBy("t").agg(F.collect_list(F.struct("begin", "end", "anchor", "hull")).alias("wanted"))  # bounded by a text's length
-    names = ["lead", "d1", "d2", "anchor", "hull", "at"]
+    names = ["suffix", "anchor", "hull", "at"]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-
-        def batch_of(rows):
-            kinds = (pa.uint64(), pa.uint64(), pa.uint64(), pa.int64(), pa.binary(), pa.int32())
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([c.view(pa.int64()) if c.type == pa.uint64() else c for c in columns], names)
-
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
             for raw, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 raw = raw.as_buffer().to_pybytes()
                 for w in wanted.as_py():
-                    for at in range(w["begin"], w["end"] + 1):
-                        window = raw[at : at + length]
-                        d = hashlib.blake2b(window, digest_size=16).digest()
-                        # the sign bit is turned so that Spark's order of longs is the order of bytes
-                        lead = int.from_bytes(window[:8], "big") ^ (1 << 63)
-                        rows.append((lead, int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big"), w["anchor"], w["hull"], at - w["begin"]))
-                    if len(rows) >= 20_000:
-                        yield batch_of(rows)
+                    rows += [(raw[at : at + length], w["anchor"], w["hull"], at - w["begin"]) for at in range(w["begin"], w["end"] + 1)]
+                    if len(rows) >= 10_000:
+                        yield batch_of()
                         rows = []
         if rows:
-            yield batch_of(rows)
+            yield batch_of()
 
-    return texts.join(wanted, "t").select("raw", "wanted").mapInArrow(run, "lead long, d1 long, d2 long, anchor long, hull binary, at int")
+    return texts.join(wanted, "t").select("raw", "wanted").mapInArrow(run, "suffix binary, anchor long, hull binary, at int")
 
 
 def _repeated(suffixes: DataFrame) -> DataFrame:
-    """anchor, hull, at of the suffixes that are met twice or more."""
+    """anchor, hull, at of the suffixes (of one length) that are met twice or more."""
     buckets = max(1, -(-suffixes.count() // BUCKET_ROWS))
-    key = ["lead", "d1", "d2"]
-    # the whole row is the range key: one frequent suffix may fill many buckets
-    dealt = suffixes.repartitionByRange(buckets, *key, "anchor", "hull", "at")
+    names = ["suffix", "anchor", "hull", "at", "repeats", "edge"]
+    # the whole row is the range key: one frequent suffix may fill many buckets. Spark orders binary as unsigned bytes, as the tokens are.
+    dealt = suffixes.repartitionByRange(buckets, "suffix", "anchor", "hull", "at")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)  # a bucket, of BUCKET_ROWS rows or so
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if len(b)]  # a bucket, of BUCKET_ROWS rows or so
         if not parts:
             return
-        pdf = pd.concat(parts, ignore_index=True)
-        tokens = pdf[key].to_numpy(np.int64).view(np.uint64).reshape(-1, 3)
-        order = multikey_quicksort(tokens ^ np.array([1 << 63, 0, 0], np.uint64))
-        pdf, sorted_ = pdf.iloc[order], tokens[order]
-        same = (sorted_[1:] == sorted_[:-1]).all(axis=1)
-        pdf["repeats"] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        pdf["edge"] = False
-        first, last = pdf[key].iloc[0], pdf[key].iloc[-1]
-        pdf["edge"] = (pdf[key] == first).all(axis=1) | (pdf[key] == last).all(axis=1)
-        yield pdf[pdf["repeats"] | pdf["edge"]]
-
-    found = dealt.mapInPandas(run, "lead long, d1 long, d2 long, anchor long, hull binary, at int, repeats boolean, edge boolean")
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        spelt = rows.column("suffix").to_pylist()
+        width = -(-len(spelt[0]) // 8) * 8
+        tokens = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in spelt), ">u8").reshape(len(spelt), -1).astype(np.uint64)
+        order = multikey_quicksort(tokens)
+        tokens = tokens[order]
+        same = (tokens[1:] == tokens[:-1]).all(axis=1)
+        repeats = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        edge = (tokens == tokens[0]).all(axis=1) | (tokens == tokens[-1]).all(axis=1)
+        keep = np.flatnonzero(repeats | edge)
+        rows, repeats, edge = rows.take(order[keep]), repeats[keep], edge[keep]
+        # a suffix that is no edge is settled here, so its bytes need not travel on
+        at_edge = pa.array([x if e else None for x, e in zip(rows.column("suffix").to_pylist(), edge, strict=True)], pa.binary())
+        columns = [at_edge, *[rows.column(c).combine_chunks() for c in names[1:4]], pa.array(repeats), pa.array(edge)]
+        yield from pa.table(columns, names).to_batches()
+
+    found = dealt.mapInArrow(run, "suffix binary, anchor long, hull binary, at int, repeats boolean, edge boolean")
     found = written(found, "suffix-repeats")
     # across boundaries: an edge that is alone in its bucket repeats if another bucket has it as an edge
     lone = found.filter("edge and not repeats")
-    edges = found.filter("edge").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    straddling = lone.join(edges, key, "left_semi")
+    edges = found.filter("edge").groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    straddling = lone.join(edges, "suffix", "left_semi")
     return found.filter("repeats").unionByName(straddling).select("anchor", "hull", "at")
 
 
@@ -267,17 +267,29 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     return removed, count, rest.hexdigest()
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """spans (t, spans: array of start, stop in bytes, overlapping) and the texts they are of (t, raw), one row a text."""
+def _small(keys: DataFrame) -> DataFrame:
+    """keys (a written table), marked for broadcast if its counted rows allow it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_DIGESTS else keys
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """spans (t, spans: array of start, stop in bytes, overlapping), the texts they are of (t, raw), one row a text,
+    and copies (t): texts of `length` bytes or more that are there twice or more, which repeat whole and have no spans."""
     raw = text_or_empty().cast("binary")
-    texts = docs.select(F.unhex(F.md5(raw)).alias("t"), raw.alias("raw")).filter(F.octet_length("raw") >= length)
-    rows = written(anchored(texts, length, gram), "suffix-anchors")
-    contexts = rows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"))
+    texts = docs.select("doc_id", F.unhex(F.md5(raw)).alias("t"), raw.alias("raw")).filter(F.octet_length("raw") >= length)
+    copies = texts.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
+    copies = written(copies.select("t", "least"), "suffix-copies")
+    # rows that repeat the least id go on together, which changes no count from one to two
+    ones = texts.join(_small(copies.withColumn("copied", F.lit(True))), "t", "left").filter(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("least")))
+    ones = ones.select("t", "raw", F.when(F.col("copied"), 2).otherwise(1).cast("long").alias("weight"))
+    rows = written(anchored(ones, length, gram), "suffix-anchors")
+    contexts = rows.groupBy("anchor", "context").agg(F.sum("weight").alias("n"))
     known = contexts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1")
     contexts = written(contexts.join(known, "anchor").select("anchor", "context", "n", "kinds"), "suffix-contexts")
     met = written(rows.join(contexts, ["anchor", "context"]), "suffix-met")
 
-    own = written(texts.join(met.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"]), "suffix-texts")
+    asked = met.filter("weight = 1 or kinds > 1").select("t").distinct()
+    own = written(ones.join(asked, "t", "left_semi").select("t", "raw").dropDuplicates(["t"]), "suffix-texts")
     new = met.filter("kinds > 1").groupBy("anchor", "context").agg(F.min(F.struct("t", "first", "last", "left")).alias("r")).select("r.*", "anchor", "context")
     parts = written(_parts(new, own, length), "suffix-parts")
     core = ["anchor", "sub", "core"]
@@ -293,10 +305,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         .select("anchor", "context", F.col("offset").alias("a"), (F.col("offset") + size).alias("b"))
         .unionByName(live.join(again, ["anchor", "hull"]).select("anchor", "context", (F.col("offset") + F.col("at")).alias("a"), (F.col("offset") + F.col("at")).alias("b")))
     )
+    met = met.filter("weight = 1")
     whole = met.filter("n > 1").select("t", "first", (F.col("last") + length).alias("stop"))
     part = met.filter("n = 1").join(inside, ["anchor", "context"]).select("t", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b") + length).alias("stop"))
     spans = whole.unionByName(part).groupBy("t").agg(F.collect_set(F.struct(F.col("first").alias("start"), "stop")).alias("spans"))  # bounded by a text's length
-    return spans, own
+    return spans, own, copies.select("t")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -304,7 +317,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
 
     Null texts are empty. Texts shorter than `length` bytes and an empty table need no work.
     """
-    spans, own = repeated_spans(docs, length, gram)
+    spans, own, copies = repeated_spans(docs, length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,12 +331,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     names = ["t", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     schema = "t binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     changed = own.join(spans, "t").select("t", "raw", "spans").mapInArrow(run, schema)
+    nothing = [F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), *[F.lit(b"").alias("kept")] * with_text]
+    # a table of its own, so that the rows of a frequent text may be joined with it in several tasks
+    changed = written(changed.unionByName(copies.select("t", *nothing)), "suffix-changed")
     text = text_or_empty().cast("binary")
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.md5(text)).alias("t"), F.sha2(text, 256).alias("same"), *[text.alias("raw")] * with_text)
-    out = rows.join(changed, "t", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "same").alias("kept_sha256"), *[F.coalesce("kept", "raw").alias("kept")] * with_text
-    )
-    return out
+    removed = F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed")
+    return rows.join(changed, "t", "left").select(
+        "doc_id", "n_bytes", removed, F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "same").alias("kept_sha256"), *[F.coalesce("kept", "raw").alias("kept")] * with_text
+    )
 
 
 def _rest(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
