@@ -7,7 +7,8 @@ and each source's expected share is its weight. Sizes are UTF-8 bytes or rows. A
 the sum of independent draws of equal rates, as the sum of Poisson variables is one of the summed rate.
 
 Null sources are a source of their own. Sources without a weight share what is left of 1, or the mean
-weight if nothing is left. Sources of no size have rate 0. Equal ids draw equal copies.
+weight if nothing is left. Sources of no size have rate 0. Equal ids draw equal copies; rows without an
+id draw by their text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, unit_hash, written
+from .common import quoted, text_or_empty, unit_hash, unused, written
 
 SEED = "mix-1"
 #: The greatest rate of one draw: its table is short, and exp(-rate) far from the least double.
@@ -61,27 +62,29 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "byt
     """Rows of docs, each as often as drawn, in a global random order.
 
     Returns the columns of docs, then copy (from 0), n_copies, rate and shuffle_key (0 to 1): partitions
-    are dealt by the key and sorted by it. weights: of sources, None for equal weights.
+    are dealt by the key and sorted by it. weights: of sources, None for equal weights. Columns of docs
+    with one of these four names are replaced, all others are kept whatever their names.
     """
     n_parts = F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int")
     rates = written(source_rates(docs, weights, by), "mix-rates")
-    rates = rates.select(F.col("source").alias("_source"), "rate", n_parts.alias("_parts"), cumulative(F.col("rate") / n_parts).alias("_table"))
-    doc = F.col("doc_id").cast("string")
+    data = docs.drop("copy", "n_copies", "rate", "shuffle_key")
+    source, parts, table, name, counts, part, n, first = unused(data, "_source", "_parts", "_table", "_name", "_counts", "_part", "_n", "_first")
+    rates = rates.select(F.col("source").alias(source), "rate", n_parts.alias(parts), cumulative(F.col("rate") / n_parts).alias(table))
+    named = data.withColumn(name, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text_or_empty()))))
 
-    def drawn_in(part: Column) -> Column:
-        u = F.when(part == 0, unit_hash(seed, doc)).otherwise(unit_hash(seed, "part", doc, part.cast("string")))
-        return copies_of(u, F.col("_table"))
+    def drawn_in(at: Column) -> Column:
+        u = F.when(at == 0, unit_hash(seed, F.col(name))).otherwise(unit_hash(seed, "part", F.col(name), at.cast("string")))
+        return copies_of(u, F.col(table))
 
-    data = docs.drop("copy", "n_copies", "rate", "shuffle_key")
+    columns = [quoted(c) for c in data.columns]
     drawn = (
-        data.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_counts", F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), drawn_in))
-        .withColumn("n_copies", F.aggregate("_counts", F.lit(0), lambda a, n: a + n))
+        named.join(rates, named["source"].eqNullSafe(rates[source]))
+        .withColumn(counts, F.transform(F.sequence(F.lit(0), F.col(parts) - 1), drawn_in))
+        .withColumn("n_copies", F.aggregate(counts, F.lit(0), lambda a, x: a + x))
         # part by part, so that no array holds all copies; the copies of a part are numbered after those of the parts before it
-        .select(*data.columns, "rate", "n_copies", "_counts", F.posexplode("_counts").alias("_part", "_n"))
-        .withColumn("_first", F.aggregate(F.slice("_counts", F.lit(1), F.col("_part")), F.lit(0), lambda a, n: a + n))
-        .drop("_counts")
-        .withColumn("copy", F.explode(F.expr("case when _n > 0 then sequence(_first, _first + _n - 1) else cast(array() as array<int>) end")))
+        .select(*columns, name, "rate", "n_copies", counts, F.posexplode(counts).alias(part, n))
+        .withColumn(first, F.aggregate(F.slice(counts, F.lit(1), F.col(part)), F.lit(0), lambda a, x: a + x))
+        .withColumn("copy", F.explode(F.expr(f"case when {n} > 0 then sequence({first}, {first} + {n} - 1) else cast(array() as array<int>) end")))
     )
-    key = unit_hash(seed, "order", F.col("doc_id").cast("string"), F.col("copy").cast("string"))
-    return drawn.withColumn("shuffle_key", key).select(*data.columns, "copy", "n_copies", "rate", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = unit_hash(seed, "order", F.col(name), F.col("copy").cast("string"))
+    return drawn.select(*columns, "copy", "n_copies", "rate", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
