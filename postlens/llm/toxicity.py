@@ -5,8 +5,9 @@ Features are present or absent: words, pairs of neighbours, and pairs with one w
 list of at most 2**20 (place, weight) pairs, which bounds the broadcast at 12 MB.
 
 Training reads at most `max_rows` labelled rows (a documented bound: beyond it, those with the smallest
-hashes), dealt to learners of about `rows_each` rows; their weights are averaged. Scoring reads every
-row and its whole text.
+hashes), dealt to learners of about `rows_each` rows or `BYTES_EACH` bytes; their weights are averaged.
+A row's hash names its learner and its turn there, so the model doesn't depend on partitions. Scoring
+reads every row and its whole text.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import quoted, unused, written
 
 BITS = 20
-MAX_ROWS, ROWS_EACH, EPOCHS = 65_536, 8192, 6
+MAX_ROWS, ROWS_EACH, BYTES_EACH, EPOCHS = 65_536, 8192, 1 << 27, 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 #: A toxic row counts as so many others in the gradient, as toxic rows are few.
 TOXIC_WEIGHT = 3.0
@@ -93,35 +95,38 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rows_each: int = ROWS_EACH) -> dict[int, float]:
     """Learns labels.toxic of docs (doc_id, text). Of several labels of an id the greatest counts; null labels don't."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
-    known = known.withColumn("_order", F.xxhash64(F.lit("ftrl"), "_id"))
+    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.withColumn("turn", F.xxhash64(F.lit("ftrl"), "id"))
     n = known.count()
     if n > max_rows:
-        known = known.filter((F.col("_order") / float(2**64) + 0.5) < 0.97 * max_rows / n)
+        known = known.filter((F.col("turn") / float(2**64) + 0.5) < 0.97 * max_rows / n)
+    slim = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # bounded by max_rows rows of 20 bytes
-    data = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select("_order", "_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"), "_toxic")
-    learners = max(1, -(-min(n, max_rows) // rows_each))
+    data = written(slim.join(F.broadcast(known), "id").select("turn", "text", "toxic"), "toxicity-rows")
+    size = data.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
+    learners = max(1, -(-min(n, max_rows) // rows_each), -(-size // BYTES_EACH))
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.unique(features(t)), int(y)) for pdf in batches for t, y in zip(pdf["_text"], pdf["_toxic"], strict=True)]
-        if rows:
-            w = ftrl(rows)
-            yield pd.DataFrame({"place": list(w), "weight": list(w.values())})
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values(["turn", "text"])
+        w = ftrl([(np.unique(features(t)), int(y)) for t, y in zip(ordered["text"], ordered["toxic"], strict=True)])
+        return pd.DataFrame({"place": list(w), "weight": list(w.values())})
 
-    parts = data.repartition(learners, "_order").sortWithinPartitions("_order", "_text").mapInPandas(learn, "place int, weight double")
+    dealt = data.withColumn("learner", F.pmod("turn", F.lit(learners)))
+    parts = dealt.groupBy("learner").applyInPandas(learn, "place int, weight double")
     parts = written(parts, "toxicity-weights")
     many = max(1, parts.filter(F.col("place") == INTERCEPT).count())
     # each place once: at most 2**20 rows
     return {r.place: r.weight / many for r in parts.groupBy("place").agg(F.sum("weight").alias("weight")).orderBy("place").collect()}
 
 
-def score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
-    """docs (doc_id, text, ...) with score (0 to 1) added; null texts score as empty ones. Columns are kept."""
+def _score(docs: DataFrame, model: dict[int, float], named: str) -> DataFrame:
+    """docs with the score added as column `named`, which docs lacks."""
     table = np.zeros(1 << BITS)
     places = [p for p in model if p != INTERCEPT]
     table[places] = [model[p] for p in places]
     bias = model.get(INTERCEPT, NO_MODEL)
     sparse = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(table).astype(np.int32), table[np.flatnonzero(table)].astype(np.float64)))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values = sparse.value
@@ -133,11 +138,17 @@ def score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
                 places = features(text.as_py() or "")
                 hit = np.unique(places[w[places] != 0])
                 scores.append(1 / (1 + np.exp(-np.clip(w[hit].sum() + bias, -30, 30))))
-            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), *batch.columns[1:]], ["score", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], schema.names)
 
-    names = docs.columns
-    schema = "score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select(F.col("text").cast("string").alias("_scored"), *names).mapInArrow(run, schema).select(*[c for c in names if c != "score"], "score")
+    # numbers for names: mapInArrow takes no names with dots
+    schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], T.StructField("score", T.DoubleType())])
+    plain = docs.select(F.col("text").cast("string").alias("read"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+    return plain.mapInArrow(run, schema).toDF(*names, named)
+
+
+def score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
+    """docs (doc_id, text, ...) with score (0 to 1) added, in place of a column of that name; null texts score as empty ones."""
+    return _score(docs.drop("score"), model, "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -147,6 +158,6 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the model does not reject, with their columns."""
-    own = docs.drop("score")
-    return score(own, fit(own, labels, **how)).filter("score < 0.5").select(own.columns)
+    """The rows of docs that the model does not reject, with all their columns, whatever their names."""
+    (named,) = unused(docs, "_score")
+    return _score(docs, fit(docs, labels, **how), named).filter(F.col(named) < 0.5).drop(named)
