@@ -12,17 +12,20 @@ they come. An empty table gives none.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import quoted, written
 
 LENGTH, END, OPEN_BINS, GROUP_ROWS = 1024, 2, 4096, 200_000
 CACHED = 400_000
@@ -51,7 +54,8 @@ def encoder(path: str):
 
     The vocabulary is byte-level BPE, whose pieces never cross a space before a word, so plain texts are
     encoded word by word with a bounded cache. tiktoken merges by the same ranks, which the file's merges
-    state. Other texts are encoded whole.
+    state. Other texts are encoded whole; those whose runs of white space its pattern can't take (from
+    some 10**6 characters on) by tokenizers itself.
     """
     if path not in _loaded:
         import json
@@ -67,7 +71,18 @@ def encoder(path: str):
         core = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
         def whole(text: str) -> bytes:
-            return np.array(core.encode(text, allowed_special="all"), "<u4").tobytes()
+            try:
+                ids = core.encode(text, allowed_special="all")
+            except ValueError:
+                ids = tokenizer().encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+
+        @cache
+        def tokenizer():
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(path)
 
         words = _Words(whole)
         odd = re.compile(r" (?:\s|$)|" + "|".join(map(re.escape, special)) if special else r" (?:\s|$)")
@@ -147,14 +162,20 @@ def pack(cut: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, group
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, ...).
 
     A group packs about group_rows pieces, as sorted, so that a task run anew gives the same bins.
+    Columns of cut that are named sequence_id or offset are replaced; any other name is kept.
     """
+    cut = cut.drop("sequence_id", "offset")
+    named = cut.columns
+    # numbers for other names: mapInArrow takes no names with dots
+    needed = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    cut = cut.select(*[quoted(c).alias(c if c in needed else f"c{i}") for i, c in enumerate(named)])
+    own = "group"
     cut = written(cut, "pieces")  # tokenized once, read three times
     open_rows = cut.filter(F.col("length") < length)
     groups = max(1, -(-open_rows.count() // group_rows))
-    order = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # the hash of the whole row deals repeated ids evenly too
     number = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups))
-    dealt = open_rows.withColumn("_group", number).repartition(groups, "_group").sortWithinPartitions("_group", F.xxhash64("doc_id", "piece"), *order)
+    dealt = open_rows.withColumn(own, number).repartition(groups, own).sortWithinPartitions(own, F.xxhash64("doc_id", "piece"), *needed)
     columns = cut.columns
     names = [*columns, "sequence_id", "offset"]
 
@@ -162,7 +183,7 @@ def pack(cut: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, group
         group, bins, feed = None, None, []
         for batch in batches:
             places = []
-            for g, n in zip(batch.column("_group").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            for g, n in zip(batch.column(own).to_pylist(), batch.column("length").to_pylist(), strict=True):
                 if g != group:
                     group, feed = g, []
                     bins = best_fit(iter(lambda feed=feed: feed.pop(), None), length, open_bins)
@@ -172,7 +193,8 @@ def pack(cut: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, group
             ends = [pa.array([x[i] for x in places], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *ends], names)
 
-    packed = dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long")
+    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    packed = dealt.mapInArrow(run, schema)
     # a full piece is a sequence: odd numbers, gaps are allowed
-    full = cut.filter(F.col("length") == length).select(*cut.columns, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.select(*names).unionByName(full)
+    full = cut.filter(F.col("length") == length).select(*columns, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full).toDF(*named, "sequence_id", "offset")
