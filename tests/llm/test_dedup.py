@@ -6,6 +6,8 @@ import random
 import xxhash
 from postlens.llm import exact_dedup, line_dedup, simhash, similar, suffix_dedup
 
+from pyspark.sql import functions as F
+
 SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, kept string"
 
@@ -39,6 +41,30 @@ def test_exact_empty(spark):
     assert exact_dedup.dedup(none).count() == 0 and exact_dedup.keep_first(none).count() == 0
 
 
+def test_exact_compares_bytes(spark):
+    """With a digest of one hex digit most groups collide; the bytes part them."""
+    rows = [(i, f"text {i % 40}" + " " * (i % 3)) for i in range(160)]
+    out = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=lambda c: F.substring(F.md5(c), 1, 1)).collect()
+    for r in out:
+        same = [(-len(t), i) for i, t in rows if t.strip() == f"text {r.doc_id % 40}"]
+        assert (r.keep_id, r.group_size, r.kept) == (min(same)[1], len(same), r.doc_id == min(same)[1])
+
+
+def test_exact_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HASHES", 0)
+    out = exact_dedup.dedup(docs_of(spark, ["a", "b", "a ", None])).collect()
+    assert {r.doc_id: r.keep_id for r in out} == {0: 2, 1: 1, 2: 2, 3: 3}
+
+
+def test_exact_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b", "mine", 1, {"k": 1}), (2, "ab", "mine", 2, {}), (3, None, None, None, None), (3, "", "b", 3, {}), (3, "", "a", 3, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_name` string, `_rank` int, `a b.c` map<string,int>").withColumn("_digest", F.lit("d"))
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text, r["_name"], r["_rank"], r["a b.c"], r["_digest"]) for r in kept.collect() if r.doc_id == 1)
+    assert got == [(1, "a b", "mine", 1, {"k": 1}, "d")] and sum(r.doc_id == 3 for r in kept.collect()) == 1
+
+
 def simhash_of(text):
     w = (text or "").encode().lower().split()
     if not w:
@@ -191,6 +217,36 @@ def test_suffix_buckets_meet_at_their_edges(spark, monkeypatch):
     assert [(r.n_spans, 422 <= r.n_removed <= 424) for r in out] == [(1, True)] * 12
 
 
+def test_repeats_across_many_buckets(spark, monkeypatch):
+    """Suffixes met twice are all found where a bucket holds few, with bytes on both sides of 128."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 41)
+    rnd = random.Random(3)
+    keys = [bytes([lead]) * 8 + rnd.randbytes(12) for lead in (0, 1, 127, 128, 200, 255) for _ in range(300)]
+    rows = [(k, i, b"h", 0) for i, k in enumerate(keys * 2)] + [(rnd.randbytes(20), -i, b"h", 0) for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "suffix binary, anchor long, hull binary, at int").repartition(5)
+    got = [r.anchor for r in suffix_dedup._repeated(df).collect()]
+    assert sorted(got) == list(range(3600))
+
+
+def test_quicksort_orders_bytes():
+    rnd = random.Random(1)
+    rows = [bytes(rnd.choice(b"\0\1\x80\xff") for _ in range(24)) for _ in range(3000)]
+    tokens = suffix_dedup.np.frombuffer(b"".join(rows), ">u8").reshape(-1, 3).astype("u8")
+    assert [rows[i] for i in suffix_dedup.multikey_quicksort(tokens)] == sorted(rows)
+
+
+def test_suffixes_of_copies_and_other_columns(spark):
+    rnd = random.Random(12)
+    a, b = words(rnd, 200), words(rnd, 200)
+    rows = [(1, a, "x"), (2, a, "y"), (2, a, "y"), (None, a, "z"), (3, b + a[100:700], "t"), (None, None, None), (4, b, "raw")]
+    docs = spark.createDataFrame([(i, t, c, c, c) for i, t, c in rows], "doc_id long, text string, t string, raw string, weight string")
+    for cap in (10, 0):  # with and without broadcast
+        suffix_dedup.BROADCAST_DIGESTS, before = cap, suffix_dedup.BROADCAST_DIGESTS
+        out = [(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs, with_text=True).collect()]
+        suffix_dedup.BROADCAST_DIGESTS = before
+        assert sorted(out, key=str) == sorted([(1, len(a), 1, b""), (2, len(a), 1, b""), (2, len(a), 1, b""), (None, len(a), 1, b""), (3, len(b) + 600, 1, b""), (None, 0, 0, b""), (4, len(b), 1, b"")], key=str)
+
+
 def test_suffixes_of_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 4096)
     suffix_dedup._TABLES.clear()

@@ -62,6 +62,27 @@ def test_sharding_edits_its_map(spark):
     assert len(kept) == 256 and {r.version for r in kept} == {2}
 
 
+def test_sharding_map_is_the_plain_greedy_deal(spark):
+    """A rebalanced map keeps each shard's largest slots up to the mean and deals the rest, largest first, to the emptiest shard."""
+    stats = sharding.slot_stats(sharding.records_of(docs_of(spark, sample_texts()), 64), spark, 64)
+    size = {r.virtual_slot: r.slot_bytes for r in stats.collect()}
+    mean, kept, pool = sum(size.values()) / 5, {}, []
+    for k in range(5):
+        total = 0
+        for s in sorted((s for s in size if s % 5 == k), key=lambda s: (-size[s], s)):
+            total += size[s]
+            if total <= mean:
+                kept[s] = k
+            else:
+                pool.append(s)
+    load = [sum(size[s] for s in kept if kept[s] == k) for k in range(5)]
+    for s in sorted(pool, key=lambda s: (-size[s], s)):
+        kept[s] = load.index(min(load))
+        load[kept[s]] += size[s]
+    got = sharding.rebalanced(sharding.first_map(stats, 5), stats, 5).collect()
+    assert {r.virtual_slot: r.shard for r in got} == kept
+
+
 def test_sharding_of_nothing_and_null_ids(spark):
     docs = docs_of(spark, ["a", None])
     assert sharding.shard(docs.limit(0), 3, slots=16).count() == 0
@@ -159,7 +180,53 @@ def test_mixing_of_nothing_and_empty_texts(spark):
     assert mixing.mix(docs_of(spark, [None, ""])).count() == 0  # no bytes, no rate
 
 
+def test_mixing_with_clashing_names_and_without_ids(spark):
+    docs = docs_of(spark, [f"t{i}" for i in range(600)]).withColumns({n: F.lit(n) for n in ("_source", "_n", "_part", "a b.c", "rate")}).withColumn("doc_id", F.lit(None).cast("long"))
+    out = mixing.mix(docs, by="rows")
+    assert out.columns == [c for c in docs.columns if c not in ("copy", "rate")] + ["copy", "n_copies", "rate", "shuffle_key"]
+    rows = out.collect()
+    assert all(r["_source"] == "_source" and r["a b.c"] == "a b.c" for r in rows)
+    assert len({r.shuffle_key for r in rows}) == len(rows) and len({r.n_copies for r in rows}) > 2
+
+
 # toxicity
+def plain_ftrl(rows, epochs):
+    """Per-coordinate FTRL-proximal as in its paper, a dictionary of coordinates and no numpy."""
+    z, n, bias = {}, {}, [0.0, 0.0]
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= toxicity.L1 else (math.copysign(toxicity.L1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(epochs):
+        for places, y in rows:
+            w = {i: weight(i) for i in places}
+            b = -bias[0] / ((toxicity.BETA + math.sqrt(bias[1])) / toxicity.ALPHA)
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()) + b)))) - y
+            g *= toxicity.TOXIC_WEIGHT if y else 1
+            for i in places:
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - step * w[i], n.get(i, 0.0) + g * g
+            step = (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / toxicity.ALPHA
+            bias = [bias[0] + g - step * b, bias[1] + g * g]
+    return {i: weight(i) for i in z if weight(i)} | {toxicity.INTERCEPT: -bias[0] / ((toxicity.BETA + math.sqrt(bias[1])) / toxicity.ALPHA)}
+
+
+def test_ftrl_is_the_plain_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    rnd = random.Random(4)
+    rows = [(np.array(sorted(rnd.sample(range(60), 12) + [99] * 0 + ([70] if i % 4 == 0 else []))), int(i % 4 == 0)) for i in range(120)]
+    got, want = toxicity.ftrl(rows, 3), plain_ftrl([(r.tolist(), y) for r, y in rows], 3)
+    assert set(got) == set(want) and 70 in got and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_toxicity_does_not_depend_on_partitions_or_names(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(40)}" for _ in range(20)) + (" vile" if i % 5 == 0 else "") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    docs = docs_of(spark, texts).withColumns({n: F.lit(n) for n in ("_id", "_order", "_toxic", "_score", "a b.c")})
+    one, two = (toxicity.fit(d, labels, rows_each=50) for d in (docs, docs.repartition(7)))
+    assert one == two
+    kept = toxicity.keep_clean(docs, labels, rows_each=50)
+    assert kept.columns == docs.columns and all(r.score == "clash" and r["a b.c"] == "a b.c" and r["_score"] == "_score" for r in kept.collect())
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rnd = random.Random(2)
     texts, toxic = [], []
@@ -211,6 +278,38 @@ def test_ids_are_the_tokenizers(reference_tokenizer):
         assert np.frombuffer(encode(t), "<u4").tolist() == reference_tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_of_long_white_space(reference_tokenizer):
+    encode = packing.encoder(TOKENIZER)
+    for t in ("a" + "\n" * 1_000_000 + "b", " " * 2_000_000, "x \t" + " \n" * 400_000):
+        assert np.frombuffer(encode(t), "<u4").tolist() == reference_tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    cut = packing.pieces(docs_of(spark, ["a", "b " * 3000, None]), TOKENIZER).withColumns({n: F.lit(n) for n in ("_group", "a b", "offset")})
+    out = packing.pack(cut)
+    assert out.columns == [c for c in cut.columns if c != "offset"] + ["sequence_id", "offset"]
+    assert {(r["_group"], r["a b"]) for r in out.collect()} == {("_group", "a b")}
+
+
+def test_packing_is_the_naive_best_fit():
+    """The bitset's bins are those of a plain search among open bins, the fullest closing first."""
+    rnd = random.Random(6)
+    sizes = [rnd.randrange(1, 65) for _ in range(3000)]
+    free, used, got = {}, 0, []
+    for n in sizes:
+        tight = min((f for f in free if f >= n and free[f]), default=None)
+        if tight is None:
+            if sum(map(len, free.values())) == 5:
+                free[min(f for f in free if free[f])].pop()
+            number, tight, used = used, 64, used + 1
+        else:
+            number = free[tight].pop()
+        got.append((number, 64 - tight))
+        if tight > n:
+            free.setdefault(tight - n, []).append(number)
+    assert list(packing.best_fit(iter(sizes), 64, 5)) == got
+
+
 def test_packing(spark, reference_tokenizer):
     texts = sample_texts(120)
     out = packing.pack(packing.pieces(docs_of(spark, texts), TOKENIZER, with_ids=True), group_rows=60).collect()
