@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ LENGTH, GRAM = 400, 128
 STEP = 17
 #: Windows that are hashed at once; the low bits of a packed hash hold a place in such a block.
 BLOCK = 1 << 20
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 25_000
 #: Up to so many digests (16 bytes each) are broadcast; beyond it both sides are shuffled.
 BROADCAST_DIGESTS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -216,6 +217,14 @@ def _suffixes(reps: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     return texts.join(wanted, "t").select("raw", "wanted").mapInArrow(run, "suffix binary, anchor long, hull binary, at int")
 
 
+def _tokens(suffixes: pa.Array) -> np.ndarray:
+    """A row a suffix (all of one length, none null): its bytes as unsigned numbers of eight bytes each."""
+    size = len(suffixes[0].as_buffer())
+    padded = np.zeros((len(suffixes), -(-size // 8) * 8), np.uint8)
+    padded[:, :size] = np.frombuffer(b"".join(x.as_buffer() for x in suffixes), np.uint8).reshape(-1, size)
+    return padded.view(">u8").astype(np.uint64)
+
+
 def _repeated(suffixes: DataFrame) -> DataFrame:
     """anchor, hull, at of the suffixes (of one length) that are met twice or more."""
     buckets = max(1, -(-suffixes.count() // BUCKET_ROWS))
@@ -228,9 +237,7 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
         if not parts:
             return
         rows = pa.Table.from_batches(parts).combine_chunks()
-        spelt = rows.column("suffix").to_pylist()
-        width = -(-len(spelt[0]) // 8) * 8
-        tokens = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in spelt), ">u8").reshape(len(spelt), -1).astype(np.uint64)
+        tokens = _tokens(rows.column("suffix").combine_chunks())
         order = multikey_quicksort(tokens)
         tokens = tokens[order]
         same = (tokens[1:] == tokens[:-1]).all(axis=1)
@@ -239,7 +246,7 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
         keep = np.flatnonzero(repeats | edge)
         rows, repeats, edge = rows.take(order[keep]), repeats[keep], edge[keep]
         # a suffix that is no edge is settled here, so its bytes need not travel on
-        at_edge = pa.array([x if e else None for x, e in zip(rows.column("suffix").to_pylist(), edge, strict=True)], pa.binary())
+        at_edge = pc.if_else(pa.array(edge), rows.column("suffix").combine_chunks(), pa.scalar(None, pa.binary()))
         columns = [at_edge, *[rows.column(c).combine_chunks() for c in names[1:4]], pa.array(repeats), pa.array(edge)]
         yield from pa.table(columns, names).to_batches()
 
