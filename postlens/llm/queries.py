@@ -64,19 +64,36 @@ def queries() -> dict:
 _SPACE = r"[\x20\x09-\x0D]"
 
 SQL = {
+    "op3_exact_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+            where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on len(q.v) = len(c.v) and q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+        select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 10""",
     "op4_exact_dedup": rf"""
         with d as (select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g') as norm from documents),
         g as (select *, first_value(doc_id) over (partition by norm order by chars desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from d)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g""",
     "op5_source_mixing": """
-        with d as (select *, strlen(coalesce(text, '')) as bytes from documents),
+        with d as (select *, strlen(coalesce(text, '')) as bytes, coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))) as name from documents),
         s as (select source, sum(bytes) as size, sum(sum(bytes)) over () as total, count(*) over () as n from d group by source),
-        r as (select source, least(total / n / size, 64.0) as rate from s),
-        t as (select source, rate, (select list(c order by k) from (
+        r as (select source, case when size > 0 then total / n / size else 0 end as rate from s),
+        p as (select source, rate, greatest(ceil(rate / 64), 1)::int as parts from r),
+        t as (select source, parts, (select list(c order by k) from (
                 select k, sum(p) over (order by k) as c from (
-                    select k, exp(-rate + k * ln(rate) - lgamma(k + 1)) as p from range(0, 600) as x(k)))) as cdf from r),
-        u as (select d.*, len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::bigint / pow(2, 52)))::int as n_copies from d join t using (source)),
+                    select k, case when rate > 0 then exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)) else (k = 0)::int end as p from range(0, 600) as x(k)))) as cdf from p),
+        u as (select d.*, list_sum(list_transform(range(0, parts), lambda part: len(list_filter(cdf, lambda c: c <=
+                ('0x' || substr(md5('mix-1:' || case when part = 0 then '' else 'part:' end || name || case when part = 0 then '' else ':' || part end), 1, 13))::bigint / pow(2, 52)))))::int as n_copies
+            from d join t on d.source is not distinct from t.source),
         c as (select u.*, unnest(range(0, n_copies))::int as copy from u)
         select doc_id, text, lang, source, n_chars, copy, n_copies,
-            ('0x' || substr(md5('mix-1:order:' || doc_id || ':' || copy), 1, 13))::bigint / pow(2, 52) as shuffle_key from c""",
+            ('0x' || substr(md5('mix-1:order:' || name || ':' || copy), 1, 13))::bigint / pow(2, 52) as shuffle_key from c""",
+    # a turn's brackets and tags take 20, 18, 16 or, with the role's name, 19 characters; each of \ < [ takes two
+    "op9_chat_formatting": r"""
+        with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, x, case x when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(0, 2) as t(x)),
+        f as (select *, length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) + case role when 'assistant' then 20 when 'user' then 18 when 'system' then 16
+            else 19 + length(role) + length(regexp_replace(role, '[^\\<\[\]]', '', 'g')) end as chars from r)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+            sum(chars)::bigint as formatted_chars from f group by conv_id""",
 }
