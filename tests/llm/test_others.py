@@ -100,11 +100,11 @@ def brute_topk(rows, queries, k=10):
     return out
 
 
-@pytest.mark.parametrize("seed_rows,chunk,block", [(2048, 4096, 1024), (16, 30, 4)])
+@pytest.mark.parametrize("seed_rows,chunk,block", [(2048, 4096, 1 << 25), (16, 30, 4 * 16 * 8)])
 def test_topk(spark, monkeypatch, seed_rows, chunk, block):
     monkeypatch.setattr(topk, "SEED_ROWS", seed_rows)
     monkeypatch.setattr(topk, "CHUNK_ROWS", chunk)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block)
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=16) * rng.choice([0.1, 1, 5])).tolist()) for i in range(300)]
     rows += [(i, rows[7][1]) for i in range(300, 330)]
@@ -114,6 +114,41 @@ def test_topk(spark, monkeypatch, seed_rows, chunk, block):
     assert got == brute_topk(rows, {i for i, _ in rows if i % 20 == 0})
 
 
+def test_topk_beyond_longs_and_of_repeated_ids(spark):
+    huge = [(0, [2.0**60, 1.0]), (1, [2.0**70, -1.0]), (2, [1e300, 3.0]), (3, [-1e300, 0.0]), (4, [2.0**70, 5.0]), (5, [0.0, 0.0]), (6, [-(2.0**80), 1.0]), (7, [1e308, 1.0])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    whole = lambda v: [math.floor(1024 * int(x)) if abs(x) > 2**40 else math.floor(1024 * x) for x in v]
+    q = whole(huge[0][1])
+    scores = sorted((-sum(a * b for a, b in zip(q, whole(v), strict=True)), i) for i, v in huge[1:7])  # 1e308 * 1024 is no double
+    got = sorted(topk.top_k(df, F.col("vec_id") == 0).collect(), key=lambda r: r.rank)
+    assert [r.vec_id for r in got] == [i for _, i in scores]
+    assert [r.score for r in got] == [max(-(2**63), min(2**63 - 1, -s)) for s, _ in scores]
+    twice = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0])]
+    df = spark.createDataFrame(twice, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect())
+    n = 1024 * 1024
+    assert got == sorted([(0, 1, 1, 3 * n), (0, 2, 1, 3 * n), (0, 3, 0, 2 * n), (0, 1, 1, 6 * n), (0, 2, 1, 6 * n), (0, 3, 0, 2 * n)])
+
+
+def test_topk_moves_what_is_reached_alone(spark, monkeypatch):
+    """Short vectors that no query can reach stay where they are."""
+    monkeypatch.setattr(topk, "CHUNK_ROWS", 50)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=8) * (10 if i < 200 else 0.01)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen, real = {}, topk.written
+
+    def look(df, name):
+        seen[name] = real(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(topk, "written", look)
+    got = {tuple(r) for r in topk.top_k(df, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") < 200)).collect()}
+    assert got == brute_topk(rows, set(range(0, 200, 20)))
+    reached = {r.bucket for r in seen["topk-met"].collect()}
+    assert len(reached) < 12 and seen["topk-shape"].count() > 50
+
+
 def test_topk_beyond_doubles_and_of_nothing(spark):
     rows = [(0, [2.0**18, 1.0]), (1, [2.0**18, 3.0]), (2, [2.0**18, 2.0]), (3, [-1.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
