@@ -44,9 +44,20 @@ def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column
 
 
 def _meet(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
-    """Equi-join on user and collection first; dates and order are a residual filter."""
+    """Equal user, collection and year first: each entry is in every year it touches, and a pair counts in the year in which its common part begins.
+
+    So entries of a user meet those of the same years alone. Dates and order are a residual filter.
+    """
+    year = lambda c: F.year(c)
+
+    def by_year(df: DataFrame, name: str) -> DataFrame:
+        # parsed dates as a column of their own, spread over years: one row for most entries
+        return df.select("user_id", "collection", "item_id", "start", "end", F.explode(F.sequence(year("start"), year(F.greatest("end", "start")))).alias("year")).alias(name)
+
+    keys = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.collection") == F.col("b.collection")) & (F.col("a.year") == F.col("b.year"))
     near = (F.col("a.start") <= F.greatest("b.end", "b.start")) & (F.col("b.start") <= F.greatest("a.end", "a.start"))
-    pairs = left.alias("a").join(right.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.collection") == F.col("b.collection")) & near & apart)
+    once = F.col("a.year") == year(F.greatest("a.start", "b.start"))
+    pairs = by_year(left, "a").join(by_year(right, "b"), keys & once & near & apart)
     ratio = overlap_ratio(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
     return pairs.select("a.user_id", "a.collection", F.col("a.item_id").alias("left_id"), F.col("b.item_id").alias("right_id"), ratio.alias("ratio")).filter(F.col("ratio") >= OVERLAP)
 

@@ -28,22 +28,33 @@ def active(subs: DataFrame, institutions: DataFrame) -> DataFrame:
     return watched(subs).filter(F.trim("keyword") != "").join(ok, ["id", "institution_id"], "left_semi")
 
 
-def like_hits(watching: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Subscriptions joined with the postings of their institutions whose title or text holds the keyword as LIKE does."""
-    j = jobs.select("institution_id", F.col("id").alias("job_id"), "title", "raw_text", "fetched_at")
-    like = contains_like(F.col("title"), F.col("keyword")) | contains_like(F.col("raw_text"), F.col("keyword"))
-    return watching.join(j, "institution_id").filter(like)
+def keyword_hits(watching: DataFrame, jobs: DataFrame, since: str | None = None) -> DataFrame:
+    """watching joined with the postings that hold its keyword in title, text or institution name, as LIKE does; `whole` says whether as a word.
 
-
-def refined(hits: DataFrame) -> DataFrame:
-    return hits.filter(txt_keyword_match(F.concat_ws(" ", "title", "raw_text"), F.col("keyword")))
+    A keyword is looked for once an institution, however many subscriptions share it, and with `since` (a
+    column of watching) only in postings after the least checkpoint of these. An ASCII keyword must be a word.
+    """
+    after = F.lit(None).cast("timestamp") if since is None else F.col(since)
+    asked = watching.groupBy("institution_id", "keyword").agg(F.min(after).alias("_least"), F.bool_or(after.isNull()).alias("_all"))
+    j = jobs.select("institution_id", F.col("id").alias("job_id"), "title", "raw_text", "institution_name", "fetched_at")
+    if since is not None:
+        first = watching.agg(F.min(since).alias("least"), F.count_if(F.col(since).isNull()).alias("open")).first()
+        if first.least is not None and not first.open:
+            j = j.filter(F.col("fetched_at") > F.lit(first.least))  # reaches the scan
+    like = contains_like(F.col("title"), F.col("keyword")) | contains_like(F.col("raw_text"), F.col("keyword")) | contains_like(F.col("institution_name"), F.col("keyword"))
+    met = j.join(asked, "institution_id").filter((F.col("_all") | (F.col("fetched_at") > F.col("_least"))) & F.coalesce(like, F.lit(False)))
+    text = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "institution_name", "raw_text")])
+    whole = ~F.trim("keyword").rlike(r"^[\x00-\x7F]*$") | txt_keyword_match(text, F.col("keyword"))
+    hits = met.select("institution_id", "keyword", "job_id", "title", "fetched_at", whole.alias("whole"))
+    out = watching.join(hits, ["institution_id", "keyword"])
+    return out if since is None else out.filter(F.col(since).isNull() | (F.col("fetched_at") > F.col(since)))
 
 
 def sub_new_jobs(watching: DataFrame, jobs: DataFrame, since: str = "last_checked_at", cap: int = HIT_CAP) -> DataFrame:
     """Hits fetched after the checkpoint; the newest `cap` LIKE hits of a subscription first, then whole words among them."""
-    fresh = like_hits(watching, jobs).filter(F.col(since).isNull() | (F.col("fetched_at") > F.col(since)))
+    fresh = keyword_hits(watching, jobs, since)
     w = Window.partitionBy("id").orderBy(F.desc("fetched_at"), F.desc("job_id"))
-    return refined(fresh.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap))
+    return fresh.withColumn("place", F.row_number().over(w)).filter((F.col("place") <= cap) & F.col("whole"))
 
 
 def sub_new_count(subs: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,14 +65,14 @@ def sub_new_count(subs: DataFrame, new: DataFrame) -> DataFrame:
 def sub_empty_30d(subs: DataFrame, watching: DataFrame, jobs: DataFrame, as_of: str, days: int = DAYS) -> DataFrame:
     """Subscriptions without a whole-word match in the last days."""
     since = F.timestamp_add("DAY", F.lit(-days), F.lit(as_of).cast("timestamp"))
-    some = refined(like_hits(watching, jobs.filter(F.col("fetched_at") >= since))).select("id")
+    some = keyword_hits(watching, jobs.filter(F.col("fetched_at") >= since)).filter("whole").select("id")
     return subs.join(some, "id", "left_anti")
 
 
 def sub_broad_keyword(watching: DataFrame, jobs: DataFrame) -> DataFrame:
     """id, matched, total, percent of subscriptions whose keyword matches over half of their institutions' postings."""
     totals = watching.join(jobs.groupBy("institution_id").agg(F.count(F.lit(1)).alias("n")), "institution_id").groupBy("id").agg(F.sum("n").alias("total"))
-    matched = refined(like_hits(watching, jobs)).groupBy("id").agg(F.count(F.lit(1)).alias("matched"))
+    matched = keyword_hits(watching, jobs).filter("whole").groupBy("id").agg(F.count(F.lit(1)).alias("matched"))
     ratio = F.col("matched") / F.col("total")
     return totals.join(matched, "id").filter(ratio > BROAD).select("id", "matched", "total", (ratio * 100).cast("int").cast("long").alias("percent"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import ingest
-from postlens.plans.registry import query
+from postlens.plans.registry import also, query
 from postlens.sources.bindings import EVENTS_AS_OF, Tables
 
 _K = "institution_id, source_url"
@@ -41,15 +41,14 @@ def posting_new_flag(t: Tables):
 
 
 _OUT = """select run_id, institution_id, coalesce(n, 0) as n_postings, case when e is not null then e when coalesce(n, 0) = 0 then 'zero_output' else 'success' end as outcome
-    from (select r.run_id, i.institution_id from (select distinct run_id from outcomes) r, (select distinct institution_id from outcomes where institution_id % 4 = 0) i)
+    from (select r.run_id, i.institution_id from (select distinct run_id from outcomes) r, (select distinct institution_id from outcomes) i)
     left join (select run_id, institution_id, min(error_type) as e, sum(n_postings)::bigint as n from outcomes group by 1, 2) using (run_id, institution_id)"""
 
 
 def _outcomes(t: Tables):
-    ids = t.outcomes.filter("institution_id % 4 = 0").select("institution_id").distinct()
+    # a run's targets are all institutions, by definition: runs (one row a day, broadcast) times targets rows
     runs = t.outcomes.select("run_id").distinct()
-    # a run's targets are all institutions, by definition: runs times targets rows
-    targets = ids.groupBy().agg(F.collect_set("institution_id").alias("ids")).crossJoin(runs).select("run_id", F.explode("ids").alias("institution_id"))
+    targets = t.outcomes.select("institution_id").distinct().crossJoin(F.broadcast(runs))
     return ingest.run_outcomes(targets, t.outcomes)
 
 
@@ -83,40 +82,8 @@ def run_recent(t: Tables):
     return _summary(t).orderBy(F.desc("run_id")).limit(10)
 
 
-# the same with every institution as a target
-_EVERY = " where institution_id % 4 = 0", ""
-
-
-def _outcomes_all(t: Tables):
-    # one row a day is broadcast; runs times targets rows, by definition
-    runs = t.outcomes.select("run_id").distinct()
-    targets = t.outcomes.select("institution_id").distinct().crossJoin(F.broadcast(runs))
-    return ingest.run_outcomes(targets, t.outcomes)
-
-
-def _summary_all(t: Tables):
-    return ingest.run_summary(_outcomes_all(t)).withColumn("errors", F.array_join("errors", ","))
-
-
-@query(_OUT.replace(*_EVERY))
-def run_outcomes_all(t: Tables):
-    return _outcomes_all(t)
-
-
-@query(_RUNS.replace(*_EVERY))
-def run_summary_all(t: Tables):
-    return _summary_all(t)
-
-
-@query(f"""select run_id, institution_id, (sum(case when outcome = 'success' then n_postings else 0 end) over w)::bigint as success_so_far, (sum((outcome <> 'success')::int) over w)::bigint as failures_so_far
-    from ({_OUT.replace(*_EVERY)}) window w as (partition by run_id order by institution_id rows unbounded preceding)""")
-def run_progress_all(t: Tables):
-    return ingest.run_progress(_outcomes_all(t)).select("run_id", "institution_id", "success_so_far", "failures_so_far")
-
-
-@query(f"select * from ({_RUNS.replace(*_EVERY)}) order by run_id desc limit 10")
-def run_recent_all(t: Tables):
-    return _summary_all(t).orderBy(F.desc("run_id")).limit(10)
+for _name in ("run_outcomes", "run_summary", "run_progress", "run_recent"):
+    also(_name, f"{_name}_all")
 
 
 @query(f"""select count(*) = 0 as due from (select * from (select run_id * 1000 + institution_id as run, min(happened) as started_at, min(trigger) as trigger from outcomes group by 1) order by started_at desc, run desc limit 50)

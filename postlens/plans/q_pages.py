@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from postlens.lexicon import SYNTH
 from postlens.operators import extract as E
 from postlens.operators import profiles
-from postlens.plans import q_ingest
+from postlens.plans import q_ingest, q_people
 from postlens.plans.q_people import _watching
-from postlens.plans.registry import query
+from postlens.plans.registry import also, query
 from postlens.sources import pages as P
 from postlens.sources.bindings import Tables
 from postlens.sources.sinks import shared_folder, write_table
@@ -49,15 +49,6 @@ def src_pages(t: Tables):
     return read(mobile, 2).unionByName(read(rest, 3)).select("page_id", "url")
 
 
-@query("""with g as (select 'b' || (l_suppkey % 7) as a, 's' || (l_suppkey % 2) as s, row_number() over (partition by l_suppkey % 7 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as r, l_suppkey % 7 as m, case when l_suppkey % 7 = 3 then 130 else 3 end as w from lineitem where l_orderkey <= 5000),
-    x as (select a, case when count(*) > 5000 then 'rows' when max(w) > 128 then 'columns' when sum(w) > 200000 then 'cells' end as reason, count(*) as n from g group by 1) select a as attachment_url, coalesce(reason, 'ok') as state, n from x""")
-def src_attachment_grid(t: Tables):
-    l = t.read("lineitem").filter("l_orderkey <= 5000")  # noqa: E741
-    width = F.when(F.col("l_suppkey") % 7 == 3, 130).otherwise(3)
-    cells = l.select(F.format_string("b%d", F.col("l_suppkey") % 7).alias("attachment_url"), F.format_string("s%d", F.col("l_suppkey") % 2).alias("sheet"), F.col("l_linenumber").alias("row_index"), F.array_repeat(F.lit("x"), width).alias("cells"))
-    return _grid_states(cells)
-
-
 def _grid_states(cells):
     ok, bad = E.read_grid(cells)
     n = cells.groupBy("attachment_url").agg(F.count(F.lit(1)).alias("n"))
@@ -69,7 +60,7 @@ _BLOCK = "l_orderkey // case l_suppkey % 7 when 1 then 50000 when 5 then 4000 el
 
 @query(f"""with g as (select 'b' || (l_suppkey % 7) || '-' || ({_BLOCK}) as a, case l_suppkey % 7 when 3 then 130 when 5 then 100 else 3 end as w from lineitem),
     x as (select a, case when count(*) > 5000 then 'rows' when max(w) > 128 then 'columns' when sum(w) > 200000 then 'cells' end as reason, count(*) as n from g group by 1) select a as attachment_url, coalesce(reason, 'ok') as state, n from x""")
-def src_attachment_grid_all(t: Tables):
+def src_attachment_grid(t: Tables):
     """Grids of all of lineitem: their number grows with it, and they lie on both sides of each limit."""
     m = F.col("l_suppkey") % 7
     block = F.call_function("div", F.col("l_orderkey"), F.when(m == 1, 50_000).when(m == 5, 4000).otherwise(1000))
@@ -78,6 +69,9 @@ def src_attachment_grid_all(t: Tables):
     return _grid_states(cells)
 
 
+also("src_attachment_grid", "src_attachment_grid_all")
+
+
 @query()
 def src_profiles(t: Tables):
     k = F.col("c_custkey")
@@ -213,53 +207,60 @@ def assemble_posting(t: Tables):
     return out.select("id", "job_category", "education", "profession", F.array_join("tags", "|").alias("tags"), "source_text_hash", "confidence", F.length("requirements").cast("long").alias("n_requirements"))
 
 
-# streams: files of the same table, several micro-batches; the state must equal the batch result
-def _run(start, *args):
-    start(*args).awaitTermination()
+# streams: the same table in several micro-batches; what they add, folded, must equal the batch result
+def _fed(t: Tables, rows, slice_of: str, name: str, start):
+    """Lands the slices of rows one after the other and runs the stream over each, as arrivals would; start(source, checkpoint, target)."""
+    folder = shared_folder(t.spark, name)
+    rows.withColumn("_slice", F.expr(slice_of)).write.partitionBy("_slice").parquet(f"{folder}/landed")
+    landed = t.spark.read.parquet(f"{folder}/landed")
+    for (number,) in sorted(landed.select("_slice").distinct().collect()):  # a few periods
+        landed.filter(F.col("_slice") == number).select(rows.columns).write.mode("append").parquet(f"{folder}/in")
+        source = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        start(source, f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out"), folder
 
 
-def _sliced(t: Tables, rows, order: str, name: str):
-    """Micro-batches in the order of a column: a file each, in the order of names and times."""
-    folder = shared_folder(t.spark, name)
-    cuts = rows.agg(F.percentile_approx(order, [0.25, 0.5, 0.75])).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = rows
-        if low is not None:
-            part = part.filter(F.col(order) > F.lit(low))
-        if high is not None:
-            part = part.filter(F.col(order) <= F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+_PERIOD = "cast(floor(year(fetched_at) / 2) as int)"
 
 
 @query(q_ingest._CUR)
 def stream_posting_upsert(t: Tables):
-    source, folder = _sliced(t, t.observations, "fetched_at", "postings")
-    _run(streams.stream_posting_upsert, source, f"{folder}/checkpoint", f"{folder}/state")
-    return streams.current(streams.VersionedTable(t.spark, f"{folder}/state").read()).withColumn("fetched_at", F.unix_timestamp("fetched_at"))
+    added, _ = _fed(t, t.observations, _PERIOD, "postings", streams.stream_posting_upsert)
+    return streams.current(streams.versions(added)).withColumn("fetched_at", F.unix_timestamp("fetched_at"))
 
 
 @query(f"select *, case when consecutive_failures = 0 then 'success' when consecutive_failures >= 2 then 'review' else 'failed' end as status from ({q_ingest._HEALTH})")
 def stream_source_health(t: Tables):
-    source, folder = _sliced(t, t.outcomes, "seq", "health")
-    _run(streams.stream_source_health, source, f"{folder}/checkpoint", f"{folder}/state")
-    return streams.VersionedTable(t.spark, f"{folder}/state").read()
+    added, _ = _fed(t, t.outcomes, "cast(floor(run_id / 8) as int)", "health", streams.stream_source_health)
+    return streams.health(added)
 
 
-@query()
+#: A period's pushes: what is new since the checkpoint, the newest hundred first; the checkpoint of the next push is the period's last posting.
+_PUSHES = f"""with h as (select *, coalesce(last_pushed_at, last_checked_at) as first_since, year(fetched_at) // 2 as period from ({q_people._HITS})),
+    top as (select * from (select *, row_number() over (partition by id, period order by fetched_at desc, job_id desc) as place from h where fetched_at > first_since) where place <= 100 and {q_people._WORD}),
+    through as (select year(fetched_at) // 2 as period, max(fetched_at) as ends from jobs group by 1),
+    push as (select id, period, any_value(first_since) as first_since, count(*) as job_count, list_slice(list(title order by fetched_at desc, job_id desc), 1, 3) as shown from top group by 1, 2),
+    told as (select p.*, coalesce(lag(ends) over (partition by id order by p.period), first_since) as since from push p join through using (period))"""
+
+
+def _notices(t: Tables, times: int):
+    watching = _watching(t)
+
+    def start(source, checkpoint, target):
+        for _ in range(times - 1):
+            streams.stream_sub_scan(source, watching, checkpoint, target).awaitTermination()
+        return streams.stream_sub_scan(source, watching, checkpoint, target)
+
+    return _fed(t, t.jobs, _PERIOD, "scan", start)[0]
+
+
+@query(_PUSHES + " select id as subscription_id, epoch(since)::bigint as since, job_count, array_to_string(shown, '、') || case when job_count > 3 then ' 等 ' || job_count || ' 条' else '' end as summary from told")
 def stream_sub_scan(t: Tables):
-    source, folder = _sliced(t, t.jobs, "fetched_at", "scan")
-    _run(streams.stream_sub_scan, source, _watching(t), f"{folder}/checkpoint", f"{folder}/state")
-    out = streams.VersionedTable(t.spark, f"{folder}/state").read()
-    return out.select("subscription_id", F.unix_timestamp("since").alias("since"), "job_count", "summary")
+    return _notices(t, 1).select("subscription_id", F.unix_timestamp("since").alias("since"), "job_count", "summary")
 
 
-@query("select 0::bigint as duplicates")
+@query(_PUSHES + " select id as subscription_id, count(*) as pushes, count(*) - count(distinct since) as duplicates, sum(job_count)::bigint as jobs from told group by 1")
 def sub_no_duplicate_push(t: Tables):
-    """Rows that share (subscription_id, since) after a stream that was started twice."""
-    source, folder = _sliced(t, t.jobs, "fetched_at", "scan")
-    for _ in range(2):
-        _run(streams.stream_sub_scan, source, _watching(t), f"{folder}/checkpoint", f"{folder}/state")
-    out = streams.VersionedTable(t.spark, f"{folder}/state").read()
-    return out.groupBy("subscription_id", "since").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    """Pushes of a subscription, and how many of them share a checkpoint, after a stream that was started twice for each arrival."""
+    out = _notices(t, 2)
+    return out.groupBy("subscription_id").agg(F.count(F.lit(1)).alias("pushes"), (F.count(F.lit(1)) - F.countDistinct("since")).alias("duplicates"), F.sum("job_count").alias("jobs"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postlens.operators import drafts as D
 from postlens.operators import intervals as I
 from postlens.operators import subscriptions as S
-from postlens.plans.registry import query
+from postlens.plans.registry import also, query
 from postlens.sources.bindings import AS_OF, Tables
 
 _DATE = """case when lower(trim({c})) in ('至今', 'now', 'present', 'current') then date '{as_of}' when regexp_matches(trim({c}), '^\\d{4}(-\\d{1,2}){0,2}$')
@@ -53,16 +53,13 @@ def overlap_flagged(t: Tables):
     return I.overlap_flagged(I.overlap_pairs(_intervals(t)))
 
 
-@query(_PAIRS.replace("{apart}", "a.item_id <> b.item_id and a.item_id % 10 = 3"))
+@query(_PAIRS.replace("{apart}", "a.item_id <> b.item_id"))
 def overlap_new_item(t: Tables):
     iv = _intervals(t)
-    return I.overlap_new_item(iv, iv.filter("item_id % 10 = 3"))
+    return I.overlap_new_item(iv, iv)
 
 
-@query(_PAIRS.replace("{apart}", "a.item_id <> b.item_id"))
-def overlap_new_item_all(t: Tables):
-    iv = _intervals(t)
-    return I.overlap_new_item(iv, iv)
+also("overlap_new_item", "overlap_new_item_all")
 
 
 @query("select l_orderkey as user_id, sum((l_returnflag <> 'N' or l_linenumber = 2)::int)::bigint as n_nonblank, sum((l_returnflag <> 'N' or l_linenumber = 2)::int) = 0 as is_empty from lineitem group by 1")
@@ -198,9 +195,10 @@ def text_constraints(t: Tables):
 _LC = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WATCH = "select *, unnest(institution_ids) as institution_id from subscriptions where not deleted"
 _ACTIVE = f"select w.* from ({_WATCH}) w join institutions i on i.id = w.institution_id where i.enabled and i.last_status <> 'failed' and trim(keyword) <> ''"
-_HITS = f"""select w.*, j.id as job_id, j.title, j.raw_text, j.fetched_at from ({_ACTIVE}) w join jobs j on j.institution_id = w.institution_id
-    where {_LC.format(c='j.title')} like '%' || {_LC.format(c='keyword')} || '%' or {_LC.format(c='j.raw_text')} like '%' || {_LC.format(c='keyword')} || '%'"""
-_WORD = "regexp_matches(title || ' ' || raw_text, '(?i)(^|[^A-Za-z0-9])' || replace(keyword, '.', '\\.') || '($|[^A-Za-z0-9])')"
+_HITS = f"""select w.*, j.id as job_id, j.title, j.institution_name, j.raw_text, j.fetched_at from ({_ACTIVE}) w join jobs j on j.institution_id = w.institution_id
+    where {_LC.format(c='j.title')} like '%' || {_LC.format(c='keyword')} || '%' or {_LC.format(c='j.raw_text')} like '%' || {_LC.format(c='keyword')} || '%'
+    or {_LC.format(c='j.institution_name')} like '%' || {_LC.format(c='keyword')} || '%'"""
+_WORD = "regexp_matches(title || ' ' || institution_name || ' ' || raw_text, '(?i)(^|[^A-Za-z0-9])' || replace(keyword, '.', '\\.') || '($|[^A-Za-z0-9])')"
 _NEW = f"select * from (select *, row_number() over (partition by id order by fetched_at desc, job_id desc) as place from ({_HITS}) where fetched_at > last_checked_at) where place <= 100 and {_WORD}"
 
 
@@ -249,9 +247,9 @@ def sub_list(t: Tables):
     return S.sub_list(t.subscriptions).select("id", "user_id", "keyword", F.unix_timestamp("created_at").alias("created_at"))
 
 
-@query("""select s.id, epoch(coalesce(m, last_checked_at))::bigint as last_checked_at, epoch(last_pushed_at)::bigint as last_pushed_at from subscriptions s left join (select l_suppkey as id, max(l_shipdate)::timestamp as m from lineitem where l_returnflag = 'R' and l_linenumber = 7 group by 1) v on v.id = s.id""")
+@query("""select s.id, epoch(coalesce(m, last_checked_at))::bigint as last_checked_at, epoch(last_pushed_at)::bigint as last_pushed_at from subscriptions s left join (select l_suppkey as id, max(l_shipdate)::timestamp as m from lineitem group by 1) v on v.id = s.id""")
 def sub_mark_read(t: Tables):
-    visits = t.read("lineitem").filter("l_returnflag = 'R' and l_linenumber = 7").select(F.col("l_suppkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    visits = t.read("lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("at"))
     return S.sub_mark_read(t.subscriptions, visits).select("id", F.unix_timestamp("last_checked_at").alias("last_checked_at"), F.unix_timestamp("last_pushed_at").alias("last_pushed_at"))
 
 

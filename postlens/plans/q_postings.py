@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import market, postings
-from postlens.plans.registry import query
+from postlens.plans.registry import also, query
 from postlens.sources.bindings import AS_OF, Tables
 from postlens.sources.institutions import load_institutions, with_blocked_reason
 
@@ -114,22 +114,17 @@ def profile_latest(t: Tables):
     return users.join(postings.latest(saved, "user_id", "version"), "user_id", "left").fillna({"summary": "empty", "version": 0})
 
 
-@query("""select l_orderkey as draft_id, arg_max(l_returnflag, row(l_shipdate, l_linenumber, l_partkey, l_suppkey)) as decision, count(*) as updates from lineitem where l_orderkey % 50 = 7 group by 1""")
-def draft_latest(t: Tables):
-    return _latest_drafts(t.read("lineitem").filter("l_orderkey % 50 = 7"))
-
-
 @query("""select l_orderkey as draft_id, arg_max(l_returnflag, row(l_shipdate, l_linenumber, l_partkey, l_suppkey)) as decision, count(*) as updates from lineitem group by 1""")
-def draft_latest_all(t: Tables):
-    return _latest_drafts(t.read("lineitem"))
-
-
-def _latest_drafts(lines):
-    log = lines.select(F.col("l_orderkey").alias("draft_id"), F.col("l_returnflag").alias("decision"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
+def draft_latest(t: Tables):
+    seq = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("seq")
+    log = t.read("lineitem").select(F.col("l_orderkey").alias("draft_id"), F.col("l_returnflag").alias("decision"), seq)
     n = log.groupBy("draft_id").agg(F.count(F.lit(1)).alias("updates"))
     return postings.latest(log, "draft_id", "seq").drop("seq").join(n, "draft_id")
 
 
+also("draft_latest", "draft_latest_all")
+
+
 @query(f"""select id, case when age < 0 then '' when age <= 86400 then '新' when datediff('day', since::date, date '{AS_OF}') <= 1 then '今日' else '' end as tag
     from (select id, since, (epoch(timestamp '{AS_OF}') - epoch(since))::bigint as age from (select id, fetched_at + to_hours((id % 40)::int) as since from jobs))""")
 def freshness_tag(t: Tables):

@@ -117,14 +117,14 @@ class Tables:
     @cached_property
     def subscriptions(self) -> DataFrame:
         k = F.col("s_suppkey")
-        words = F.array(*map(F.lit, ("urgent", "HIGH", "customer", "machinery", "specified", " ", "build")))
+        words = F.array(*map(F.lit, ("urgent", "HIGH", "customer", "machinery", "specified", " ", "build", "supplier")))
         ids = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: (k + i * 3) % F.col("sources"))
         at = F.timestamp_add("DAY", (k % 900).cast("int"), F.lit("1999-01-01").cast("timestamp"))
         return (
             self.read("supplier")
             .crossJoin(F.broadcast(self._sources))
             .select(
-                k.alias("id"), (k % 20).alias("user_id"), F.get(words, (k % 7).cast("int")).alias("keyword"), F.array_distinct(ids).alias("institution_ids"),
+                k.alias("id"), (k % 20).alias("user_id"), F.get(words, (k % 8).cast("int")).alias("keyword"), F.array_distinct(ids).alias("institution_ids"),
                 at.alias("last_checked_at"), F.when(k % 3 == 0, F.timestamp_add("DAY", F.lit(60), at)).alias("last_pushed_at"), F.timestamp_add("DAY", F.lit(-30), at).alias("created_at"), (k % 17 == 0).alias("deleted"),
             )
         )
@@ -204,7 +204,7 @@ CTES = {
         case when event_type = 'error' then 0 else floor(abs(value))::bigint % 4 end as n_postings, case when event_type = 'error' then case when event_id % 2 = 0 then 'network' else 'outbound_blocked' end end as error_type,
         case when user_id % 3 = 0 then 'manual' else 'auto' end as trigger from events""",
     "postings_text": "select doc_id as id, source as institution, lang as region, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(text, '') as body from documents",
-    "subscriptions": """select s_suppkey as id, s_suppkey % 20 as user_id, ['urgent', 'HIGH', 'customer', 'machinery', 'specified', ' ', 'build'][s_suppkey % 7 + 1] as keyword,
+    "subscriptions": """select s_suppkey as id, s_suppkey % 20 as user_id, ['urgent', 'HIGH', 'customer', 'machinery', 'specified', ' ', 'build', 'supplier'][s_suppkey % 8 + 1] as keyword,
         list_distinct([(s_suppkey + i * 3) % sources for i in range(0, s_suppkey % 4 + 1)]) as institution_ids,
         timestamp '1999-01-01' + to_days((s_suppkey % 900)::int) as last_checked_at, case when s_suppkey % 3 = 0 then timestamp '1999-01-01' + to_days((s_suppkey % 900 + 60)::int) end as last_pushed_at,
         timestamp '1999-01-01' + to_days((s_suppkey % 900 - 30)::int) as created_at, s_suppkey % 17 = 0 as deleted from supplier, (select count(*) as sources from supplier)""",

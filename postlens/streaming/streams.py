@@ -1,75 +1,50 @@
 """Continuous forms of the ingest and subscription jobs.
 
-State is a set of Parquet tables, one folder a version; a pointer file names the last whole version. Each
-micro-batch reads that version, writes the next one and moves the pointer, so a batch that is run again
-after a failure starts from the same state and gives the same result. One query writes a target.
+Each micro-batch writes what it adds, and nothing else, to a folder of its number, so its work grows with
+the batch and not with what came before. A batch that runs again after a failure overwrites its own folder
+with the same rows. Readers fold the folders: `versions`, `health` and the notifications are associative.
+A batch's rows must not be older than those of batches before, as in a crawl.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postlens.operators import ingest, subscriptions
 
 
-class VersionedTable:
-    """A table at target/v=<n>, n being the last line of target/_versions, a text dataset of one row a version."""
+def _append(stream: DataFrame, target: str, checkpoint: str, step: Callable[[DataFrame, int], DataFrame]) -> StreamingQuery:
+    """Writes step(batch, number) of each micro-batch to target/batch=<number>; an empty folder -1 gives the target its columns."""
+    spark = stream.sparkSession
+    step(spark.createDataFrame([], stream.schema), -1).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
-    def __init__(self, spark: SparkSession, target: str):
-        self.spark, self.target = spark, target
-
-    def version(self) -> int:
-        fs, path = self._fs(f"{self.target}/_versions")
-        if not fs.exists(path):
-            return -1
-        return self.spark.read.schema("batch long").json(f"{self.target}/_versions").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
-
-    def _fs(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        v = self.version() if version is None else version
-        return None if v < 0 else self.spark.read.parquet(f"{self.target}/v={v}")
-
-    def commit(self, df: DataFrame, batch: int) -> None:
-        """Version = batch number: a batch that runs again overwrites its own folder."""
-        df.write.mode("overwrite").parquet(f"{self.target}/v={batch}")
-        self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")).coalesce(1).write.mode("append").json(f"{self.target}/_versions")
-
-
-def _fold(stream: DataFrame, target: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame, int], DataFrame]) -> StreamingQuery:
     def run(batch: DataFrame, number: int) -> None:
-        table = VersionedTable(batch.sparkSession, target)
-        last = table.version()
-        if last >= number:
-            return  # it was committed before the failure
-        table.commit(step(table.read(last), batch, number), number)
+        step(batch, number).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(log: DataFrame) -> DataFrame:
+    each = ingest.versioned(log).groupBy(*ingest.KEY, "version")
+    cols = [F.min_by(c, "seq").alias(c) for c in (*ingest.CONTENT, *ingest.DIMENSIONS)]
+    return each.agg(*cols, F.min("seq").alias("seq"), F.min_by("first_at", "seq").alias("first_at"), F.max_by("fetched_at", "seq").alias("fetched_at")).drop("version")
+
+
 def stream_posting_upsert(observations: DataFrame, checkpoint: str, target: str) -> StreamingQuery:
-    """Keeps for each identity one row a version: enough for current postings and snapshots.
+    """Each batch adds a row for each version of a posting that it saw: (first seq, content, first and last time, first dimensions).
 
-    A version is (first seq, content, first and last time, first dimensions). A batch's rows must not be
-    older than those of batches before, as in a crawl; read with `current` and `snapshots`.
+    Read with `versions`, then `current` or `snapshots`.
     """
+    return _append(observations, target, checkpoint, lambda batch, _: _versions(batch.withColumn("first_at", F.col("fetched_at"))))
 
-    def versions(log: DataFrame) -> DataFrame:
-        each = ingest.versioned(log).groupBy(*ingest.KEY, "version")
-        cols = [F.min_by(c, "seq").alias(c) for c in (*ingest.CONTENT, *ingest.DIMENSIONS)]
-        return each.agg(*cols, F.min("seq").alias("seq"), F.min_by("first_at", "seq").alias("first_at"), F.max_by("fetched_at", "seq").alias("fetched_at")).drop("version")
 
-    def step(old: DataFrame | None, batch: DataFrame, number: int) -> DataFrame:
-        new = versions(batch.withColumn("first_at", F.col("fetched_at")))
-        return new if old is None else versions(old.unionByName(new))
-
-    return _fold(observations, target, checkpoint, step)
+def versions(added: DataFrame) -> DataFrame:
+    """One row a version of a posting, of what the batches added."""
+    return _versions(added.drop("batch"))
 
 
 def current(state: DataFrame) -> DataFrame:
@@ -77,41 +52,55 @@ def current(state: DataFrame) -> DataFrame:
 
 
 def snapshots(state: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*ingest.KEY).orderBy("seq")
     out = state.withColumns({"captured_at": F.lead("first_at").over(w), "version": (F.row_number().over(w) - 1).cast("long"), "last_seen_at": F.col("fetched_at")}).filter("captured_at is not null")
     return out.select(*ingest.KEY, "version", *ingest.CONTENT, "last_seen_at", "captured_at")
 
 
 def stream_source_health(outcomes: DataFrame, checkpoint: str, target: str) -> StreamingQuery:
-    """institution_id, consecutive_failures, last_seq, status; a batch's leading failures go on from the counter before."""
+    """Each batch adds a row an institution: failures at its end, whether it succeeded at all, its last seq. Read with `health`."""
 
-    def step(old: DataFrame | None, batch: DataFrame, number: int) -> DataFrame:
+    def step(batch: DataFrame, number: int) -> DataFrame:
         log = ingest.health_log(batch)
-        new = log.groupBy("institution_id").agg(F.max_by("consecutive_failures", "seq").alias("n"), F.bool_or("ok").alias("any_ok"), F.max("seq").alias("seq"))
-        before = old if old is not None else batch.sparkSession.createDataFrame([], "institution_id long, consecutive_failures long, last_seq long, status string")
-        both = before.join(new, "institution_id", "full")
-        n = F.when(F.col("n").isNull(), F.col("consecutive_failures")).when(F.col("any_ok"), F.col("n")).otherwise(F.col("n") + F.coalesce("consecutive_failures", F.lit(0)))
-        out = both.select("institution_id", n.cast("long").alias("consecutive_failures"), F.coalesce("seq", "last_seq").alias("last_seq"))
-        return out.withColumn("status", ingest.health_status(F.col("consecutive_failures")))
+        return log.groupBy("institution_id").agg(F.max_by("consecutive_failures", "seq").alias("n"), F.bool_or("ok").alias("any_ok"), F.max("seq").alias("seq"))
+
+    return _append(outcomes, target, checkpoint, step)
+
 
-    return _fold(outcomes, target, checkpoint, step)
+def health(added: DataFrame) -> DataFrame:
+    """institution_id, consecutive_failures, last_seq, status: the failures of a batch go on from those before unless it had a success."""
+    own = Window.partitionBy("institution_id")
+    since = F.coalesce(F.max(F.when(F.col("any_ok"), F.col("seq"))).over(own), F.lit(-1))
+    live = added.withColumn("_since", since).filter((F.col("seq") >= F.col("_since")))
+    out = live.groupBy("institution_id").agg(F.sum("n").cast("long").alias("consecutive_failures"), F.max("seq").alias("last_seq"))
+    return out.withColumn("status", ingest.health_status(F.col("consecutive_failures")))
 
 
 def stream_sub_scan(jobs: DataFrame, watching: DataFrame, checkpoint: str, target: str) -> StreamingQuery:
-    """Notifications of each batch of new postings. (subscription_id, since) is their key, so a scan that runs again pushes nothing twice.
+    """Notifications of each batch of new postings, keyed by (subscription_id, since): a scan that runs again pushes nothing twice.
 
-    Within a batch a subscription's checkpoint is its last push in the notifications so far.
+    A subscription's checkpoint is its last push in the batches before, which is kept apart (target/_pushed,
+    a row a subscription, two folders in turn), so a batch reads the subscriptions and not the notifications.
     """
+    spark = jobs.sparkSession
+    pushed = f"{target}/_pushed/turn="
+    none = spark.createDataFrame([], "id long, through timestamp, batch long")
 
-    def step(old: DataFrame | None, batch: DataFrame, number: int) -> DataFrame:
-        subs = watching
-        if old is not None:
-            pushed = old.groupBy(F.col("subscription_id").alias("id")).agg(F.max("pushed_through").alias("_through"))
-            subs = watching.join(pushed, "id", "left").withColumn("last_pushed_at", F.coalesce("_through", "last_pushed_at")).drop("_through")
+    def before(number: int) -> DataFrame:
+        """The pushes up to the batch before; a batch that runs again finds them untouched."""
+        return none if number <= 0 else spark.read.schema(none.schema).parquet(f"{pushed}{(number - 1) % 2}")
+
+    def step(batch: DataFrame, number: int) -> DataFrame:
+        last = before(number)
+        subs = watching.join(last.select("id", "through"), "id", "left").withColumn("last_pushed_at", F.coalesce("through", "last_pushed_at")).drop("through")
         through = batch.agg(F.max("fetched_at").alias("pushed_through"))
-        new = subscriptions.sub_scan(subs, batch).crossJoin(F.broadcast(through))  # one row
-        return new if old is None else old.unionByName(new).dropDuplicates(["subscription_id", "since"])
+        return subscriptions.sub_scan(subs, batch).crossJoin(F.broadcast(through))  # one row
+
+    def run(batch: DataFrame, number: int) -> None:
+        step(batch, number).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new = spark.read.parquet(f"{target}/batch={number}").select(F.col("subscription_id").alias("id"), F.col("pushed_through").alias("through"))
+        both = before(number).select("id", "through").unionByName(new).groupBy("id").agg(F.max("through").alias("through"))
+        both.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{pushed}{number % 2}")
 
-    return _fold(jobs, target, checkpoint, step)
+    step(spark.createDataFrame([], jobs.schema), -1).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    return jobs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -43,7 +43,7 @@ def test_streamed_versions_equal_the_batch(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         streams.stream_posting_upsert(source, f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
-    state = streams.VersionedTable(spark, f"{tmp_path}/t").read()
+    state = streams.versions(spark.read.parquet(f"{tmp_path}/t"))
     assert sorted(map(tuple, streams.current(state).collect())) == sorted(map(tuple, ingest.posting_current(log).collect()))
     cols = ["institution_id", "source_url", "version", "raw_text", "last_seen_at", "captured_at"]
     assert sorted(map(tuple, streams.snapshots(state).select(cols).collect())) == sorted(map(tuple, ingest.posting_snapshots(log).select(cols).collect()))
@@ -54,7 +54,7 @@ def test_streamed_health_equals_the_batch(spark, tmp_path):
     for k in range(4):
         log.filter(f"seq >= {k * 10} and seq < {k * 10 + 10}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     streams.stream_source_health(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
-    assert sorted(map(tuple, streams.VersionedTable(spark, f"{tmp_path}/t").read().collect())) == sorted(tuple(r) for r in ingest.source_health(log).select("institution_id", "consecutive_failures", "last_seq", "status").collect())
+    assert sorted(map(tuple, streams.health(spark.read.parquet(f"{tmp_path}/t")).collect())) == sorted(tuple(r) for r in ingest.source_health(log).select("institution_id", "consecutive_failures", "last_seq", "status").collect())
 
 
 @pytest.mark.parametrize("avg,low,failed,status", [(0.9, 0, 0, "stable"), (0.65, 0, 0, "watch"), (0.85, 25, 0, "watch"), (0.9, 0, 1, "review"), (0.9, 5, 0, "stable")])
@@ -163,10 +163,40 @@ def test_profiles(spark):
     assert f["education"].text == "s h 学历 学位 专业" and f["education"].field_id == "education-1" and f["skills"].text == "R"
 
 
+JOBS = "id long, institution_id long, title string, raw_text string, institution_name string, fetched_at timestamp"
+
+
+def test_keywords_are_looked_for_in_institution_names(spark):
+    rows = [(1, 9, "ICU", [1, 2], at(0), None), (2, 9, "ICU", [2], at(0), None), (3, 9, "医院a", [2], at(0), None), (4, 9, "RIC", [1], at(0), None), (5, 9, "icu", [3], at(0), None)]
+    subs = spark.createDataFrame(rows, "id long, user_id long, keyword string, institution_ids array<long>, last_checked_at timestamp, last_pushed_at timestamp")
+    inst = spark.createDataFrame([(n, True, "ok") for n in (1, 2, 3)], "id long, enabled boolean, last_status string")
+    jobs = spark.createDataFrame([(1, 1, "t", "r", "RICU org", at(1)), (2, 2, "t", None, "org ICU 医院A", at(2)), (3, 3, None, "", "ICU", at(0))], JOBS)
+    watching = subscriptions.active(subs, inst)
+    got = sorted((r.id, r.job_id) for r in subscriptions.sub_new_jobs(watching, jobs).collect())
+    assert got == [(1, 2), (2, 2), (3, 2)]  # RICU holds no word ICU, a keyword that is not ASCII matches as LIKE does, at(0) is not new
+    assert sorted(r.id for r in subscriptions.sub_empty_30d(subs, watching, jobs, "2100-01-01").collect()) == [1, 2, 3, 4, 5]
+    broad = {r.id: (r.matched, r.total, r.percent) for r in subscriptions.sub_broad_keyword(watching, jobs).collect()}
+    assert broad == {2: (1, 1, 100), 3: (1, 1, 100), 5: (1, 1, 100)}
+
+
+def test_streamed_scan_pushes_once(spark, tmp_path):
+    subs = spark.createDataFrame([(1, 9, "ICU", [1], at(0), None), (2, 9, "b", [1], at(0), at(3))], "id long, user_id long, keyword string, institution_ids array<long>, last_checked_at timestamp, last_pushed_at timestamp")
+    inst = spark.createDataFrame([(1, True, "ok")], "id long, enabled boolean, last_status string")
+    watching = subscriptions.active(subs, inst)
+    for k, titles in enumerate((["ICU", "x"], ["b"], ["ICU b", "ICU"])):
+        jobs = spark.createDataFrame([(10 * k + n, 1, t, "", "org", at(2 * k + n + 1)) for n, t in enumerate(titles)], JOBS)
+        jobs.write.mode("append").parquet(f"{tmp_path}/in")
+        for _ in range(2):
+            streams.stream_sub_scan(spark.readStream.schema(jobs.schema).parquet(f"{tmp_path}/in"), watching, f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
+    got = sorted((r.subscription_id, r.since, r.job_count) for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    assert got == [(1, at(0), 1), (1, at(2), 2), (2, at(3), 1)]
+
+
 def test_scan_uses_the_checkpoint_and_whole_words(spark):
     subs = spark.createDataFrame([(1, 9, "ICU", [1], at(1), None)], "id long, user_id long, keyword string, institution_ids array<long>, last_checked_at timestamp, last_pushed_at timestamp")
     inst = spark.createDataFrame([(1, True, "review")], "id long, enabled boolean, last_status string")
-    jobs = spark.createDataFrame([(n, 1, t, "", at(n)) for n, t in enumerate(["ICU", "ICU old", "RICU", "icu 护士", "ICU b", "x ICU", "ICU c"])], "id long, institution_id long, title string, raw_text string, fetched_at timestamp")
+    titles = ["ICU", "ICU old", "RICU", "icu 护士", "ICU b", "x ICU", "ICU c"]
+    jobs = spark.createDataFrame([(n, 1, t, "", "org", at(n)) for n, t in enumerate(titles)], JOBS)
     note = subscriptions.sub_scan(subscriptions.active(subs, inst), jobs).collect()
     assert [(n.job_count, n.job_ids, n.summary) for n in note] == [(4, [6, 5, 4, 3], "ICU c、x ICU、ICU b 等 4 条")]
 
