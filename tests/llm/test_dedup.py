@@ -298,7 +298,7 @@ def test_lines(spark):
                 line = rnd.choice([line[:p] + line[p + 1 :], line[:p] + "é" + line[p:], line[:p] + "z" + line[p + 1 :]])
             picked.append(line)
         texts.append("\n".join(picked))
-    for k, cap in ((1, 100), (1, 2), (2, 100), (2, 1)):
+    for k, cap in ((2, 100), (1, 1)):
         assert marks(docs_of(spark, texts), edits=k, list_cap=cap) == line_truth(texts, k, line_dedup.CHARS_PER_EDIT), (k, cap)
     sums = {r.doc_id: r for r in line_dedup.summary(docs_of(spark, texts)).collect()}
     assert set(sums) == set(range(len(texts))) and sums[0].n_lines == 0
@@ -343,7 +343,7 @@ def test_lines_of_a_template_make_no_square(spark):
     finally:
         line_dedup.written = real
     assert {i for (i, _), (copy, near) in got.items() if near} == {2000, 2001, 2002}
-    assert sum(n for name, n in posts if "pairs" in name) < 40_000, posts
+    assert sum(n for name, n in posts if "pairs" in name) < 20_000, posts
 
 
 def test_lines_of_odd_tables(spark):
