@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postlens.lexicon import SYNTH
@@ -9,6 +10,7 @@ from postlens.operators import extract as E
 from postlens.operators import profiles
 from postlens.plans import q_ingest, q_people
 from postlens.plans.q_people import _watching
+from postlens.plans.q_text import _ALL, _CAT, _EDU, _FIT, _NORM, _SCORES, _TAGS, _has, _q
 from postlens.plans.registry import also, query
 from postlens.sources import pages as P
 from postlens.sources.bindings import Tables
@@ -31,8 +33,6 @@ _CELLS = """select 'a' || (p_partkey % 300) as attachment_url, 's' || (p_partkey
 
 
 def _cells(t: Tables):
-    from pyspark.sql import Window
-
     k = F.col("p_partkey")
     w = Window.partitionBy("attachment_url", "sheet").orderBy("p_partkey")
     head = (k % 600 < 200) & (F.floor(k / 600) == 0)
@@ -72,7 +72,8 @@ def src_attachment_grid(t: Tables):
 also("src_attachment_grid", "src_attachment_grid_all")
 
 
-@query()
+@query("""select c_custkey as user_id, case when c_custkey % 11 <> 0 then c_name end as name, case when c_custkey % 11 <> 0 and c_custkey % 5 = 0 then 'graduate' else 'experienced' end as mode,
+    (c_custkey % 11 <> 0)::bigint as n_skills, case when c_custkey % 11 <> 0 then case c_custkey % 3 when 0 then 'advanced' when 1 then 'expert' end end as level from customer""")
 def src_profiles(t: Tables):
     k = F.col("c_custkey")
     skill = F.to_json(F.struct(F.col("c_name").alias("name"), F.get(F.array(*map(F.lit, ("熟练", "expert", "nonsense"))), (k % 3).cast("int")).alias("level")))
@@ -94,12 +95,29 @@ def sink_tables(t: Tables):
     return back.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-@query()
+def _ranked(df):
+    """Places in the page's order count from 1, as only a parser of the whole page knows its events."""
+    return df.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("long")).drop("pos")
+
+
+_PLAIN = "replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&amp;', '&')"
+_TEXT = _NORM.format(c=_PLAIN.format(c="regexp_replace({c}, '<[^>]*>', '', 'g')"))
+_A = '<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+#: The anchors of a page, in order.
+_ANCHORS = f"""select page_id, url, i as pos, {_PLAIN.format(c='hrefs[i]')} as href, {_TEXT.replace('{c}', 'texts[i]')} as text from (select *, unnest(range(1, len(hrefs) + 1)) as i from (
+    select page_id, url, regexp_extract_all(html, '{_A}', 1) as hrefs, regexp_extract_all(html, '{_A}', 2) as texts from (select page_id, url, regexp_replace(html, '(?s)<script.*?</script>|<!--.*?-->', '', 'g') as html from pages)))"""
+_HOST, _FREE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)", "regexp_replace(url, '[?#].*$', '')"
+_ABS = f"""case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href when starts_with(href, '//') then regexp_extract(url, '^([a-z]+):', 1) || ':' || href when starts_with(href, '/') then {_HOST} || href when starts_with(href, '?') then {_FREE} || href
+    when starts_with(href, '#') then regexp_replace(url, '#.*$', '') || href else case when regexp_matches({_FREE}, '^[a-z]+://[^/]*$') then {_FREE} || '/' else regexp_replace({_FREE}, '[^/]*$', '') end || href end"""
+
+
+@query(f"select page_id, row_number() over (partition by page_id order by pos) as n, text, {_ABS} as url from ({_ANCHORS}) where length(text) > 4 and length(text) < 40 and {_has('text', WORDS)}")
 def page_links(t: Tables):
-    return E.page_links(_events(t), _pages(t), WORDS, 4, 40)
+    return _ranked(E.page_links(_events(t), _pages(t), WORDS, 4, 40))
 
 
-@query()
+@query(f"""select page_id, text, {_ABS} as url, regexp_extract(item, '(\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}})', 1) as posted_at from (select page_id, url, {_PLAIN.format(c=f"regexp_extract(item, '{_A}', 1)")} as href,
+    {_TEXT.replace('{c}', f"regexp_extract(item, '{_A}', 2)")} as text, {_TEXT.replace('{c}', 'item')} as item from (select page_id, url, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) as item from pages)) where length(text) >= 4""")
 def page_links_dated(t: Tables):
     return E.page_links_dated(_events(t), _pages(t), min_len=4)
 
@@ -110,7 +128,10 @@ def page_generic_postings(t: Tables):
     return out.select("page_id", "title", "source_url", F.length("body").cast("long").alias("n_body"), "kind")
 
 
-@query()
+_PART = "trim(regexp_extract(body, '(?s)(?:{h})[：:]?\\s*(.*?)(?:[A]+、|\\n?$)', 1))"
+
+
+@query(f"""select id, t as title, length(case when d = '' and c = '' then substr(body, 1, 2000) else d || ' ' || c end) as n_body from (select id, body, {_PART.format(h='The')} as t, {_PART.format(h='In|Der')} as d, {_PART.format(h='On|Le')} as c from postings_text)""")
 def page_notice_sections(t: Tables):
     s = E.page_notice_sections(F.col("body"), "The", "In|Der", ("On", "Le"), "A")
     return t.postings_text.select("id", s.alias("s")).select("id", "s.title", F.length("s.body").cast("long").alias("n_body"))
@@ -125,7 +146,8 @@ def page_article_lines(t: Tables):
     return E.page_article_lines(_lines(t), WORDS, ("mail", "tel"), 3)
 
 
-@query()
+@query("""select id as page_id, 'u#job-' || i as source_url, case when length(trim(p[i + 1])) < 10 then trim('（一）' || p[i + 1]) else trim(p[i + 1]) end as body
+    from (select id, p, unnest(range(1, len(p))) as i from (select id, string_split(regexp_replace(body, '\\. ', '（一）', 'g'), '（一）') as p from postings_text))""")
 def page_split_announcement(t: Tables):
     text = F.concat(F.lit("招聘岗位"), F.regexp_replace("body", r"\. ", "（一）"), F.lit("一、"))
     return E.page_split_announcement(t.postings_text.select(F.col("id").alias("page_id"), F.lit("u").alias("url"), text.alias("text")))
@@ -138,10 +160,14 @@ def page_position_departments(t: Tables):
     return E.page_position_departments(rows)
 
 
-@query()
+_FILE = "lower(regexp_replace(link, '[?#].*$', ''))"
+
+
+@query(f"""select page_id, row_number() over (partition by page_id order by pos) as n, link as url, case when trim(text) <> '' then trim(text) else regexp_extract(link, '([^/?#]*)(?:[?#].*)?$', 1) end as name, regexp_extract({_FILE}, '\\.([a-z]+)$', 1) as extension
+    from (select page_id, link, min(pos) as pos, arg_min(text, pos) as text from (select *, {_ABS} as link from (select * replace (case when page_id % 3 = 0 then href || '.PDF?x=1' else href end as href) from ({_ANCHORS}))) where regexp_matches({_FILE}, '\\.(xlsx|xls|pdf)$') group by 1, 2)""")
 def page_attachment_links(t: Tables):
     ev = _events(t).withColumn("href", F.when(F.col("page_id") % 3 == 0, F.concat("href", F.lit(".PDF?x=1"))).otherwise(F.col("href")))
-    return E.page_attachment_links(ev, _pages(t))
+    return _ranked(E.page_attachment_links(ev, _pages(t)))
 
 
 @query("""select id, url, case when not coalesce(r, false) and r is not null then 'failed' when r then 'parsed' else 'discovered' end as status, case when r = false then 'http ' || id % 500 end as error
@@ -185,23 +211,32 @@ def grid_postings(t: Tables):
     return _grid(t).drop("raw_text").withColumn("row_index", F.col("row_index").cast("long"))
 
 
-@query()
+@query(f"""select page_id, regexp_extract(html, '<h1>([^<]*)', 1) as title, url as source_url, 'site' as parser_name, coalesce(n, 0) as n_attachments from pages left join (select regexp_extract(attachment_url, '(\\d+)', 1)::bigint as page_id, count(distinct sheet) as n from ({_CELLS}) group by 1) using (page_id)
+    union all select page_id, {_PICK.format(n='Title', d='posting')}, attachment_url || '#' || sheet || '-' || row_index, 'site-xlsx-v1', 0 from (select *, regexp_extract(attachment_url, '(\\d+)', 1)::bigint as page_id from ({_ROWS})) where len(pairs) > 0 and page_id in (select page_id from pages)""")
 def notice_with_attachments(t: Tables):
     page = F.regexp_extract("attachment_url", r"(\d+)", 1).cast("long")
-    notices = _pages(t).select("page_id", F.substring("html", 1, 20).alias("title"), F.col("url").alias("source_url"), F.lit("site").alias("parser_name"))
+    notices = _pages(t).select("page_id", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("title"), F.col("url").alias("source_url"), F.lit("site").alias("parser_name"))
     grid = _grid(t).select(page.alias("page_id"), "title", "source_url")
     states = _cells(t).select(page.alias("page_id"), F.col("sheet").alias("name"), F.lit("parsed").alias("status")).distinct()
     out = E.notice_with_attachments(notices, grid, states)
     return out.select("page_id", "title", "source_url", "parser_name", F.coalesce(F.size("attachments"), F.lit(0)).cast("long").alias("n_attachments"))
 
 
-@query()
+@query(f"""select page_id, "rank", link as url from (select page_id, link, row_number() over (partition by page_id order by min(pos)) as "rank" from (select *, {_ABS} as link from ({_ANCHORS})) where trim(href) <> '' and not starts_with(lower(href), 'data:')
+    and not regexp_matches(lower(href), 'icon|logo|banner|\\.gif') group by 1, 2) where "rank" <= 4""")
 def page_images(t: Tables):
     ev = _events(t).withColumns({"kind": F.when(F.col("kind") == "a", "img").otherwise(F.col("kind"))})
     return E.page_images(ev, _pages(t))
 
 
-@query()
+_RAWED = f"""select *, {_NORM.format(c="title || chr(10) || body")} as raw from (select *, title || ' ' || body as t from postings_text)"""
+_ASKED = f"select *, {_FIT} as k from (select *, {_NORM.format(c='body')} as n from ({_RAWED}))"
+_SURE = f"least(0.55::double + case when title <> '' then 0.1::double else 0 end + case when length(raw) > 80 then 0.1::double else 0 end + case when {_has('raw', SYNTH.education)} then 0.1::double else 0 end + case when len({_ALL}) > 0 then 0.1::double else 0 end, 0.95)"
+
+
+@query(f"""with a as ({_ASKED}), r as (select id, title, raw, {_FIT} as k, n from (select id, title, raw, raw as n from a)), c as (select id, {_SURE} as confidence from r)
+    select id, {_CAT} as job_category, {_EDU.replace('(t,', '(raw,')} as education, coalesce(nullif(array_to_string(list_filter({_q(SYNTH.professions)}, lambda w: contains(raw, w)), '、'), ''), 'any') as profession, array_to_string(list_sort(list_distinct({_TAGS})), '|') as tags, sha256(raw) as source_text_hash, confidence,
+    length(case when len({_ALL}) > 0 then array_to_string({_ALL}, '；') else body end) as n_requirements from (select *, {_SCORES} from a) join c using (id)""")
 def assemble_posting(t: Tables):
     out = E.assemble_posting(t.postings_text.withColumn("institution_type", F.col("institution")), SYNTH, "duties: ", "needs")
     return out.select("id", "job_category", "education", "profession", F.array_join("tags", "|").alias("tags"), "source_text_hash", "confidence", F.length("requirements").cast("long").alias("n_requirements"))

@@ -68,8 +68,8 @@ def txt_tags(t: Tables):
 
 
 # clauses end with a full stop here; the Chinese one stands for it in both
-_SIMPLE = f"""(select id, body, title, n, list_filter(list_transform(list_filter(string_split_regex(n, '[；;。]'), lambda p: {_has('p', L.simple_cues)}), lambda p: trim(p, ' ：:，,')), lambda p: length(p) between 4 and 120) as k
-    from (select id, body, title, {_NORM.format(c="replace(body, '.', '。')")} as n from postings_text))"""
+_FIT = f"list_filter(list_transform(list_filter(string_split_regex(n, '[；;。]'), lambda p: {_has('p', L.simple_cues)}), lambda p: trim(p, ' ：:，,')), lambda p: length(p) between 4 and 120)"
+_SIMPLE = f"""(select id, body, title, n, {_FIT} as k from (select id, body, title, {_NORM.format(c="replace(body, '.', '。')")} as n from postings_text))"""
 _DISTINCT = "list_filter(k, lambda x, i: list_position(k, x) = i)"
 _ALL = f"case when len(k) > 0 then list_slice({_DISTINCT}, 1, 10) else list_transform(list_filter({_q(L.simple_fallback)}, lambda w: contains(n, w)), lambda w: '{L.mention}' || w) end"
 
@@ -144,13 +144,28 @@ def req_block(t: Tables):
     return t.postings_text.select("id", F.sha2(block["block"], 256).alias("digest"), block["found"].alias("found"))
 
 
-@query()
+# what must stand before is matched and put back, as DuckDB's patterns have no look-behind
+_ENUM = T.ENUM.format(o=L.ordinals)
+_EDGES = "：:，,、.．)）(（ "
+_CLEAN = f"regexp_replace(regexp_replace(trim(regexp_replace(trim(p), '^(?:{_ENUM})', '')), '{T.LABEL}', ''), '^[{_EDGES}]+|[{_EDGES}]+$', '', 'g')"
+_PARTS = f"list_filter(list_transform(string_split_regex(regexp_replace({{c}}, '([；;。！!\\s])({_ENUM})', '\\1' || chr(10) || '\\2', 'g'), '[；;。！!\\n]'), lambda p: {_CLEAN}), lambda p: p <> '')"
+_DOTTED = _NORM.format(c="replace(body, '.', '。')")
+
+
+@query(f"select id, len(p) as n, array_to_string(p, '|') as clauses from (select id, {_PARTS.replace('{c}', 'n')} as p from (select id, {_DOTTED} as n from postings_text))")
 def req_split(t: Tables):
     parts = T.req_split(T.txt_normalize(F.replace("body", F.lit("."), F.lit("。"))), L)
     return t.postings_text.select("id", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("clauses"))
 
 
-@query()
+_HEADING = f"(length(p) <= {T.HEADING_MAX} and ({_has('p', (*L.headings, *L.other_headings))} or regexp_matches(p, '(?:{'|'.join(L.heading_endings)})$')))"
+_WANTED = f"length(p) between {T.REQ_MIN} and {T.REQ_MAX} and not {_HEADING} and not {_has('p', L.procedures)} and not {_has('p', L.employer)} and (found or {_has('p', L.cues)})"
+_UNTIL = f"list_position(list_transform(c, lambda p: length(p) <= {T.STOP_MAX} and {_has('p', L.stop_subheadings)}), true)"
+
+
+@query(f"""select id, array_to_string(k, '|') as requirements, case when n = '' then '{T.NO_TEXT}' when len(k) = 0 then '{T.NOTHING}' else '' end as warnings from (select id, n, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, {T.REQ_CAP}) as k from (
+    select id, n, list_filter(case when u > 0 then list_slice(c, 1, u - 1) else c end, lambda p: {_WANTED}) as w from (select *, coalesce({_UNTIL}, 0) as u from (
+    select id, n, found, {_PARTS.replace('{c}', 'block')} as c from (select id, n, {_BLOCK} as block, regexp_matches(n, '{_START}') as found from (select id, {_DOTTED} as n from postings_text))))))""")
 def req_segment(t: Tables):
     seg = T.req_segment(F.col("dotted"), L)
     return _dotted(t).select("id", F.array_join(seg["requirements"], "|").alias("requirements"), F.array_join(seg["warnings"], "|").alias("warnings"))

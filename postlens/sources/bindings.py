@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 AS_OF, EVENTS_AS_OF = "2001-08-01", "2024-01-31"
 
 
-RESUME_WORDS = (
-    ("the", "医院"), ("of", "助理"), ("and", "2021-2023"), ("in", "项目"), ("to", "熟悉SPSS"), ("is", "硕士"), ("with", "大学"), ("this", "发表论文"), ("der", "护士资格证"), ("die", "英语"), ("und", "六级"), ("le", "一等奖"), ("la", "教学"),
-    ("el", "未取得"), ("en", "2019.3至今"), ("The", "- "), ("For", "【教育经历】"), ("As", "技能"), ("Der", "一、工作经历"),
-)
+#: Words of documents and what stands for them in resume lines, so that the rules of imports have hits and misses.
+RESUME_WORDS = {
+    "the": "医院", "of": "助理", "and": "2021-2023", "in": "项目", "to": "熟悉SPSS", "is": "硕士", "with": "大学", "this": "发表论文", "der": "护士资格证", "die": "英语", "und": "六级", "le": "一等奖", "la": "教学", "el": "未取得",
+    "en": "2019.3-至今", "The": "\n- ", "For": "\n【教育经历】\n", "As": "\n技能\n", "Der": "\n一、工作经历\n", "Le": "\n姓名：王小明\n", "Die": "13812345678", "El": "a.b@c.org", "On": "学校：某某学院", "An": "\n张三丰\n",
+}
 
 
 class Tables:
@@ -152,12 +153,11 @@ class Tables:
 
     @cached_property
     def resume_lines(self) -> DataFrame:
-        """Lines of documents in which some words stand for the vocabulary of resumes, so that its rules have hits and misses."""
-        text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[.!?] ", "\n")
-        for word, said in RESUME_WORDS:
-            text = F.regexp_replace(text, rf"\b{word}\b", said)
-        cut = self.read("documents").select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "text"))
-        return cut.withColumn("text", F.trim("text"))
+        """Lines of documents in which some words stand for the vocabulary of resumes."""
+        said = F.create_map(*[F.lit(x) for kv in RESUME_WORDS.items() for x in kv])
+        words = F.transform(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda w: F.coalesce(F.try_element_at(said, w), w))
+        lines = F.split(F.regexp_replace(F.array_join(words, " "), "[.!?] ", "\n"), "\n", -1)
+        return self.read("documents").select("doc_id", F.posexplode(lines).alias("line_no", "text")).withColumn("text", F.trim("text"))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -182,6 +182,8 @@ class Tables:
         return self.read("part").filter("p_size < 40").select(F.col("p_partkey").alias("field_id"))
 
 
+_SAID = " ".join(f"when '{w}' then " + " || chr(10) || ".join(f"'{x}'" for x in said.split("\n")) for w, said in RESUME_WORDS.items())
+
 _INST = "({key}) % (select count(*) from supplier)"
 
 CTES = {
@@ -214,6 +216,8 @@ CTES = {
         from orders left join (select l_orderkey, max(l_quantity)::int as days from lineitem group by 1) on l_orderkey = o_orderkey""",
     "requirements": """select job_id, ord, clause from (select id as job_id, ord - 1 as ord, trim(parts[ord]) as clause from (
         select id, parts, unnest(range(1, len(parts) + 1)) as ord from (select id, string_split_regex(replace(body, chr(10), ' '), '[.!]') as parts from postings_text))) where length(clause) between 12 and 80""",
+    "resume_lines": f"""select doc_id, i - 1 as line_no, trim(parts[i]) as text from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from (select doc_id, string_split(regexp_replace(array_to_string(
+        list_transform(string_split(coalesce(text, ''), ' '), lambda w: case w {_SAID} else w end), ' '), '[.!?] ', chr(10), 'g'), chr(10)) as parts from documents))""",
     "facts": "select conv_id as user_id, conv_id || '-' || turn as field_id, role as collection, turn as idx, coalesce(text, '') as text from conversations",
     "draft_items": """select l_orderkey as draft_id, l_orderkey % 50 as user_id, ['identity', 'education', 'experiences', 'skills', 'gaps'][l_linenumber % 5 + 1] as section_id,
         row(l_linenumber, l_partkey, l_suppkey, l_quantity) as pos, 'part ' || l_partkey || ' of supplier ' || l_suppkey as text,
