@@ -6,6 +6,7 @@ all facts; `keys` (such as a user) must be equal as well when given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from postlens.functions import text as T
 from postlens.lexicon import ZH_MEDICAL, Lexicon
 
+#: Writes a table that is used several times to the shared folder, by a name, and reads it back; or leaves it as it is.
+Keep = Callable[[DataFrame, str], DataFrame]
 UNSEEN_IDF, DISTINCTIVE_IDF, CONCEPT_SHARE = 6.0, 3.0, 0.5
 MIN_SCORE, KEEP_RATIO, MOST = 0.15, 0.6, 3
 
@@ -38,7 +41,7 @@ def concept_weights(idf: DataFrame, lex: Lexicon) -> DataFrame:
     return members.join(idf, "token", "left").groupBy("concept").agg(F.max(F.coalesce("idf", F.lit(UNSEEN_IDF))).alias("weight"))
 
 
-def score_pairs(requirements: DataFrame, facts: DataFrame, idf: DataFrame, lex: Lexicon = ZH_MEDICAL, keys: tuple[str, ...] = ()) -> DataFrame:
+def score_pairs(requirements: DataFrame, facts: DataFrame, idf: DataFrame, lex: Lexicon = ZH_MEDICAL, keys: tuple[str, ...] = (), keep: Keep = lambda df, name: df) -> DataFrame:
     """requirements: req_id, clause [, keys]; facts: fact_id, text [, keys]. Returns keys, req_id, fact_id, score over 0.
 
     score = covered weight / own weight over distinct tokens, half a concept's weight for each concept,
@@ -50,7 +53,7 @@ def score_pairs(requirements: DataFrame, facts: DataFrame, idf: DataFrame, lex:
     own = requirements.select(*ks, "req_id", F.explode(concepts_of(F.col("clause"), lex)).alias("concept")).join(weights, "concept")
     literal = tokens.select(*ks, "req_id", "token", F.col("idf").alias("w"), (F.col("idf") >= DISTINCTIVE_IDF).alias("strong"))
     concept = own.select(*ks, "req_id", F.concat(F.lit("\x00"), "concept").alias("token"), (F.col("weight") * CONCEPT_SHARE).alias("w"), (~F.col("concept").isin(*lex.generic_concepts)).alias("strong"))
-    units = literal.unionByName(concept)  # what a fact can cover
+    units = keep(literal.unionByName(concept), "units")  # what a fact can cover
     whole = units.groupBy("req_id", *ks).agg(F.sum("w").alias("whole"))
     has = F.concat(F.array_distinct(T.tok(F.col("text"))), F.transform(concepts_of(F.col("text"), lex), lambda c: F.concat(F.lit("\x00"), c)))
     index = facts.filter(F.size(T.tok(F.col("text"))) > 0).select(*ks, "fact_id", F.explode(has).alias("token"))
@@ -77,16 +80,17 @@ def degree_highest(education: DataFrame, lex: Lexicon = ZH_MEDICAL) -> DataFrame
     return named.groupBy("user_id").agg(F.max("level").alias("level"), F.max_by(field, F.struct("level", -F.col("idx"))).alias("field_id"))
 
 
-def evidence_gaps(requirements: DataFrame, pairs: DataFrame, degrees: DataFrame, lex: Lexicon = ZH_MEDICAL) -> tuple[DataFrame, DataFrame]:
+def evidence_gaps(requirements: DataFrame, pairs: DataFrame, degrees: DataFrame, lex: Lexicon = ZH_MEDICAL, keep: Keep = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """requirements: user_id, req_id, clause; pairs as of score_pairs with key user_id; degrees: user_id, level, field_id.
 
     evidence: user_id, req_id, fact_id, score, strength; gaps: user_id, req_id, message, blocking. Eligibility
     and benefit clauses are left out, the degree gate decides first, then the scores.
     """
     asked = requirements.filter(~T.req_eligibility(F.col("clause"), lex) & ~T.req_benefits(F.col("clause"), lex)).join(degrees, "user_id", "left")
-    gated = asked.withColumn("gate", T.degree_gate(F.col("clause"), F.col("level"), F.col("field_id"), lex))
+    gated = keep(asked.withColumn("gate", T.degree_gate(F.col("clause"), F.col("level"), F.col("field_id"), lex)), "gated")
     fuzzy = gated.filter("gate is null").select("user_id", "req_id", "clause")
     found = best_matches(pairs.join(fuzzy.select("user_id", "req_id"), ["user_id", "req_id"], "left_semi"), keys=("user_id",))
+    found = keep(found, "found")
     met = gated.filter("gate.outcome = 'met'").select("user_id", "req_id", F.col("gate.profile_field_id").alias("fact_id"), F.lit(1.0).alias("score"), F.lit("strong").alias("strength"))
     evidence = found.select("user_id", "req_id", F.col("fact_id").cast("string").alias("fact_id"), "score", "strength").unionByName(met)
     unmet = gated.filter("gate.outcome <> 'met'").select("user_id", "req_id", T.gate_message(F.col("gate"), lex).alias("message"), (F.col("gate.outcome") == "not_met").alias("blocking"))

@@ -136,16 +136,18 @@ _LEFT = f"""with bl as materialized ({_BLOCKS}), basics as ({_BASICS}), routed a
 
 
 
-def _blocks(t: Tables):
-    return M.line_blocks(t.resume_lines)
+def _blocks(t: Tables, often: bool = False):
+    """Blocks of resume lines; a query that uses them several times keeps them as a table."""
+    blocks = M.line_blocks(t.resume_lines)
+    return t.keep(blocks, "blocks") if often else blocks
 
 
-def _primary(t: Tables):
-    return M.fact_primary(M.facts(_blocks(t)))
+def _primary(blocks):
+    return M.fact_primary(M.facts(blocks))
 
 
-def _routed(t: Tables):
-    return _primary(t).filter(M.fact_routing(F.col("confidence")) != "drop")
+def _routed(blocks):
+    return _primary(blocks).filter(M.fact_routing(F.col("confidence")) != "drop")
 
 
 def _fields(df):
@@ -199,13 +201,15 @@ def fact_confidence(t: Tables):
     named as (select *, unnest({_SKILLED}) as name from (select *, {_KEPT} as kept from sk))
     select doc_id, block, collection, name, confidence from prim union all select doc_id, block, collection, name, {_confidence('name', 'name', 'false')} from named""")
 def fact_primary(t: Tables):
-    skills = M.skill_facts(_blocks(t), _primary(t)).select("doc_id", "block", "collection", "name", "confidence")
-    return _primary(t).select("doc_id", "block", "collection", "f.name", "confidence").unionByName(skills)
+    blocks = _blocks(t, often=True)
+    primary = t.keep(_primary(blocks), "facts")
+    skills = M.skill_facts(blocks, primary).select("doc_id", "block", "collection", "name", "confidence")
+    return primary.select("doc_id", "block", "collection", "f.name", "confidence").unionByName(skills)
 
 
 @query(f"select collection, {_ROUTE} as route, count(*) as n from ({_PRIM}) group by 1, 2")
 def fact_routing(t: Tables):
-    return _primary(t).groupBy("collection", M.fact_routing(F.col("confidence")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    return _primary(_blocks(t)).groupBy("collection", M.fact_routing(F.col("confidence")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with bl as ({_BLOCKS}) {_BASICS}")
@@ -215,20 +219,20 @@ def doc_basics(t: Tables):
 
 @query(f"select doc_id, block, length(text) as n from ({_LEFT})")
 def doc_unassigned(t: Tables):
-    b = _blocks(t)
-    return M.doc_unassigned(b, _routed(t), M.doc_basics(b)).select("doc_id", "block", F.length("text").cast("long").alias("n"))
+    b = _blocks(t, often=True)
+    return M.doc_unassigned(b, _routed(b), M.doc_basics(b)).select("doc_id", "block", F.length("text").cast("long").alias("n"))
 
 
 @query(f'''select doc_id, block, collection, confidence, name, role, "year", "start", "end" from ({_PRIM}) where {_ROUTE} <> 'drop' qualify row_number() over (partition by doc_id, collection, name, role, "year", "start", "end" order by block) = 1''')
 def doc_dedupe(t: Tables):
-    return _fields(M.doc_dedupe(_routed(t)))
+    return _fields(M.doc_dedupe(_routed(_blocks(t))))
 
 
 @query(f"""select doc_id, blocks, round_even((texts - coalesce(n_left, 0)) / blocks, 2) as quality from (select doc_id, count(*) as blocks, count(distinct text) as texts from ({_BLOCKS}) group by 1)
     left join (select doc_id, count(distinct text) as n_left from ({_LEFT}) group by 1) using (doc_id)""")
 def doc_quality(t: Tables):
-    b = _blocks(t)
-    return M.doc_quality(b, M.doc_unassigned(b, _routed(t), M.doc_basics(b)))
+    b = _blocks(t, often=True)
+    return M.doc_quality(b, M.doc_unassigned(b, _routed(b), M.doc_basics(b)))
 
 
 @query(f"""with t as (select doc_id, line_no, {_NORM.format(c='text')} as text from resume_lines), s as (select *, case when text <> '' and length(text) <= 12 then {_COLLECTION.replace('{c}', _BARE.replace('{c}', 'text'))} end as own, {_STRIP.replace('{c}', 'text')} as body from t),

@@ -231,8 +231,10 @@ _PAIRS = f"""with idf as ({_IDF}), cw as ({_CW}), req as (select job_id as user_
 
 
 def _pairs(t: Tables):
+    """Pairs of the clauses asked, which are kept in t.asked, as is the idf of all clauses."""
     facts = t.facts.select("user_id", F.col("field_id").alias("fact_id"), "text")
-    return M.score_pairs(_asked(t), facts, M.idf_build(t.requirements), L, keys=("user_id",))
+    t.asked = t.keep(_asked(t), "asked")
+    return M.score_pairs(t.asked, facts, t.keep(M.idf_build(t.requirements), "idf"), L, keys=("user_id",), keep=t.keep)
 
 
 @query(_PAIRS)
@@ -264,7 +266,8 @@ _EG = f"""with pairs as ({_PAIRS}), gated as ({_GATE.format(rows=_KEPT)}), fuzzy
 
 
 def _evidence_gaps(t: Tables):
-    return M.evidence_gaps(_asked(t), _pairs(t), _degrees(t), L)
+    pairs = t.keep(_pairs(t), "pairs")
+    return M.evidence_gaps(t.asked, pairs, _degrees(t), L, t.keep)
 
 
 @query(_EG + " select user_id, req_id, fact_id, score, strength, null as message, null as blocking from evidence union all select user_id, req_id, null, null, null, message, blocking from gaps")
@@ -304,5 +307,6 @@ def jobs_with_match(t: Tables):
     j as (select case_id, expect, field_id as got from gold left join m on req_id = case_id and rank = 1)
     select count(*) as cases, sum((coalesce(got = expect, false) or (expect is null and got is null))::int)::bigint as "right", sum((expect is not null and got is not null and got <> expect)::int)::bigint as wrong_source, sum((expect is null and got is not null)::int)::bigint as false_positives from j""")
 def match_eval(t: Tables):
-    gold = _asked(t).select(F.col("req_id").alias("case_id"), F.when(F.col("req_id") % 2 == 0, F.format_string("%d-0", "user_id")).alias("expect"))
-    return M.match_eval(gold, M.best_matches(_pairs(t), keys=("user_id",)).withColumnRenamed("req_id", "case_id"))
+    pairs = _pairs(t)
+    gold = t.asked.select(F.col("req_id").alias("case_id"), F.when(F.col("req_id") % 2 == 0, F.format_string("%d-0", "user_id")).alias("expect"))
+    return M.match_eval(gold, M.best_matches(pairs, keys=("user_id",)).withColumnRenamed("req_id", "case_id"))

@@ -11,6 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.functions.text import REQ_MAX, REQ_MIN
+from postlens.sources.sinks import shared_folder, write_table
+
 #: The clock of queries over orders and of those over events.
 AS_OF, EVENTS_AS_OF = "2001-08-01", "2024-01-31"
 
@@ -29,6 +32,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table in the shared folder, for what a query uses several times."""
+        return write_table(df, shared_folder(self.spark, name))
+
     @cached_property
     def institutions(self) -> DataFrame:
         nation = self.read("nation").join(F.broadcast(self.read("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
@@ -147,9 +154,9 @@ class Tables:
 
     @cached_property
     def requirements(self) -> DataFrame:
-        """Clauses of postings: sentences of documents, short enough to be one."""
+        """Clauses of postings: sentences of documents of a clause's length."""
         cut = self.postings_text.select(F.col("id").alias("job_id"), F.posexplode(F.split(F.regexp_replace("body", "\n", " "), "[.!]")).alias("ord", "clause"))
-        return cut.withColumns({"clause": F.trim("clause"), "ord": F.col("ord").cast("long")}).filter(F.length("clause").between(12, 80))
+        return cut.withColumns({"clause": F.trim("clause"), "ord": F.col("ord").cast("long")}).filter(F.length("clause").between(REQ_MIN, REQ_MAX))
 
     @cached_property
     def resume_lines(self) -> DataFrame:
@@ -215,7 +222,7 @@ CTES = {
         case when o_orderkey % 31 = 0 then 'present' when days is null then '' else strftime(o_orderdate::date + days, '%Y-%-m-%-d') end as end_raw
         from orders left join (select l_orderkey, max(l_quantity)::int as days from lineitem group by 1) on l_orderkey = o_orderkey""",
     "requirements": """select job_id, ord, clause from (select id as job_id, ord - 1 as ord, trim(parts[ord]) as clause from (
-        select id, parts, unnest(range(1, len(parts) + 1)) as ord from (select id, string_split_regex(replace(body, chr(10), ' '), '[.!]') as parts from postings_text))) where length(clause) between 12 and 80""",
+        select id, parts, unnest(range(1, len(parts) + 1)) as ord from (select id, string_split_regex(replace(body, chr(10), ' '), '[.!]') as parts from postings_text))) where length(clause) between 4 and 140""",
     "resume_lines": f"""select doc_id, i - 1 as line_no, trim(parts[i]) as text from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from (select doc_id, string_split(regexp_replace(array_to_string(
         list_transform(string_split(coalesce(text, ''), ' '), lambda w: case w {_SAID} else w end), ' '), '[.!?] ', chr(10), 'g'), chr(10)) as parts from documents))""",
     "facts": "select conv_id as user_id, conv_id || '-' || turn as field_id, role as collection, turn as idx, coalesce(text, '') as text from conversations",
