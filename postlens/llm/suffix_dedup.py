@@ -13,9 +13,9 @@ first, exactly:
    parts of STEP windows by the distance to the anchor. A part whose core (the bytes that all its windows
    share) is met once repeats nowhere, one whose hull (all its bytes) is met again repeats whole.
 4. Parts of one core and several hulls have their windows spelt out as suffixes of `length` bytes. Sampled
-   splitters range-partition the suffixes by their bytes, each bucket sorts its own by multikey quicksort on
-   tokens of eight bytes, and equal neighbours repeat: whole byte strings are compared. A frequent suffix may
-   straddle buckets, so the first and last suffix of each bucket are compared with those of the others.
+   splitters range-partition the suffixes by their leading bytes, each bucket sorts its own by multikey quicksort
+   on tokens of eight bytes, and equal neighbours repeat: whole byte strings are compared. A frequent suffix may
+   straddle buckets, so the first and last suffixes of each bucket are compared with those of the others.
 
 The digests of steps 1 to 3 have 128 bits. Groups that grow with the input (a common passage, many copies)
 are counted with partial aggregation and never gathered. Texts are keyed by their 128-bit digest, so
@@ -40,7 +40,7 @@ LENGTH, GRAM = 400, 128
 STEP = 17
 #: Windows that are hashed at once; the low bits of a packed hash hold a place in such a block.
 BLOCK = 1 << 20
-BUCKET_ROWS = 25_000
+BUCKET_ROWS, LEAD = 50_000, 16
 #: Up to so many digests (16 bytes each) are broadcast; beyond it both sides are shuffled.
 BROADCAST_DIGESTS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -225,12 +225,14 @@ def _tokens(suffixes: pa.Array) -> np.ndarray:
     return padded.view(">u8").astype(np.uint64)
 
 
-def _repeated(suffixes: DataFrame) -> DataFrame:
-    """anchor, hull, at of the suffixes (of one length) that are met twice or more."""
-    buckets = max(1, -(-suffixes.count() // BUCKET_ROWS))
-    names = ["suffix", "anchor", "hull", "at", "repeats", "edge"]
-    # the whole row is the range key: one frequent suffix may fill many buckets. Spark orders binary as unsigned bytes, as the tokens are.
-    dealt = suffixes.repartitionByRange(buckets, "suffix", "anchor", "hull", "at")
+def _repeated(suffixes: DataFrame, rows: int) -> DataFrame:
+    """suffixes: suffix (all of one length), anchor, hull, at; rows: their number. anchor, hull, at of those that are met twice or more."""
+    buckets = max(1, -(-rows // BUCKET_ROWS))
+    names = ["suffix", "lead", "tie", "anchor", "hull", "at", "repeats", "edge"]
+    key = ["lead", "tie"]
+    keyed = suffixes.select("suffix", F.substring("suffix", 1, LEAD).alias("lead"), F.xxhash64("suffix").alias("tie"), "anchor", "hull", "at")
+    # splitters are sampled leading tokens; then a hash and the whole row, as one lead or one suffix may fill many buckets
+    dealt = keyed.repartitionByRange(buckets, *key, "anchor", "hull", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if len(b)]  # a bucket, of BUCKET_ROWS rows or so
@@ -242,16 +244,19 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
         tokens = tokens[order]
         same = (tokens[1:] == tokens[:-1]).all(axis=1)
         repeats = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        edge = (tokens == tokens[0]).all(axis=1) | (tokens == tokens[-1]).all(axis=1)
+        # the first and the last key of the bucket in the order of the splitters: unsigned bytes, then signed longs
+        keys = list(zip(*(rows.column(c).to_pylist() for c in key), strict=True))
+        ends = {min(keys), max(keys)}
+        edge = np.array([k in ends for k in keys])[order]
         keep = np.flatnonzero(repeats | edge)
         rows, repeats, edge = rows.take(order[keep]), repeats[keep], edge[keep]
         # a suffix that is no edge is settled here, so its bytes need not travel on
         at_edge = pc.if_else(pa.array(edge), rows.column("suffix").combine_chunks(), pa.scalar(None, pa.binary()))
-        columns = [at_edge, *[rows.column(c).combine_chunks() for c in names[1:4]], pa.array(repeats), pa.array(edge)]
+        columns = [at_edge, *[rows.column(c).combine_chunks() for c in names[1:6]], pa.array(repeats), pa.array(edge)]
         yield from pa.table(columns, names).to_batches()
 
-    found = dealt.mapInArrow(run, "suffix binary, anchor long, hull binary, at int, repeats boolean, edge boolean")
-    found = written(found, "suffix-repeats")
+    found = dealt.mapInArrow(run, "suffix binary, lead binary, tie long, anchor long, hull binary, at int, repeats boolean, edge boolean")
+    found = written(found.drop(*key), "suffix-repeats")
     # across boundaries: an edge that is alone in its bucket repeats if another bucket has it as an edge
     lone = found.filter("edge and not repeats")
     edges = found.filter("edge").groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -304,8 +309,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     live = written(parts.join(cores, core, "left_semi"), "suffix-live")
     hulls = written(live.groupBy(*core, "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "begin", "end")).alias("r")), "suffix-hulls")
     mixed = hulls.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*core)
-    spelt = hulls.join(mixed, core, "left_semi").select("r.*", "anchor", "hull")
-    again = _repeated(written(_suffixes(spelt, own, length), "suffixes"))
+    spelt = written(hulls.join(mixed, core, "left_semi").select("r.*", "anchor", "hull"), "suffix-spelt")
+    windows = spelt.agg(F.coalesce(F.sum(F.col("end") - F.col("begin") + 1), F.lit(0)).alias("n")).first().n
+    again = _repeated(_suffixes(spelt, own, length), windows)
     size = F.col("end") - F.col("begin")
     inside = (
         live.join(hulls.filter("n > 1").select("anchor", "hull"), ["anchor", "hull"])
