@@ -224,7 +224,7 @@ def test_repeats_across_many_buckets(spark, monkeypatch):
     keys = [bytes([lead]) * 8 + rnd.randbytes(12) for lead in (0, 1, 127, 128, 200, 255) for _ in range(300)]
     rows = [(k, i, b"h", 0) for i, k in enumerate(keys * 2)] + [(rnd.randbytes(20), -i, b"h", 0) for i in range(1, 300)]
     df = spark.createDataFrame(rows, "suffix binary, anchor long, hull binary, at int").repartition(5)
-    got = [r.anchor for r in suffix_dedup._repeated(df).collect()]
+    got = [r.anchor for r in suffix_dedup._repeated(df, df.count()).collect()]
     assert sorted(got) == list(range(3600))
 
 
