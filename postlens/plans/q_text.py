@@ -145,7 +145,7 @@ def req_block(t: Tables):
 
 
 # what must stand before is matched and put back, as DuckDB's patterns have no look-behind
-_ENUM = T.ENUM.format(o=L.ordinals)
+_ENUM = T.enumerator(L.ordinals)
 _EDGES = "：:，,、.．)）(（ "
 _CLEAN = f"regexp_replace(regexp_replace(trim(regexp_replace(trim(p), '^(?:{_ENUM})', '')), '{T.LABEL}', ''), '^[{_EDGES}]+|[{_EDGES}]+$', '', 'g')"
 _PARTS = f"list_filter(list_transform(string_split_regex(regexp_replace({{c}}, '([；;。！!\\s])({_ENUM})', '\\1' || chr(10) || '\\2', 'g'), '[；;。！!\\n]'), lambda p: {_CLEAN}), lambda p: p <> '')"
@@ -200,7 +200,7 @@ _GATE = f"""select *, case when req is null then null when level is null then ca
 _ASKED = f"(select r.job_id as user_id, r.job_id * 10000 + ord as req_id, clause, level, field_id from requirements r left join ({_HIGH}) h on h.user_id = r.job_id where r.job_id in (select user_id from facts))"
 
 
-@query(f"select user_id, req_id, outcome, req as required_level, level as profile_level, case when level is not null then field_id end as field_id from ({_GATE.format(rows=_ASKED)}) where outcome is not null")
+@query(f"select user_id, req_id, outcome, req as required_level, level as profile_level, case when level is not null then field_id end as field_id from ({_GATE.replace('{rows}', _ASKED)}) where outcome is not null")
 def degree_gate(t: Tables):
     gate = T.degree_gate(F.col("clause"), F.col("level"), F.col("field_id"), L)
     rows = _asked(t).join(_degrees(t), "user_id", "left").withColumn("g", gate).filter("g is not null")
@@ -257,7 +257,7 @@ def strength_band(t: Tables):
 
 
 _KEPT = f"(select * from {_ASKED} where not (not {_has('clause', L.degree_markers)} and {_has('clause', L.eligibility)}) and not ({_BEN}))"
-_EG = f"""with pairs as ({_PAIRS}), gated as ({_GATE.format(rows=_KEPT)}), fuzzy as (select * from gated where outcome is null),
+_EG = f"""with pairs as ({_PAIRS}), gated as ({_GATE.replace('{rows}', _KEPT)}), fuzzy as (select * from gated where outcome is null),
     found as ({_BESTM.format(pairs='select * from pairs where (user_id, req_id) in (select (user_id, req_id) from fuzzy)')}),
     evidence as (select user_id, req_id, field_id as fact_id, score, strength from found union all select user_id, req_id, field_id, 1.0, 'strong' from gated where outcome = 'met'),
     gaps as (select user_id, req_id, case outcome when 'not_met' then '学历不满足：岗位要求' || ['one', 'two', 'three', 'four'][req] || '及以上，你的最高学历为' || ['one', 'two', 'three', 'four'][level]
