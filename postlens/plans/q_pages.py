@@ -255,7 +255,7 @@ def _fed(t: Tables, rows, slice_of: str, name: str, start):
     return t.spark.read.parquet(f"{folder}/out"), folder
 
 
-_PERIOD = "cast(floor(year(fetched_at) / 2) as int)"
+_PERIOD = "cast(floor(year(fetched_at) / 3) as int)"
 
 
 @query(q_ingest._CUR)
@@ -271,15 +271,15 @@ def stream_source_health(t: Tables):
 
 
 #: A period's pushes: what is new since the checkpoint, the newest hundred first; the checkpoint of the next push is the period's last posting.
-_PUSHES = f"""with h as (select *, coalesce(last_pushed_at, last_checked_at) as first_since, year(fetched_at) // 2 as period from ({q_people._HITS})),
+_PUSHES = f"""with h as (select *, coalesce(last_pushed_at, last_checked_at) as first_since, year(fetched_at) // 3 as period from ({q_people._HITS})),
     top as (select * from (select *, row_number() over (partition by id, period order by fetched_at desc, job_id desc) as place from h where fetched_at > first_since) where place <= 100 and {q_people._WORD}),
-    through as (select year(fetched_at) // 2 as period, max(fetched_at) as ends from jobs group by 1),
+    through as (select year(fetched_at) // 3 as period, max(fetched_at) as ends from jobs group by 1),
     push as (select id, period, any_value(first_since) as first_since, count(*) as job_count, list_slice(list(title order by fetched_at desc, job_id desc), 1, 3) as shown from top group by 1, 2),
     told as (select p.*, coalesce(lag(ends) over (partition by id order by p.period), first_since) as since from push p join through using (period))"""
 
 
 def _notices(t: Tables, times: int):
-    watching = _watching(t)
+    watching = t.keep(_watching(t), "watching")  # read by every batch
 
     def start(source, checkpoint, target):
         for _ in range(times - 1):
