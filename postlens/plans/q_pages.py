@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -100,7 +102,9 @@ def _ranked(df):
     return df.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("long")).drop("pos")
 
 
-_PLAIN = "replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&amp;', '&')"
+#: The references that the given pages hold; the ampersand comes last, so that nothing is read twice.
+_REFERENCES = {"&lt;": "'<'", "&gt;": "'>'", "&quot;": "'\"'", "&nbsp;": "chr(160)", "&copy;": "'©'", "&middot;": "'·'", "&#39;": "chr(39)", "&#x27;": "chr(39)", "&amp;": "'&'"}
+_PLAIN = reduce(lambda c, kv: f"replace({c}, '{kv[0]}', {kv[1]})", _REFERENCES.items(), "{c}")
 _TEXT = _NORM.format(c=_PLAIN.format(c="regexp_replace({c}, '<[^>]*>', '', 'g')"))
 _A = '<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 #: The anchors of a page, in order.
@@ -122,7 +126,17 @@ def page_links_dated(t: Tables):
     return E.page_links_dated(_events(t), _pages(t), min_len=4)
 
 
-@query()
+_BREAKS = "<(/?)(p|div|li|br|tr|td|th|h1|h2|h3|h4|article|section|ul|ol|table|title)(\\s[^>]*)?/?>"
+#: The text lines of the pages, in order: a block's tag ends a line, other tags don't, scripts and styles are not text.
+_LINES = f"""select page_id, pos, text from (select page_id, i as pos, {_NORM.format(c=_PLAIN.replace('{c}', 'parts[i]'))} as text from (select page_id, parts, unnest(range(1, len(parts) + 1)) as i from (select page_id, string_split(regexp_replace(regexp_replace(
+    regexp_replace(replace(html, chr(10), ' '), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '{_BREAKS}', chr(10), 'gi'), '<[^>]*>', '', 'g'), chr(10)) as parts from pages))) where text <> ''"""
+
+
+@query(f"""with a as (select * from ({_ANCHORS}) where length(text) between 4 and 80 and {_has('text', WORDS)}), l as ({_LINES})
+    select page_id, regexp_replace(text, '^\\d+[.、]\\s*', '') as title, case when regexp_matches(href, '^https?:') then href else regexp_replace(url, '/+$', '') || '/' || regexp_replace(href, '^/+', '') end as source_url, 0 as n_body, 'anchor' as kind
+        from a qualify row_number() over (partition by page_id order by pos) <= 30
+    union all select page_id, substr(coalesce(t, ''), 1, 60), url, length(substr(coalesce(body, ''), 1, 2000)), 'page' from pages left join (select page_id, arg_min(text, pos) as t, string_agg(text, ' ' order by pos) as body from l group by 1) using (page_id)
+        where page_id not in (select page_id from a)""")
 def page_generic_postings(t: Tables):
     out = E.page_generic_postings(_events(t), _pages(t), WORDS)
     return out.select("page_id", "title", "source_url", F.length("body").cast("long").alias("n_body"), "kind")
@@ -141,7 +155,14 @@ def _lines(t: Tables):
     return _events(t).filter("kind = 'line'").select("page_id", "pos", "text")
 
 
-@query()
+_DAY = "regexp_extract(text, '(\\d{4}[-/年]\\d{1,2}[-/月]\\d{1,2}日?)', 1)"
+_TITLED = f"{_has('text', WORDS)} and length(text) > 6 and length(text) < 60"
+
+
+@query(f"""with l as ({_LINES}), h as (select page_id, coalesce(min(case when {_TITLED} then pos end), min(pos)) as top, arg_min({_DAY}, case when {_DAY} <> '' then pos end) as day from l group by 1 having count(*) >= 3),
+    s as (select page_id, min(pos) as stop from l join h using (page_id) where pos > top and {_has('text', ('mail', 'tel'))} group by 1)
+    select page_id, max(case when pos = top then text end) as title, coalesce(replace(regexp_replace(any_value(day), '[年月]', '-', 'g'), '日', ''), '') as posted_at,
+        coalesce(string_agg(text, chr(10) order by pos) filter (pos > top and (stop is null or pos < stop)), '') as body from l join h using (page_id) left join s using (page_id) group by 1""")
 def page_article_lines(t: Tables):
     return E.page_article_lines(_lines(t), WORDS, ("mail", "tel"), 3)
 
