@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, sharding, simhash, suffix_dedup, topk, toxicity
+from . import chat, exact_dedup, filter_audit, line_dedup, mixing, packing, sharding, simhash, suffix_dedup, topk, toxicity
 from .common import read_table
 
 SHARDS = 24
@@ -57,6 +57,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(*filter_audit.failure_masks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -96,4 +100,22 @@ SQL = {
         select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
             coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
             sum(chars)::bigint as formatted_chars from f group by conv_id""",
+    # the five letters in all orders, each filter applied to what those before it left
+    "op13_filter_audit": rf"""
+        with recursive d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+        w as (select *, list_filter(string_split_regex(text, '{_SPACE}+'), lambda x: x <> '') as words, min(doc_id) over (partition by text) as first_id from d),
+        f as (select part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+                100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d, coalesce(doc_id > first_id, false) as e,
+                coalesce(good, false) as good, coalesce(toxic, false) as toxic
+            from w left join (select doc_id as id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1) l on doc_id = id),
+        m as (select part, good, toxic, case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end || case when d then 'D' else '' end || case when e then 'E' else '' end as failed,
+                count(*) as n from f group by all),
+        x as (select unnest(['A', 'B', 'C', 'D', 'E']) as letter),
+        o as (select letter as o from x union all select o || letter from o, x where not contains(o, letter)),
+        s as (select o as filter_order, step::int as step, o[step:step] as filter, o[1:step] as upto, o[1:step-1] as earlier from o, range(1, 6) as r(step) where length(o) = 5),
+        r as (select part, filter_order, step, filter, contains(failed, filter) as fails, len(list_filter(string_split(earlier, ''), lambda z: contains(failed, z) and z <> '')) > 0 as gone, failed, n, good, toxic from m, s),
+        t as (select part, filter_order, step, filter, coalesce(sum(n) filter (not fails and not gone), 0)::bigint as kept, coalesce(sum(n) filter (fails and not gone), 0)::bigint as removed,
+                coalesce(sum(n) filter (fails and gone), 0)::bigint as redundant, coalesce(sum(n) filter (failed = filter), 0)::bigint as unique_fails,
+                coalesce(sum(n) filter (fails and not gone and good), 0)::bigint as good_lost, coalesce(sum(n) filter (fails and not gone and toxic), 0)::bigint as toxic_lost from r group by all)
+        select *, (sum(removed) over (partition by part, filter))::bigint as shapley from t""",
 }
