@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, filter_audit, line_dedup, mixing, packing, sharding, simhash, suffix_dedup, topk, toxicity
+from . import chat, exact_dedup, filter_audit, language, line_dedup, mixing, packing, sharding, simhash, structure, suffix_dedup, topk, toxicity
 from .common import read_table
 
 SHARDS = 24
@@ -57,6 +57,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return structure.summary(rows, *structure.repair(structure.damaged(rows)))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(*filter_audit.failure_masks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
 
