@@ -54,7 +54,7 @@ class Network:
     def convolved(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Patches (windows, places, REACH * DIM) and the filters' values (windows, places, filters)."""
         n, length = windows.shape
-        x = np.zeros((n, length + REACH - 1, DIM), np.float32)
+        x = np.zeros((n, length + REACH - 1, DIM), self.w["embedding"].dtype)
         x[:, :length] = self.w["embedding"][windows]
         patches = np.lib.stride_tricks.as_strided(x, (n, length, REACH * DIM), x.strides).reshape(n * length, REACH * DIM)
         return patches.reshape(n, length, -1), (patches @ self.w["filters"]).reshape(n, length, -1)
@@ -171,7 +171,8 @@ def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Network | None:
         return pd.DataFrame({"model": [net.packed()]})
 
     # one task: the sample has about max_windows rows of WINDOW bytes at most
-    return Network.unpacked(langs, drawn.groupBy(F.lit(0)).applyInPandas(learn, "model binary").first().model)
+    model = drawn.groupBy().applyInPandas(learn, "model binary").first()
+    return Network.unpacked(langs, model.model) if model else None
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
