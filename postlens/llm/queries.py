@@ -109,6 +109,36 @@ SQL = {
         select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
             coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
             sum(chars)::bigint as formatted_chars from f group by conv_id""",
+    # forward: of each state the cheapest edits so far, row by row; n, s, u, a: nothing yet, after a system, user, assistant row
+    "op11_structure_repair": rf"""
+        with recursive k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint) as bytes from conversations),
+        h as (select *, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 as fate from k),
+        d as (select conv_id, turn, case when fate = 4 then 'user' else role end as role, case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                unnest(range(0, case fate when 3 then 2 else 1 end)) as again from h where fate <> 0),
+        p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, case role when '' then ' ' else role[1:1] end as initial,
+                regexp_extract(text, '([^\x20\x09-\x0D]){_SPACE}*\z', 1) as mark from d),
+        f as (select *, case when mark = '' then 'blank' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate' when mark not in ('.', '!', '?') then 'truncated' else '' end as fault,
+                lag(initial) over (partition by conv_id order by pos) || initial as pair, chr(10) || role || ':' || text as line from p),
+        g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as many from f group by conv_id),
+        t as (select conv_id, 0::bigint as pos, [struct_pack(c := 0::bigint, a := '', r := ''), struct_pack(c := 1000000000::bigint, a := '', r := ''),
+                struct_pack(c := 3::bigint, a := 'I', r := chr(10) || 'user:'), struct_pack(c := 6::bigint, a := 'II', r := chr(10) || 'user:' || chr(10) || 'assistant:')] as v from g
+            union all
+            select conv_id, pos, [n, s, u, least(a, struct_pack(c := u.c + 3, a := u.a || 'I', r := u.r || chr(10) || 'assistant:'))] from (
+                select conv_id, pos, n, s, least(u, struct_pack(c := least(n, s, a).c + 3, a := least(n, s, a).a || 'I', r := least(n, s, a).r || chr(10) || 'user:')) as u, a from (
+                    select t.conv_id, f.pos, struct_pack(c := v[1].c + 4, a := v[1].a || 'D', r := v[1].r) as n,
+                        least(struct_pack(c := v[2].c + 4, a := v[2].a || 'D', r := v[2].r), struct_pack(c := v[1].c + more + case initial when 's' then 0 else 1000000000 end, a := v[1].a || 'K', r := v[1].r || line)) as s,
+                        least(struct_pack(c := v[3].c + 4, a := v[3].a || 'D', r := v[3].r), struct_pack(c := w.c + more + case initial when 'u' then 0 else 1000000000 end, a := w.a || 'K', r := w.r || line),
+                            struct_pack(c := w.c + more + 3, a := w.a || 'R', r := w.r || chr(10) || 'user:' || text)) as u,
+                        least(struct_pack(c := v[4].c + 4, a := v[4].a || 'D', r := v[4].r), struct_pack(c := v[3].c + more + case initial when 'a' then 0 else 1000000000 end, a := v[3].a || 'K', r := v[3].r || line),
+                            struct_pack(c := v[3].c + more + 3, a := v[3].a || 'R', r := v[3].r || chr(10) || 'assistant:' || text)) as a
+                    from (select *, least(v[1], v[2], v[4]) as w from t) t
+                    join (select *, case fault when 'truncated' then 3 when '' then 0 else 1000000000 end as more from f) f on t.conv_id is not distinct from f.conv_id and f.pos = t.pos + 1))),
+        e as (select g.*, least(v[1], v[4]) as best from t join g on t.conv_id is not distinct from g.conv_id and t.pos = g.many)
+        select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+            coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(best.r[2:], '')) as repaired_sha256
+        from (select distinct conv_id from conversations) i left join e on i.conv_id is not distinct from e.conv_id""",
     # the five letters in all orders, each filter applied to what those before it left
     "op13_filter_audit": rf"""
         with recursive d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
