@@ -24,10 +24,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, unused, written
 
 EDITS, CHARS_PER_EDIT, LIST_CAP = 2, 10, 20
-BROADCAST_HASHES = 4_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -272,20 +271,17 @@ def _narrow(crowd: DataFrame, text: DataFrame, edits: int, chars: int, list_cap:
         states = written(_narrowed(long.distinct(), text), "line-states")
 
 
-def near_pairs(posts: DataFrame, lines: DataFrame, distinct: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT, list_cap: int = LIST_CAP) -> DataFrame:
-    """posts: key, id, own of distinct lines; lines: a, b, line, repeats allowed; distinct: id, a, b, rank.
+def near_pairs(posts: DataFrame, distinct: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT, list_cap: int = LIST_CAP) -> DataFrame:
+    """posts: key, id, own of distinct lines; distinct: id, rank, line.
 
     Returns u, v: near lines, all pairs but those that a link of each to the first line near both stands for.
     """
     listed = written(_listed(posts), "line-listed")
     found = written(_met(listed.filter(F.col("n") <= list_cap)), "line-pairs")
     crowd = written(listed.filter(F.col("n") > list_cap).select("id").distinct(), "line-crowd")
-    # the texts of the lines in question alone, fetched once
+    # the texts of the lines in question alone
     asked = found.select(F.col("u").alias("id")).unionByName(found.select(F.col("v").alias("id"))).unionByName(crowd).distinct()
-    asked = written(distinct.join(asked, "id", "left_semi").select("id", "a", "b", "rank"), "line-asked")
-    # up to the bound the hashes go to the lines; beyond it the lines go to the hashes
-    sought = F.broadcast(asked) if asked.count() <= BROADCAST_HASHES else asked
-    text = written(lines.join(sought, ["a", "b"]).select("id", "rank", "line").dropDuplicates(["id"]), "line-texts")
+    text = written(distinct.join(asked, "id", "left_semi").select("id", "rank", "line"), "line-texts")
     more, links = _narrow(crowd, text.select("id", "rank", _wide(F.col("line")).alias("wide")), edits, chars_per_edit, list_cap)
     pairs = found.unionByName(more).distinct()
     sides = pairs.join(text.select(F.col("id").alias("u"), F.col("line").alias("u_line")), "u").join(text.select(F.col("id").alias("v"), F.col("line").alias("v_line")), "v")
@@ -305,14 +301,15 @@ def dedup(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_E
     read = lines_of(docs)
     order = F.struct("doc_id", "line_no")
     lines = written(read.select("doc_id", "line_no", "a", "b"), "lines")
-    posted = _posted(read.select("doc_id", "line_no", "a", "b", _wide(F.col("line")).alias("wide")), edits, chars_per_edit)
-    firsts = posted.groupBy("a", "b").agg(F.min(order).alias("rank"), F.any_value("posts").alias("posts"))
+    # equal lines are one from here on; it alone is posted
+    firsts = read.groupBy("a", "b").agg(F.min(order).alias("rank"), F.any_value("line").alias("line"))
     # of different lines at one place of one id the hashes decide
     firsts = firsts.withColumn("rank", F.struct("rank.doc_id", "rank.line_no", "a", "b"))
     distinct = written(firsts.withColumn("id", F.monotonically_increasing_id()), "line-distinct")
+    posted = written(_posted(distinct.filter(F.length("line") >= chars_per_edit).select("id", _wide(F.col("line")).alias("wide")), edits, chars_per_edit), "line-posted")
     # a line may post one key twice; its list is then a little longer
-    posts = distinct.select("id", F.explode("posts").alias("post")).select(F.col("post").bitwiseAND(F.lit(-2)).alias("key"), "id", (F.col("post").bitwiseAND(F.lit(1)) == 1).alias("own"))
-    pairs = written(near_pairs(posts, read.filter(F.length("line") >= chars_per_edit).select("a", "b", "line"), distinct, edits, chars_per_edit, list_cap), "line-links")
+    posts = posted.select("id", F.explode("posts").alias("post")).select(F.col("post").bitwiseAND(F.lit(-2)).alias("key"), "id", (F.col("post").bitwiseAND(F.lit(1)) == 1).alias("own"))
+    pairs = written(near_pairs(posts, distinct, edits, chars_per_edit, list_cap), "line-links")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     ranks = distinct.select("id", "a", "b", "rank")
     earlier = both.join(ranks.select(F.col("id").alias("v"), F.col("rank").alias("other")), "v").groupBy("u").agg(F.min("other").alias("earlier"))
@@ -336,8 +333,9 @@ def summary(docs: DataFrame, **how) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """docs with `kept_text`: the lines that stay, blank ones too, in order."""
-    gone = dedup(docs, **how).filter("copy or near").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # bounded by a text's lines
-    kept = F.array_join(F.filter(F.split(text_or_empty(), "\n", -1), lambda line, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
-    right = gone.withColumnRenamed("doc_id", "_id")
-    return docs.join(right, docs["doc_id"].eqNullSafe(right["_id"]), "left").withColumn("kept_text", kept).drop("_id", "_gone")
+    """docs with `kept_text` added, in place of a column of that name: the lines that stay, blank ones too, in order."""
+    docs = docs.drop("kept_text")
+    gone, name = unused(docs, "_gone", "_id")
+    right = dedup(docs, **how).filter("copy or near").groupBy(F.col("doc_id").alias(name)).agg(F.collect_set("line_no").alias(gone))  # bounded by a text's lines
+    kept = F.array_join(F.filter(F.split(text_or_empty(), "\n", -1), lambda line, i: ~F.array_contains(F.coalesce(gone, F.array().cast("array<int>")), i)), "\n")
+    return docs.join(right, docs["doc_id"].eqNullSafe(right[name]), "left").withColumn("kept_text", kept).drop(name, gone)

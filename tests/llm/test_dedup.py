@@ -308,6 +308,12 @@ def test_lines(spark):
         assert r.kept_text == "\n".join(x for n, x in enumerate(lines) if not any(truth.get((r.doc_id, n), (False, False))))
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "same line\nx", "i", "g", 0), (2, "same line\ny", "j", "h", 0)], "doc_id long, text string, _id string, _gone string, kept_text int")
+    out = {r.doc_id: r for r in line_dedup.without_repeats(docs).collect()}
+    assert set(out[1].asDict()) == {*docs.columns} and (out[2].kept_text, out[2]["_id"], out[2]["_gone"]) == ("y", "j", "h") and out[1].kept_text == "same line\nx"
+
+
 def test_narrowing_meets_all_near_lines(spark):
     """Every list is over the cap, so links come from halved stretches alone, down to settled ones."""
     rnd = random.Random(13)
