@@ -4,7 +4,9 @@ A record's key hashes to one of a few thousand slots and never leaves it. Slots
 a map with versions; rebalancing or growing edits the map, so only the moved slots' rows move. All
 tables but the records hold one row a slot, so they are bounded by the slot count.
 
-Rows: null keys hash by their text; null texts have no bytes; repeated rows share a slot.
+Rows: null keys hash by their text; null texts have no bytes; rows of one key share a slot, but for a slot
+with more than a PARTS-th of a shard's mean bytes: it is dealt out by row into sub-slots, which the map holds
+like other slots, so that a key with a third of all rows leaves the sizes near equal.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 
-SLOTS = 4096
+SLOTS, PARTS = 4096, 16
 #: Bytes that a record takes besides its text.
 OVERHEAD = 8
 
@@ -25,10 +27,10 @@ def slot_of(key: Column, text: Column, slots: int) -> Column:
 
 
 def slot_stats(records: DataFrame, spark: SparkSession, slots: int) -> DataFrame:
-    """One row a slot, empty ones too: virtual_slot, slot_bytes, slot_rows."""
+    """One row a slot, empty ones and sub-slots too: virtual_slot, slot_bytes, slot_rows."""
     sums = records.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"))
     every = spark.range(slots).select(F.col("id").cast("int").alias("virtual_slot"))
-    return every.join(sums, "virtual_slot", "left").fillna(0, ["slot_bytes", "slot_rows"])
+    return every.join(sums, "virtual_slot", "full").fillna(0, ["slot_bytes", "slot_rows"])
 
 
 def first_map(stats: DataFrame, shards: int) -> DataFrame:
@@ -91,17 +93,31 @@ def records_of(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
+def _parted(records: DataFrame, stats: DataFrame, shards: int, slots: int) -> DataFrame:
+    """records with the sub-slots of large slots: number slot + slots * part. records is a table, so a row's deal stays."""
+    total = stats.agg(F.sum("slot_bytes").alias("total"))
+    share = F.ceil(F.col("slot_bytes") * F.lit(shards * PARTS) / F.nullif(F.col("total"), F.lit(0))).cast("int").alias("parts")
+    large = stats.crossJoin(total).select("virtual_slot", share).filter("parts > 1")  # at most shards * PARTS rows
+    part = F.pmod(F.col("deal"), F.coalesce("parts", F.lit(1))).cast("int")
+    return records.join(F.broadcast(large), "virtual_slot", "left").withColumn("virtual_slot", F.col("virtual_slot") + F.lit(slots) * part).drop("parts", "deal")
+
+
 def shard(docs: DataFrame, shards: int, slots: int = SLOTS, maps: DataFrame | None = None) -> DataFrame:
     """Puts every row of docs (doc_id, text) in a shard with near equal bytes.
 
     maps: earlier versions of the map (version, virtual_slot, shard), else version 0 is dealt in turn.
     Returns doc_id, size, text_crc32, virtual_slot, map_version, shard, slot (place in the shard, from 0).
-    An empty table gives an empty result; a key with many repeated rows stays in one slot.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    records = records_of(docs, slots)
+    records = written(records_of(docs, slots).withColumn("deal", F.xxhash64("doc_id", F.monotonically_increasing_id())), "shard-records")
+    records = _parted(records, slot_stats(records, spark, slots), shards, slots)
     stats = written(slot_stats(records, spark, slots), "slot-stats")
-    old = first_map(stats, shards) if maps is None else latest(maps)
+    old = first_map(stats, shards)
+    if maps is not None:
+        # sub-slots that the map doesn't know yet are dealt in turn
+        known = latest(maps)
+        old = known.unionByName(old.drop("version").join(known, "virtual_slot", "left_anti").crossJoin(F.broadcast(known.agg(F.max("version").alias("version")))))
     versions = written(old.unionByName(rebalanced(old, stats, shards)), "slot-map")
     # one row a slot: bounded by the slot count
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
