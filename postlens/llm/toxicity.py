@@ -6,7 +6,8 @@ list of at most 2**20 (place, weight) pairs, which bounds the broadcast at 12 MB
 
 Training reads at most `max_rows` labelled rows (a documented bound: beyond it, those with the smallest
 hashes), dealt to learners of about `rows_each` rows or `BYTES_EACH` bytes; their weights are averaged.
-A row's hash names its learner and its turn there, so the model doesn't depend on partitions. Scoring
+The hash of a row's id and text names its learner, that of its id its turn there, so the model doesn't
+depend on partitions and an id that is there many times is no learner's alone. Scoring
 reads every row and its whole text.
 """
 
@@ -101,8 +102,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rows_each:
     if n > max_rows:
         known = known.filter((F.col("turn") / float(2**64) + 0.5) < 0.97 * max_rows / n)
     slim = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # bounded by max_rows rows of 20 bytes
-    data = written(slim.join(F.broadcast(known), "id").select("turn", "text", "toxic"), "toxicity-rows")
+    # bounded by max_rows rows of 20 bytes; rows that repeat an id and its text are learnt once
+    data = slim.join(F.broadcast(known), "id").select("turn", "text", "toxic").distinct().withColumn("deal", F.xxhash64("turn", "text"))
+    data = written(data, "toxicity-rows")
+    n = data.count()
+    if n > max_rows:
+        data = data.filter((F.col("deal") / float(2**64) + 0.5) < 0.97 * max_rows / n)
     size = data.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
     learners = max(1, -(-min(n, max_rows) // rows_each), -(-size // BYTES_EACH))
 
@@ -111,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rows_each:
         w = ftrl([(np.unique(features(t)), int(y)) for t, y in zip(ordered["text"], ordered["toxic"], strict=True)])
         return pd.DataFrame({"place": list(w), "weight": list(w.values())})
 
-    dealt = data.withColumn("learner", F.pmod("turn", F.lit(learners)))
+    dealt = data.withColumn("learner", F.pmod("deal", F.lit(learners)))
     parts = dealt.groupBy("learner").applyInPandas(learn, "place int, weight double")
     parts = written(parts, "toxicity-weights")
     many = max(1, parts.filter(F.col("place") == INTERCEPT).count())
