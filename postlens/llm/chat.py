@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-_OUT = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
+_OUT = {"\\": "\\\\", "<": "\\l", "[": "\\b", "]": "\\c"}
 _BACK = {v: k for k, v in _OUT.items()}
 
 
@@ -29,8 +29,14 @@ def escaped(text: str) -> str:
     return re.sub(r"[\\<\[]", lambda m: _OUT[m[0]], text)
 
 
+def escaped_role(role: str) -> str:
+    """A role stands in brackets, so `]` goes too."""
+    return re.sub(r"[\\<\[\]]", lambda m: _OUT[m[0]], role)
+
+
 def unescaped(text: str) -> str:
-    return re.sub(r"\\[\\lb]", lambda m: _BACK[m[0]], text)
+    """Reads back texts and roles in one pass: a backslash always begins an escape."""
+    return re.sub(r"\\[\\lbc]", lambda m: _BACK[m[0]], text)
 
 
 def instruct_template(turns: list[Turn]) -> str:
@@ -44,7 +50,7 @@ def instruct_template(turns: list[Turn]) -> str:
             tag = "INST" if role == "user" else "SYS"
             out.append(f"<s>[{tag}] {body} [/{tag}]")
         else:
-            out.append(f"<s>[ROLE {escaped(role).replace(']', chr(92) + 'c')}] {body} [/ROLE]")
+            out.append(f"<s>[ROLE {escaped_role(role)}] {body} [/ROLE]")
     return "".join(out)
 
 
@@ -57,7 +63,7 @@ def read_turn(span: str) -> tuple[str, str, int, int]:
     m = _TURN.fullmatch(span)
     if not m:
         raise ValueError(f"not a turn of the template: {span[:80]!r}")
-    role = _ROLES.get(m[1]) or unescaped(m[2].replace("\\c", "]"))
+    role = _ROLES.get(m[1]) or unescaped(m[2])
     return role, unescaped(m[3]), m.start(3), m.end(3)
 
 

@@ -45,6 +45,23 @@ def test_sharding_is_whole_balanced_and_gapless(spark):
     assert max(rest) - min(rest) < 0.1 * max(rest)
 
 
+def test_sharding_with_a_hot_key(spark):
+    """One doc_id in 30 percent of the rows, a third of those the very same row."""
+    rows = [(7 if i % 10 < 3 else i, "same" * 9 if i % 10 == 0 else f"text {i} " * (i % 9 + 1)) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sharding.shard(docs, 24)
+    loads = {r.shard: (r.size, r.n, r.top) for r in out.groupBy("shard").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("top")).collect()}
+    mean = sum(len(t) + 8 for _, t in rows) / 24
+    assert len(loads) == 24 and sum(n for _, n, _ in loads.values()) == 20_000 and all(top == n - 1 for _, n, top in loads.values())
+    assert max(size for size, _, _ in loads.values()) < 1.1 * mean and min(size for size, _, _ in loads.values()) > 0.9 * mean
+    assert out.select("shard", "slot").distinct().count() == 20_000
+    # an earlier map without sub-slots is carried on
+    old = sharding.first_map(sharding.slot_stats(sharding.records_of(docs), spark, sharding.SLOTS), 24)
+    again = sharding.shard(docs, 24, maps=old)
+    assert again.count() == 20_000 and {r.map_version for r in again.select("map_version").distinct().collect()} == {1}
+    assert sharding.shard(docs.limit(0), 3).count() == 0
+
+
 def test_sharding_edits_its_map(spark):
     records = sharding.records_of(docs_of(spark, sample_texts()), 256)
     stats = sharding.slot_stats(records, spark, 256)
@@ -288,6 +305,23 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if not r.predicted}
 
 
+def test_toxicity_deals_an_id_that_repeats(spark):
+    """An id with 15,000 texts is dealt to all learners, and no more rows are learnt than the bound says."""
+    rows = spark.range(15_000).selectExpr("7L as doc_id", "concat('row ', id % 3000, ' word') as text").unionByName(spark.range(400).selectExpr("id + 100 as doc_id", "concat('plain ', id, if(id % 4 = 0, ' vile', '')) as text"))
+    labels = spark.range(600).selectExpr("id as doc_id", "cast(id >= 100 and id % 4 = 0 as int) as toxic")
+    seen = []
+    real = toxicity.written
+    toxicity.written = lambda df, name: seen.append((name, real(df, name))) or seen[-1][1]
+    try:
+        model = toxicity.fit(rows, labels, max_rows=2000, rows_each=250)
+    finally:
+        toxicity.written = real
+    learnt = dict(seen)["toxicity-rows"]
+    assert learnt.filter(f"turn = {learnt.groupBy('turn').count().orderBy(F.desc('count')).first().turn}").count() == 3000  # the same text once
+    parts = dict(seen)["toxicity-weights"].filter(F.col("place") == toxicity.INTERCEPT).count()
+    assert parts == 8 and len(model) > 1
+
+
 def test_toxicity_of_nothing_and_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = docs_of(spark, ["a", None])
@@ -392,7 +426,7 @@ def test_chat_round_trip(spark):
     said = lambda: "".join(rnd.choice(bits) for _ in range(rnd.randrange(6)))
     rows, truth = [], {}
     for c in range(60):
-        turns = [(rnd.choice(["user", "assistant", "system", "tool]<x", ""]), said()) for _ in range(rnd.randrange(1, 7))]
+        turns = [(rnd.choice(["user", "assistant", "system", "tool]<x", "", "\\c", "a\\]c\\b", "]"]), said()) for _ in range(rnd.randrange(1, 7))]
         truth[c] = turns
         rows += [(c, t, role, text, "clash") for t, (role, text) in enumerate(turns)]
     rows += [(100, 0, None, None, ""), (None, 0, "assistant", "x" * 50_000, "")]
