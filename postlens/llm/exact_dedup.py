@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .common import ASCII_SPACE, quoted, text_or_empty, unused, written
 
-#: Up to so many hashes (8 bytes each) of groups are broadcast; beyond it all texts are compared in the shuffle.
+#: Up to so many hashes (8 bytes each) of groups are broadcast; beyond it they are joined in a shuffle.
 BROADCAST_HASHES = 1_000_000
 
 
@@ -33,9 +33,8 @@ def _collided(docs: DataFrame, groups: DataFrame, digest) -> DataFrame:
     # texts of two hashes differ; where a group has one hash, its texts are asked for by it
     apart = groups.filter("short <> other").select("text_md5")
     several = written(groups.filter("group_size > 1 and short = other").select("short").distinct(), "dedup-several")
-    texts = docs.select(_normal().alias("norm"))
-    if several.count() <= BROADCAST_HASHES:
-        texts = texts.withColumn("short", F.xxhash64("norm")).join(F.broadcast(several), "short", "left_semi")
+    few = F.broadcast(several) if several.count() <= BROADCAST_HASHES else several
+    texts = docs.select(_normal().alias("norm")).withColumn("short", F.xxhash64("norm")).join(few, "short", "left_semi")
     bounds = texts.groupBy(digest("norm").alias("text_md5")).agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     return written(bounds.filter("low <> high").select("text_md5").unionByName(apart).distinct(), "dedup-collisions")
 
