@@ -1,7 +1,9 @@
 """Requirement clauses against profile facts: inverse document frequency, scores, gates, summaries.
 
 Pairs come from an equi-join on tokens or concepts, as in an inverted index, never from all clauses times
-all facts; `keys` (such as a user) must be equal as well when given.
+all facts; `keys` (such as what a user's list is narrowed to) must be equal as well when given. With a least
+score only a clause's rarest units are posted: those behind them, taken together, weigh too little to reach
+it, so its commonest tokens meet no one.
 """
 
 from __future__ import annotations
@@ -41,27 +43,54 @@ def concept_weights(idf: DataFrame, lex: Lexicon) -> DataFrame:
     return members.join(idf, "token", "left").groupBy("concept").agg(F.max(F.coalesce("idf", F.lit(UNSEEN_IDF))).alias("weight"))
 
 
-def score_pairs(requirements: DataFrame, facts: DataFrame, idf: DataFrame, lex: Lexicon = ZH_MEDICAL, keys: tuple[str, ...] = (), keep: Keep = lambda df, name: df) -> DataFrame:
-    """requirements: req_id, clause [, keys]; facts: fact_id, text [, keys]. Returns keys, req_id, fact_id, score over 0.
+def _units(requirements: DataFrame, idf: DataFrame, lex: Lexicon, keys: list[str]) -> DataFrame:
+    """What facts can cover of a clause: keys, req_id, token, w, strong. Concepts are tokens behind a zero byte."""
+    weights = F.broadcast(concept_weights(idf, lex))  # a row a concept of the lexicon
+    tokens = requirements.select(*keys, "req_id", F.explode(F.array_distinct(T.tok(F.col("clause")))).alias("token")).join(idf.select("token", "idf"), "token", "left").fillna(UNSEEN_IDF, ["idf"])
+    own = requirements.select(*keys, "req_id", F.explode(concepts_of(F.col("clause"), lex)).alias("concept")).join(weights, "concept")
+    literal = tokens.select(*keys, "req_id", "token", F.col("idf").alias("w"), (F.col("idf") >= DISTINCTIVE_IDF).alias("strong"))
+    return literal.unionByName(own.select(*keys, "req_id", F.concat(F.lit("\x00"), "concept").alias("token"), (F.col("weight") * CONCEPT_SHARE).alias("w"), (~F.col("concept").isin(*lex.generic_concepts)).alias("strong")))
+
+
+def _prefixes(units: DataFrame, keys: list[str], at_least: float) -> DataFrame:
+    """A row a clause: whole (its weight), posted (its units by falling weight) and rest (the units behind them, of less than at_least of the whole)."""
+    # bounded by a clause's length
+    rows = units.groupBy(*keys, "req_id").agg(F.sum("w").alias("whole"), F.sort_array(F.collect_list(F.struct("w", "token", "strong"))).alias("u"))
+    # scores are rounded to four places, so what rounds up counts as reached
+    limit = F.col("whole") * max(at_least - 0.0001, 0.0)
+    many = F.aggregate(
+        "u", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open")),
+        lambda acc, x: F.when(acc["open"] & (acc["sum"] + x["w"] < limit), F.struct((acc["sum"] + x["w"]).alias("sum"), (acc["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["sum"].alias("sum"), acc["n"].alias("n"), F.lit(False).alias("open"))),
+    )["n"]
+    cut = rows.withColumn("many", many)
+    return cut.select(*keys, "req_id", "whole", F.slice("u", F.col("many") + 1, F.size("u")).alias("posted"), F.slice("u", 1, F.col("many")).alias("rest"))
+
+
+def score_pairs(requirements: DataFrame, facts: DataFrame, idf: DataFrame, lex: Lexicon = ZH_MEDICAL, keys: tuple[str, ...] = (), keep: Keep = lambda df, name: df, at_least: float = 0.0) -> DataFrame:
+    """requirements: req_id, clause [, keys]; facts: fact_id, text [, keys]. Returns req_id, fact_id, score of at least at_least, over 0.
 
     score = covered weight / own weight over distinct tokens, half a concept's weight for each concept,
-    at most 1, 4 places; 0 unless a distinctive token or a concept that isn't generic is shared.
+    at most 1, 4 places; 0 unless a distinctive token or a concept that isn't generic is shared. Ids are of
+    any type, structs too; they must be unique.
     """
     ks = list(keys)
-    weights = F.broadcast(concept_weights(idf, lex))  # a row a concept of the lexicon
-    tokens = requirements.select(*ks, "req_id", F.explode(F.array_distinct(T.tok(F.col("clause")))).alias("token")).join(idf.select("token", "idf"), "token", "left").fillna(UNSEEN_IDF, ["idf"])
-    own = requirements.select(*ks, "req_id", F.explode(concepts_of(F.col("clause"), lex)).alias("concept")).join(weights, "concept")
-    literal = tokens.select(*ks, "req_id", "token", F.col("idf").alias("w"), (F.col("idf") >= DISTINCTIVE_IDF).alias("strong"))
-    concept = own.select(*ks, "req_id", F.concat(F.lit("\x00"), "concept").alias("token"), (F.col("weight") * CONCEPT_SHARE).alias("w"), (~F.col("concept").isin(*lex.generic_concepts)).alias("strong"))
-    units = keep(literal.unionByName(concept), "units")  # what a fact can cover
-    whole = units.groupBy("req_id", *ks).agg(F.sum("w").alias("whole"))
-    has = F.concat(F.array_distinct(T.tok(F.col("text"))), F.transform(concepts_of(F.col("text"), lex), lambda c: F.concat(F.lit("\x00"), c)))
-    index = facts.filter(F.size(T.tok(F.col("text"))) > 0).select(*ks, "fact_id", F.explode(has).alias("token"))
-    met = units.join(index, [*ks, "token"]).groupBy(*ks, "req_id", "fact_id").agg(F.sum("w").alias("covered"), F.bool_or("strong").alias("strong"))
-    out = met.filter("strong").join(whole, [*ks, "req_id"])
+    clauses = keep(_prefixes(_units(requirements, idf, lex, ks), ks, at_least), "clauses")
+    tokens = T.tok(F.col("text"))
+    has = F.concat(F.array_distinct(tokens), F.transform(concepts_of(F.col("text"), lex), lambda c: F.concat(F.lit("\x00"), c)))
+    said = keep(facts.filter(F.size(tokens) > 0).select(*ks, "fact_id", has.alias("tokens")), "said")
+    total = lambda units: F.aggregate(units, F.lit(0.0), lambda acc, x: acc + x["w"])
+    posts = clauses.select(*ks, "req_id", "whole", total(F.col("rest")).alias("left"), F.exists("rest", lambda x: x["strong"]).alias("may"), F.inline("posted"))
+    met = posts.join(said.select(*ks, "fact_id", F.explode("tokens").alias("token")), [*ks, "token"])
+    met = met.groupBy("req_id", "fact_id").agg(F.sum("w").alias("covered"), F.bool_or("strong").alias("strong"), *[F.first(c).alias(c) for c in ("whole", "left", "may")])
+    # the upper bound: as if all that was not posted were covered too
+    met = met.filter((F.col("strong") | F.col("may")) & (F.col("covered") + F.col("left") >= F.col("whole") * max(at_least - 0.0001, 0.0)))
+    if at_least > 0:
+        met = met.join(clauses.select("req_id", "rest"), "req_id").join(said.select("fact_id", "tokens"), "fact_id")
+        more = F.filter("rest", lambda x: F.array_contains("tokens", x["token"]))
+        met = met.withColumn("more", more).withColumns({"covered": F.col("covered") + total(F.col("more")), "strong": F.col("strong") | F.exists("more", lambda x: x["strong"])})
     # the raw sums depend on their order in the last bits, so they are cut before the half-even rounding
     ratio = F.least(F.round(F.col("covered") / F.col("whole"), 10), F.lit(1.0))
-    return out.select(*ks, "req_id", "fact_id", F.bround(ratio, 4).alias("score"))
+    return met.filter("strong").select("req_id", "fact_id", F.bround(ratio, 4).alias("score")).filter(F.col("score") >= at_least)
 
 
 def best_matches(pairs: DataFrame, order: str = "fact_id", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -80,14 +109,22 @@ def degree_highest(education: DataFrame, lex: Lexicon = ZH_MEDICAL) -> DataFrame
     return named.groupBy("user_id").agg(F.max("level").alias("level"), F.max_by(field, F.struct("level", -F.col("idx"))).alias("field_id"))
 
 
-def evidence_gaps(requirements: DataFrame, pairs: DataFrame, degrees: DataFrame, lex: Lexicon = ZH_MEDICAL, keep: Keep = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
-    """requirements: user_id, req_id, clause; pairs as of score_pairs with key user_id; degrees: user_id, level, field_id.
+def judged(requirements: DataFrame, lex: Lexicon = ZH_MEDICAL) -> DataFrame:
+    """requirements (clause, ...) without eligibility and benefit clauses, with `terms` of the degree gate: what needs no profile, once a clause."""
+    kept = requirements.filter(~T.req_eligibility(F.col("clause"), lex) & ~T.req_benefits(F.col("clause"), lex))
+    return kept.withColumn("terms", T.degree_terms(F.col("clause"), lex))
+
+
+def evidence_gaps(requirements: DataFrame, views: DataFrame, pairs: DataFrame, degrees: DataFrame, lex: Lexicon = ZH_MEDICAL, keys: tuple[str, ...] = (), keep: Keep = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
+    """requirements: req_id, clause, keys; views: user_id, keys (a user sees the clauses of equal keys); pairs: user_id, req_id, fact_id,
+    score; degrees: user_id, level, field_id.
 
     evidence: user_id, req_id, fact_id, score, strength; gaps: user_id, req_id, message, blocking. Eligibility
     and benefit clauses are left out, the degree gate decides first, then the scores.
     """
-    asked = requirements.filter(~T.req_eligibility(F.col("clause"), lex) & ~T.req_benefits(F.col("clause"), lex)).join(degrees, "user_id", "left")
-    gated = keep(asked.withColumn("gate", T.degree_gate(F.col("clause"), F.col("level"), F.col("field_id"), lex)), "gated")
+    clauses = keep(judged(requirements, lex).select(*keys, "req_id", "clause", "terms"), "judged")
+    seen = clauses.join(views.join(degrees, "user_id", "left"), list(keys))
+    gated = keep(seen.select("user_id", "req_id", "clause", T.gate_outcome(F.col("terms"), F.col("level"), F.col("field_id")).alias("gate")), "gated")
     fuzzy = gated.filter("gate is null").select("user_id", "req_id", "clause")
     found = best_matches(pairs.join(fuzzy.select("user_id", "req_id"), ["user_id", "req_id"], "left_semi"), keys=("user_id",))
     found = keep(found, "found")

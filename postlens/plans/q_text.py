@@ -173,7 +173,9 @@ def req_segment(t: Tables):
 
 _LEV = "case {d} when 'with' then 1 when 'for' then 2 when 'from' then 3 when 'this' then 4 end"
 _ALLLEV = f"list_transform(regexp_extract_all({{c}}, 'with|from|this|for'), lambda d: {_LEV.format(d='d')})"
-_REQLEV = f"coalesce(list_min(list_transform(regexp_extract_all({{c}}, '{L.above}', 1), lambda d: {_LEV.format(d='d')})), list_min({_ALLLEV}))"
+# the rules of degrees of the synthetic lexicon, spelt out
+_ABOVE, _NO_FLOOR = r"(this|from|with|for)\s*the", r"(?:this|from|with|for)(?: an| th)|(?:this|from|with|for)[^，。；\n]{0,8}? best"
+_REQLEV = f"coalesce(list_min(list_transform(regexp_extract_all({{c}}, '{_ABOVE}', 1), lambda d: {_LEV.format(d='d')})), list_min({_ALLLEV}))"
 
 
 @query(f"select job_id, ord, {_REQLEV.format(c='clause')} as level from requirements")
@@ -193,23 +195,27 @@ def degree_highest(t: Tables):
     return _degrees(t)
 
 
-_PURE = "bare = clause and length(clause) <= 30 and regexp_matches(clause, 'with|from|this|for') and (contains(clause, 'the') or contains(clause, 'of') or regexp_matches(clause, '" + L.above + "'))"
+_PURE = f"bare = clause and length(clause) <= 30 and regexp_matches(clause, 'with|from|this|for') and (contains(clause, 'the') or contains(clause, 'of') or regexp_matches(clause, '{_ABOVE}'))"
 _GATE = f"""select *, case when req is null then null when level is null then case when pure then 'unknown' end when level < req then 'not_met' when pure then 'met' end as outcome
-    from (select *, {_PURE} as pure, {_REQLEV.format(c='bare')} as req from (select *, regexp_replace(clause, '{L.non_floor}', '', 'g') as bare from {{rows}}))"""
-#: A clause is asked of the conversation whose number its job shares.
-_ASKED = f"(select r.job_id as user_id, r.job_id * 10000 + ord as req_id, clause, level, field_id from requirements r left join ({_HIGH}) h on h.user_id = r.job_id where r.job_id in (select user_id from facts))"
+    from (select *, {_PURE} as pure, {_REQLEV.format(c='bare')} as req from (select *, regexp_replace(clause, '{_NO_FLOOR}', '', 'g') as bare from {{rows}}))"""
+#: A user is asked the clauses of all jobs of the institution and region that the user's list is narrowed to.
+_REQ = "struct_pack(job_id := job_id, ord := ord) as req_id"
+_ASKED = f"(select user_id, {_REQ}, clause, level, field_id from requirements join views using (institution, region) left join ({_HIGH}) h using (user_id))"
 
 
-@query(f"select user_id, req_id, outcome, req as required_level, level as profile_level, case when level is not null then field_id end as field_id from ({_GATE.replace('{rows}', _ASKED)}) where outcome is not null")
+@query(f"select user_id, req_id.job_id, req_id.ord, outcome, req as required_level, level as profile_level, case when level is not null then field_id end as field_id from ({_GATE.replace('{rows}', _ASKED)}) where outcome is not null")
 def degree_gate(t: Tables):
-    gate = T.degree_gate(F.col("clause"), F.col("level"), F.col("field_id"), L)
-    rows = _asked(t).join(_degrees(t), "user_id", "left").withColumn("g", gate).filter("g is not null")
-    return rows.select("user_id", "req_id", "g.outcome", "g.required_level", "g.profile_level", F.col("g.profile_field_id").alias("field_id"))
+    clauses = t.keep(t.requirements.withColumn("terms", T.degree_terms(F.col("clause"), L)).drop("clause"), "terms")
+    seen = clauses.join(t.views, ["institution", "region"]).join(_degrees(t), "user_id", "left")
+    rows = seen.withColumn("g", T.gate_outcome(F.col("terms"), F.col("level"), F.col("field_id"))).filter("g is not null")
+    return rows.select("user_id", "job_id", "ord", "g.outcome", "g.required_level", "g.profile_level", F.col("g.profile_field_id").alias("field_id"))
+
+
+_VIEW = ("institution", "region")
 
 
 def _asked(t: Tables):
-    users = t.facts.select("user_id").distinct()
-    return t.requirements.select(F.col("job_id").alias("user_id"), (F.col("job_id") * 10000 + F.col("ord")).alias("req_id"), "clause").join(users, "user_id", "left_semi")
+    return t.requirements.select(*_VIEW, F.struct("job_id", "ord").alias("req_id"), "clause")
 
 
 _CON = "list_filter([" + ", ".join(f"case when {_has('lower({c})', m)} then '{k}' end" for k, m in L.concepts.items()) + "], lambda x: x is not null)"
@@ -221,92 +227,102 @@ def concepts(t: Tables):
 
 
 _CW = "select concept, max(coalesce(idf, 6.0)) as weight from (values " + ", ".join(f"('{c}', '{m}')" for c, ms in L.concepts.items() for m in ms) + f") x(concept, token) left join ({_IDF}) using (token) group by 1"
-_PAIRS = f"""with idf as ({_IDF}), cw as ({_CW}), req as (select job_id as user_id, job_id * 10000 + ord as req_id, clause from requirements where job_id in (select user_id from facts)),
-    units as (select user_id, req_id, x.token, coalesce(idf, 6.0) as w, coalesce(idf, 6.0) >= 3.0 as strong from (select user_id, req_id, unnest(list_distinct({_TOK.format(c='clause')})) as token from req) x left join idf using (token)
-        union all select user_id, req_id, chr(1) || c, weight * 0.5, c <> 'c-any' from (select user_id, req_id, unnest({_CON.replace('{c}', 'clause')}) as c from req) join cw on concept = c),
-    ix as (select user_id, field_id, unnest(list_concat(list_distinct({_TOK.format(c='text')}), list_transform({_CON.replace('{c}', 'text')}, lambda c: chr(1) || c))) as token from facts where len({_TOK.format(c='text')}) > 0),
-    met as (select user_id, req_id, field_id, sum(w) as covered from units join ix using (user_id, token) group by 1, 2, 3 having bool_or(strong)),
-    whole as (select user_id, req_id, sum(w) as whole from units group by 1, 2)
-    select user_id, req_id, field_id, round_even(least(round(covered / whole, 10), 1.0), 4) as score from met join whole using (user_id, req_id)"""
+_PAIRS = f"""with idf as ({_IDF}), cw as ({_CW}), req as (select institution, region, {_REQ}, clause from requirements),
+    units as (select institution, region, req_id, x.token, coalesce(idf, 6.0) as w, coalesce(idf, 6.0) >= 3.0 as strong from (select institution, region, req_id, unnest(list_distinct({_TOK.format(c='clause')})) as token from req) x left join idf using (token)
+        union all select institution, region, req_id, chr(1) || c, weight * 0.5, c <> 'c-any' from (select institution, region, req_id, unnest({_CON.replace('{c}', 'clause')}) as c from req) join cw on concept = c),
+    ix as (select institution, region, user_id, field_id, unnest(list_concat(list_distinct({_TOK.format(c='text')}), list_transform({_CON.replace('{c}', 'text')}, lambda c: chr(1) || c))) as token from facts join views using (user_id) where len({_TOK.format(c='text')}) > 0),
+    met as (select user_id, req_id, field_id, sum(w) as covered from units join ix using (institution, region, token) group by 1, 2, 3 having bool_or(strong)),
+    whole as (select req_id, sum(w) as whole from units group by 1),
+    pairs as (select * from (select user_id, req_id, field_id, round_even(least(round(covered / whole, 10), 1.0), 4) as score from met join whole using (req_id)) where score >= 0.15)"""
 
 
 def _pairs(t: Tables):
-    """Pairs of the clauses asked, which are kept in t.asked, as is the idf of all clauses."""
-    facts = t.facts.select("user_id", F.col("field_id").alias("fact_id"), "text")
+    """user_id, req_id, fact_id, score of the facts of all users and the clauses that they see. t.asked: the clauses."""
+    facts = t.facts.join(t.views, "user_id").select(*_VIEW, F.struct("user_id", "field_id").alias("fact_id"), "text")
     t.asked = t.keep(_asked(t), "asked")
-    return M.score_pairs(t.asked, facts, t.keep(M.idf_build(t.requirements), "idf"), L, keys=("user_id",), keep=t.keep)
+    found = M.score_pairs(t.asked, facts, t.keep(M.idf_build(t.requirements), "idf"), L, keys=_VIEW, keep=t.keep, at_least=M.MIN_SCORE)
+    return found.select("fact_id.user_id", "req_id", F.col("fact_id.field_id").alias("fact_id"), "score")
 
 
-@query(_PAIRS)
+@query(f"{_PAIRS} select user_id, req_id.job_id, req_id.ord, field_id, score from pairs")
 def score_pairs(t: Tables):
-    return _pairs(t).withColumnRenamed("fact_id", "field_id")
+    return _pairs(t).select("user_id", "req_id.job_id", "req_id.ord", F.col("fact_id").alias("field_id"), "score")
 
 
-_BESTM = f"""select user_id, req_id, field_id, score, rank, case when score >= 0.5 then 'strong' when score >= 0.28 then 'partial' else 'weak' end as strength from (
-    select *, max(score) over (partition by user_id, req_id) as best, row_number() over (partition by user_id, req_id order by score desc, field_id) as rank from ({{pairs}}) where score >= 0.15) where score >= best * 0.6 and rank <= 3"""
+_RANKED = """select user_id, req_id, field_id, score, rank, case when score >= 0.5 then 'strong' when score >= 0.28 then 'partial' else 'weak' end as strength from (
+    select *, max(score) over (partition by user_id, req_id) as best, row_number() over (partition by user_id, req_id order by score desc, field_id) as rank from {pairs}) where score >= best * 0.6 and rank <= 3"""
 
 
-@query(_BESTM.format(pairs=_PAIRS))
+@query(f"{_PAIRS} select req_id.job_id, req_id.ord, * exclude (req_id) from ({_RANKED.format(pairs='pairs')})")
 def best_matches(t: Tables):
-    return M.best_matches(_pairs(t), keys=("user_id",)).withColumnRenamed("fact_id", "field_id").withColumn("rank", F.col("rank").cast("long"))
+    best = M.best_matches(_pairs(t), keys=("user_id",))
+    return best.select("user_id", "req_id.job_id", "req_id.ord", F.col("fact_id").alias("field_id"), "score", F.col("rank").cast("long").alias("rank"), "strength")
 
 
-@query(f"select strength, count(*) as n from ({_BESTM.format(pairs=_PAIRS)}) group by 1")
+@query(f"{_PAIRS} select strength, count(*) as n from ({_RANKED.format(pairs='pairs')}) group by 1")
 def strength_band(t: Tables):
     return M.best_matches(_pairs(t), keys=("user_id",)).groupBy("strength").agg(F.count(F.lit(1)).alias("n"))
 
 
 _KEPT = f"(select * from {_ASKED} where not (not {_has('clause', L.degree_markers)} and {_has('clause', L.eligibility)}) and not ({_BEN}))"
-_EG = f"""with pairs as ({_PAIRS}), gated as ({_GATE.replace('{rows}', _KEPT)}), fuzzy as (select * from gated where outcome is null),
-    found as ({_BESTM.format(pairs='select * from pairs where (user_id, req_id) in (select (user_id, req_id) from fuzzy)')}),
+_EG = f"""{_PAIRS}, gated as ({_GATE.replace('{rows}', _KEPT)}), fuzzy as (select * from gated where outcome is null),
+    found as ({_RANKED.format(pairs='(select pairs.* from pairs semi join fuzzy using (user_id, req_id))')}),
     evidence as (select user_id, req_id, field_id as fact_id, score, strength from found union all select user_id, req_id, field_id, 1.0, 'strong' from gated where outcome = 'met'),
     gaps as (select user_id, req_id, case outcome when 'not_met' then '学历不满足：岗位要求' || ['one', 'two', 'three', 'four'][req] || '及以上，你的最高学历为' || ['one', 'two', 'three', 'four'][level]
         else '岗位要求' || ['one', 'two', 'three', 'four'][req] || '及以上学历，请确认你的学历是否满足' end as message, outcome = 'not_met' as blocking from gated where outcome <> 'met'
-        union all select user_id, req_id, '未在你的履历中找到对应证据：' || clause, false from fuzzy where (user_id, req_id) not in (select (user_id, req_id) from found))"""
+        union all select user_id, req_id, '未在你的履历中找到对应证据：' || clause, false from fuzzy anti join found using (user_id, req_id))"""
 
 
 def _evidence_gaps(t: Tables):
+    """evidence and gaps, each with the job_id of its clause."""
     pairs = t.keep(_pairs(t), "pairs")
-    return M.evidence_gaps(t.asked, pairs, _degrees(t), L, t.keep)
+    both = M.evidence_gaps(t.asked, t.views, pairs, _degrees(t), L, _VIEW, t.keep)
+    return [df.withColumn("job_id", F.col("req_id.job_id")) for df in both]
 
 
-@query(_EG + " select user_id, req_id, fact_id, score, strength, null as message, null as blocking from evidence union all select user_id, req_id, null, null, null, message, blocking from gaps")
+@query(_EG + """ select user_id, req_id.job_id, req_id.ord, fact_id, score, strength, null as message, null as blocking from evidence
+    union all select user_id, req_id.job_id, req_id.ord, null, null, null, message, blocking from gaps""")
 def evidence_gaps(t: Tables):
     evidence, gaps = _evidence_gaps(t)
-    return evidence.unionByName(gaps, allowMissingColumns=True)
+    return evidence.unionByName(gaps, allowMissingColumns=True).select("user_id", "job_id", "req_id.ord", "fact_id", "score", "strength", "message", "blocking")
+
+
+_SUM = """select user_id, job_id, count(distinct met) as met, count(distinct met) + count(distinct gap) as total, round_even(count(distinct met) / (count(distinct met) + count(distinct gap)) * 100, 0)::bigint as degree_percent, bool_or(blocking) as blocking_gap
+    from (select user_id, req_id.job_id as job_id, req_id.ord as met, null as gap, false as blocking from evidence union all select user_id, req_id.job_id, null, req_id.ord, blocking from gaps) group by 1, 2"""
 
 
-_SUM = """select user_id, count(distinct met) as met, count(distinct met) + count(distinct gap) as total, round_even(count(distinct met) / (count(distinct met) + count(distinct gap)) * 100, 0)::bigint as degree_percent, bool_or(blocking) as blocking_gap
-    from (select user_id, req_id as met, null as gap, false as blocking from evidence union all select user_id, null, req_id, blocking from gaps) group by 1"""
+def _summary(t: Tables):
+    return M.match_summary(*_evidence_gaps(t), keys=("user_id", "job_id"))
 
 
 @query(f"{_EG} {_SUM}")
 def match_summary(t: Tables):
-    return M.match_summary(*_evidence_gaps(t))
+    return _summary(t)
 
 
 @query(_EG + """, e as (select user_id, req_id, count(*) as n from evidence group by 1, 2), g as (select user_id, req_id, bool_or(blocking) as b, min(message) as advice from gaps group by 1, 2)
-    select user_id, req_id, case when coalesce(b, false) then 'blocking' when n > 0 and advice is not null then 'partial' when n > 0 then 'met' else 'unmet' end as status, coalesce(n, 0) as n_evidence, advice from e full join g using (user_id, req_id)""")
+    select user_id, req_id.job_id, req_id.ord, case when coalesce(b, false) then 'blocking' when n > 0 and advice is not null then 'partial' when n > 0 then 'met' else 'unmet' end as status, coalesce(n, 0) as n_evidence, advice from e full join g using (user_id, req_id)""")
 def match_breakdown(t: Tables):
-    return M.match_breakdown(*_evidence_gaps(t))
+    return M.match_breakdown(*_evidence_gaps(t)).select("user_id", "req_id.job_id", "req_id.ord", "status", "n_evidence", "advice")
 
 
 @query(f"{_EG} select *, met = 0 and total > 0 as mismatch, (met = 0 and total > 0) or blocking_gap as refused from ({_SUM})")
 def match_mismatch(t: Tables):
-    return M.match_mismatch(M.match_summary(*_evidence_gaps(t)))
+    return M.match_mismatch(_summary(t))
 
 
-@query(f"{_EG}, s as ({_SUM}) select p.id as user_id, title, met, total, degree_percent, blocking_gap from postings_text p left join s on s.user_id = p.id")
+@query(f"{_EG}, s as ({_SUM}) select v.user_id, p.id as job_id, title, met, total, degree_percent, blocking_gap from postings_text p join views v using (institution, region) left join s on s.user_id = v.user_id and s.job_id = p.id")
 def jobs_with_match(t: Tables):
-    jobs = t.postings_text.select(F.col("id").alias("user_id"), "title")
-    return M.jobs_with_match(jobs, t.facts, M.match_summary(*_evidence_gaps(t)), ("user_id",))
+    """All jobs that each user sees, with the user's match."""
+    jobs = t.postings_text.select(F.col("id").alias("job_id"), "title", *_VIEW).join(t.views, list(_VIEW)).select("user_id", "job_id", "title")
+    return M.jobs_with_match(jobs, t.facts, _summary(t), ("user_id", "job_id"))
 
 
-#: The fact that a clause should cite: the conversation's first turn, for clauses of even number; odd ones should stay gaps.
-@query(f"""with m as ({_BESTM.format(pairs=_PAIRS)}), gold as (select job_id * 10000 + ord as case_id, case when ord % 2 = 0 then job_id || '-0' end as expect from requirements where job_id in (select user_id from facts)),
-    j as (select case_id, expect, field_id as got from gold left join m on req_id = case_id and rank = 1)
+#: The fact that a clause should cite: the user's first turn, for clauses of even number; odd ones should stay gaps.
+@query(f"""{_PAIRS}, m as ({_RANKED.format(pairs='pairs')}), gold as (select user_id, {_REQ}, case when ord % 2 = 0 then user_id || '-0' end as expect from requirements join views using (institution, region)),
+    j as (select expect, field_id as got from gold g left join m on m.user_id = g.user_id and m.req_id = g.req_id and rank = 1)
     select count(*) as cases, sum((coalesce(got = expect, false) or (expect is null and got is null))::int)::bigint as "right", sum((expect is not null and got is not null and got <> expect)::int)::bigint as wrong_source, sum((expect is null and got is not null)::int)::bigint as false_positives from j""")
 def match_eval(t: Tables):
     pairs = _pairs(t)
-    gold = t.asked.select(F.col("req_id").alias("case_id"), F.when(F.col("req_id") % 2 == 0, F.format_string("%d-0", "user_id")).alias("expect"))
-    return M.match_eval(gold, M.best_matches(pairs, keys=("user_id",)).withColumnRenamed("req_id", "case_id"))
+    gold = t.asked.join(t.views, list(_VIEW)).select(F.struct("user_id", "req_id").alias("case_id"), F.when(F.col("req_id.ord") % 2 == 0, F.format_string("%d-0", "user_id")).alias("expect"))
+    return M.match_eval(gold, M.best_matches(pairs, keys=("user_id",)).withColumn("case_id", F.struct("user_id", "req_id")))

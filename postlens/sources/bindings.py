@@ -155,7 +155,7 @@ class Tables:
     @cached_property
     def requirements(self) -> DataFrame:
         """Clauses of postings: sentences of documents of a clause's length."""
-        cut = self.postings_text.select(F.col("id").alias("job_id"), F.posexplode(F.split(F.regexp_replace("body", "\n", " "), "[.!]")).alias("ord", "clause"))
+        cut = self.postings_text.select(F.col("id").alias("job_id"), "institution", "region", F.posexplode(F.split(F.regexp_replace("body", "\n", " "), "[.!]")).alias("ord", "clause"))
         return cut.withColumns({"clause": F.trim("clause"), "ord": F.col("ord").cast("long")}).filter(F.length("clause").between(REQ_MIN, REQ_MAX))
 
     @cached_property
@@ -172,6 +172,12 @@ class Tables:
             F.col("conv_id").alias("user_id"), F.format_string("%d-%d", "conv_id", "turn").alias("field_id"), F.col("role").alias("collection"), F.col("turn").alias("idx"), F.coalesce("text", F.lit("")).alias("text")
         )
 
+    @cached_property
+    def views(self) -> DataFrame:
+        """What a user's list of jobs is narrowed to: an institution and a region, both by the user's number."""
+        users = self.read("conversations").filter("conv_id is not null").select(F.col("conv_id").alias("user_id")).distinct()
+        return users.select("user_id", F.format_string("src%d", F.col("user_id") % 20).alias("institution"), F.get(F.array(*map(F.lit, ("en", "de", "es", "fr"))), (F.floor(F.col("user_id") / 20) % 4).cast("int")).alias("region"))
+
     @cached_property
     def draft_items(self) -> DataFrame:
         """Items of drafts: a line of an order; a section is a ship-year, a decision the return flag."""
@@ -221,11 +227,12 @@ CTES = {
         case when o_orderkey % 29 = 0 then strftime(o_orderdate, '%Y.%m') when o_orderkey % 23 = 0 then strftime(o_orderdate, '%Y') when o_orderkey % 19 = 0 then strftime(o_orderdate, '%Y-%-m') else strftime(o_orderdate, '%Y-%m-%d') end as start_raw,
         case when o_orderkey % 31 = 0 then 'present' when days is null then '' else strftime(o_orderdate::date + days, '%Y-%-m-%-d') end as end_raw
         from orders left join (select l_orderkey, max(l_quantity)::int as days from lineitem group by 1) on l_orderkey = o_orderkey""",
-    "requirements": """select job_id, ord, clause from (select id as job_id, ord - 1 as ord, trim(parts[ord]) as clause from (
-        select id, parts, unnest(range(1, len(parts) + 1)) as ord from (select id, string_split_regex(replace(body, chr(10), ' '), '[.!]') as parts from postings_text))) where length(clause) between 4 and 140""",
+    "requirements": """select job_id, institution, region, ord, clause from (select id as job_id, institution, region, ord - 1 as ord, trim(parts[ord]) as clause from (
+        select id, institution, region, parts, unnest(range(1, len(parts) + 1)) as ord from (select id, institution, region, string_split_regex(replace(body, chr(10), ' '), '[.!]') as parts from postings_text))) where length(clause) between 4 and 140""",
     "resume_lines": f"""select doc_id, i - 1 as line_no, trim(parts[i]) as text from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from (select doc_id, string_split(regexp_replace(array_to_string(
         list_transform(string_split(coalesce(text, ''), ' '), lambda w: case w {_SAID} else w end), ' '), '[.!?] ', chr(10), 'g'), chr(10)) as parts from documents))""",
     "facts": "select conv_id as user_id, conv_id || '-' || turn as field_id, role as collection, turn as idx, coalesce(text, '') as text from conversations",
+    "views": "select user_id, 'src' || (user_id % 20) as institution, ['en', 'de', 'es', 'fr'][(user_id // 20) % 4 + 1] as region from (select distinct conv_id as user_id from conversations where conv_id is not null)",
     "draft_items": """select l_orderkey as draft_id, l_orderkey % 50 as user_id, ['identity', 'education', 'experiences', 'skills', 'gaps'][l_linenumber % 5 + 1] as section_id,
         row(l_linenumber, l_partkey, l_suppkey, l_quantity) as pos, 'part ' || l_partkey || ' of supplier ' || l_suppkey as text,
         case l_returnflag when 'A' then 'adopt' when 'R' then 'remove' end as decision, case when l_suppkey % 9 = 0 then null else l_partkey end as field_id from lineitem""",

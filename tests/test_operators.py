@@ -1,9 +1,11 @@
 """Golden rows of table operators, and streams against their batch results."""
 
+import random
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from postlens.functions import text as T
 from postlens.lexicon import ZH_MEDICAL
 from postlens.operators import drafts, extract, imports, ingest, intervals, market, matching, postings, profiles, subscriptions
 from postlens.plans import catalog
@@ -125,6 +127,63 @@ def test_matching_bars(spark):
     assert top[1].fact_id == "a" and top[2].fact_id == "b" and 3 not in top and all(0 < r.score <= 1 for r in top.values())
 
 
+@pytest.mark.parametrize(
+    "clause,level",
+    [
+        ("具有硕士（含）以上学历，本科为全日制本科", 3), ("硕士研究生及以上学历", 3), ("本科及以上学历", 2), ("具有博士研究生学历", 4), ("大专及以上学历", 1), ("护理学专业本科及以上学历", 2),
+        ("本科，碩士以上学历", 2), ("本科点硕士学历", 2), ("大专点，硕士学历", 1), ("学士后流动站硕士学位", 2), ("博士优先", None), ("参与博士点建设申报工作", None), ("硕士后流动站，本科学历", 2),
+    ],
+)
+def test_degree_floors(spark, clause, level):
+    """The floor of a clause without its preferences and programmes."""
+    assert spark.createDataFrame([(clause,)], "c string").select(T.degree_terms(F.col("c"))["required"]).first()[0] == level
+
+
+@pytest.mark.parametrize(
+    "clause,level,outcome",
+    [
+        ("具有硕士（含）以上学历", 3, "met"), ("大专及以上学历", 2, "met"), ("具有硕士（含）以上学历，本科为全日制本科", 2, "not_met"), ("具有硕士以上学历", None, "unknown"), ("具备良好的沟通协调能力", 2, None),
+        ("基础医学、生物学或药学博士，具备英文论文写作能力和独立科研能力", 3, "not_met"), ("基础医学、生物学或药学博士，具备英文论文写作能力和独立科研能力", 4, None),
+        ("基础医学、生物学或药学博士，具备英文论文写作能力和独立科研能力", None, None), ("具有博士学位者优先，发表过SCI论文", 2, None),
+    ],
+)
+def test_degree_gates(spark, clause, level, outcome):
+    row = spark.createDataFrame([(clause, level)], "c string, level int").select(T.degree_gate(F.col("c"), F.col("level"), F.lit("e")).alias("g")).first()
+    assert (row.g.outcome if row.g else None) == outcome
+
+
+def test_prefix_join_loses_no_pair(spark):
+    """Pairs of a least score are those of the whole index over it, and the commonest tokens are not posted."""
+    rnd = random.Random(6)
+    words = ["spss", "队列", "随访", "护理", "论文", "沟通", "python", "gcp", "静脉", "病区", "统计", "团队"]
+    say = lambda n: "".join(rnd.choice(words) for _ in range(n)) + " common " + " ".join(rnd.choice(["alpha", "beta", "common", "usual"]) for _ in range(n))
+    clauses = spark.createDataFrame([("ab"[i % 2], (i, i % 3), say(rnd.randrange(1, 6))) for i in range(90)], "k string, req_id struct<job_id:long,ord:long>, clause string")
+    facts = spark.createDataFrame([("ab"[i % 2], (i % 7, f"f{i}"), say(rnd.randrange(0, 4)) if i else None) for i in range(60)], "k string, fact_id struct<user_id:long,field_id:string>, text string")
+    idf = matching.idf_build(clauses)
+    whole = {(r.req_id, r.fact_id): r.score for r in matching.score_pairs(clauses, facts, idf, keys=("k",)).collect()}
+    for least in (0.15, 0.5):
+        got = {(r.req_id, r.fact_id): r.score for r in matching.score_pairs(clauses, facts, idf, keys=("k",), at_least=least).collect()}
+        assert got == {k: v for k, v in whole.items() if v >= least} and got
+    cut = matching._prefixes(matching._units(clauses, idf, ZH_MEDICAL, ["k"]), ["k"], 0.15).collect()
+    assert any("common" in {u.token for u in r.rest} for r in cut)
+    for r in cut:
+        assert abs(sum(u.w for u in [*r.posted, *r.rest]) - r.whole) < 1e-9 and sum(u.w for u in r.rest) < 0.15 * r.whole and min(u.w for u in r.posted) >= max([u.w for u in r.rest], default=0)
+
+
+def test_users_see_all_jobs_of_their_lists(spark):
+    """Two users of one list see the same clauses, each with their own evidence, gate and gaps; a clause's number has no limit."""
+    clauses = spark.createDataFrame([("a", (1, 20_000), "熟悉SPSS等统计软件"), ("a", (2, 0), "具有硕士及以上学历"), ("b", (3, 0), "驾驶大型货车")], "k string, req_id struct<job_id:long,ord:long>, clause string")
+    views = spark.createDataFrame([(7, "a"), (8, "a"), (9, "b")], "user_id long, k string")
+    pairs = spark.createDataFrame([(7, (1, 20_000), "f", 0.9)], "user_id long, req_id struct<job_id:long,ord:long>, fact_id string, score double")
+    degrees = spark.createDataFrame([(7, 2, "e"), (8, 4, "d")], "user_id long, level int, field_id string")
+    evidence, gaps = matching.evidence_gaps(clauses, views, pairs, degrees, keys=("k",))
+    assert sorted((r.user_id, r.req_id.job_id, r.fact_id, r.strength) for r in evidence.collect()) == [(7, 1, "f", "strong"), (8, 2, "d", "strong")]
+    assert sorted((r.user_id, r.req_id.job_id, r.blocking) for r in gaps.collect()) == [(7, 2, True), (8, 1, False), (9, 3, False)]
+    both = [df.withColumn("job_id", F.col("req_id.job_id")) for df in (evidence, gaps)]
+    summary = {(r.user_id, r.job_id): (r.met, r.total, r.degree_percent, r.blocking_gap) for r in matching.match_summary(*both, keys=("user_id", "job_id")).collect()}
+    assert summary == {(7, 1): (1, 1, 100, False), (7, 2): (0, 1, 0, True), (8, 1): (0, 1, 0, False), (8, 2): (1, 1, 100, False), (9, 3): (0, 1, 0, False)}
+
+
 def test_grids(spark):
     cells = [("f", "s", 1, ["通知", "", ""]), ("f", "s", 2, ["岗位", "", "学历"]), ("f", "s", 3, ["医师", "x", "硕士"]), ("f", "s", 4, ["", " ", ""]), ("g", "s", 1, ["岗位", "学历"])]
     df = spark.createDataFrame(cells, "attachment_url string, sheet string, row_index int, cells array<string>")
