@@ -96,8 +96,15 @@ def health_status(failures: Column) -> Column:
     return F.when(failures == 0, "success").when(failures >= 2, "review").otherwise("failed")
 
 
+def trailing(outcomes: DataFrame) -> DataFrame:
+    """Of outcomes (institution_id, seq, ok) each institution's last success and the failures behind it, by partial maxima and a join."""
+    last = outcomes.groupBy("institution_id").agg(F.max(F.when(F.col("ok"), F.col("seq"))).alias("_last"))
+    return outcomes.join(last, "institution_id").filter(F.col("_last").isNull() | (F.col("seq") >= F.col("_last"))).drop("_last")
+
+
 def source_health(outcomes: DataFrame) -> DataFrame:
-    last = health_log(outcomes).groupBy("institution_id").agg(F.max_by("consecutive_failures", "seq").alias("consecutive_failures"), F.max("seq").alias("last_seq"))
+    """The end of health_log, without its windows: failures since the last success are counted by partial sums."""
+    last = trailing(outcomes).groupBy("institution_id").agg(F.sum((~F.col("ok")).cast("long")).alias("consecutive_failures"), F.max("seq").alias("last_seq"))
     return last.withColumn("status", health_status(F.col("consecutive_failures")))
 
 

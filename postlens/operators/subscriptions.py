@@ -50,11 +50,15 @@ def keyword_hits(watching: DataFrame, jobs: DataFrame, since: str | None = None)
     return out if since is None else out.filter(F.col(since).isNull() | (F.col("fetched_at") > F.col(since)))
 
 
-def sub_new_jobs(watching: DataFrame, jobs: DataFrame, since: str = "last_checked_at", cap: int = HIT_CAP) -> DataFrame:
-    """Hits fetched after the checkpoint; the newest `cap` LIKE hits of a subscription first, then whole words among them."""
-    fresh = keyword_hits(watching, jobs, since)
+def newest(hits: DataFrame, cap: int = HIT_CAP) -> DataFrame:
+    """The newest `cap` LIKE hits of a subscription first, then whole words among them."""
     w = Window.partitionBy("id").orderBy(F.desc("fetched_at"), F.desc("job_id"))
-    return fresh.withColumn("place", F.row_number().over(w)).filter((F.col("place") <= cap) & F.col("whole"))
+    return hits.withColumn("place", F.row_number().over(w)).filter((F.col("place") <= cap) & F.col("whole"))
+
+
+def sub_new_jobs(watching: DataFrame, jobs: DataFrame, since: str = "last_checked_at", cap: int = HIT_CAP) -> DataFrame:
+    """Hits fetched after the checkpoint, the newest ones."""
+    return newest(keyword_hits(watching, jobs, since), cap)
 
 
 def sub_new_count(subs: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,23 +81,28 @@ def sub_broad_keyword(watching: DataFrame, jobs: DataFrame) -> DataFrame:
     return totals.join(matched, "id").filter(ratio > BROAD).select("id", "matched", "total", (ratio * 100).cast("int").cast("long").alias("percent"))
 
 
-def sub_scan(watching: DataFrame, jobs: DataFrame) -> DataFrame:
-    """A notification row a subscription with new hits: subscription_id, since, job_count, job_ids, summary, pushed_through.
+def due(watching: DataFrame) -> DataFrame:
+    """watching with since: the last push, else the last visit."""
+    return watching.withColumn("since", F.coalesce("last_pushed_at", "last_checked_at"))
 
-    The checkpoint is the last push, else the last visit; (subscription_id, since) identifies the row.
-    """
-    due = watching.withColumn("since", F.coalesce("last_pushed_at", "last_checked_at"))
-    new = sub_new_jobs(due, jobs, "since")
+
+def notifications(new: DataFrame) -> DataFrame:
+    """A row a subscription with new hits: subscription_id, since, job_count, job_ids, summary, newest_at."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.unix_timestamp("fetched_at")).alias("t"), (-F.col("job_id")).alias("j"), "title")))
-    each = new.groupBy(F.col("id").alias("subscription_id"), "user_id", "keyword", "since").agg(ordered.alias("hits"))  # at most the cap
+    each = new.groupBy(F.col("id").alias("subscription_id"), "user_id", "keyword", "since").agg(ordered.alias("hits"), F.max("fetched_at").alias("newest_at"))  # at most the cap
     titles = F.array_join(F.transform(F.slice("hits", 1, SHOWN), lambda h: h["title"]), "、")
     n = F.size("hits")
     return each.select(
         "subscription_id", "user_id", "keyword", "since", n.cast("long").alias("job_count"), F.transform("hits", lambda h: -h["j"]).alias("job_ids"),
-        F.when(n > SHOWN, F.concat(titles, F.format_string(" 等 %d 条", n))).otherwise(titles).alias("summary"),
+        F.when(n > SHOWN, F.concat(titles, F.format_string(" 等 %d 条", n))).otherwise(titles).alias("summary"), "newest_at",
     )
 
 
+def sub_scan(watching: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The notifications of a scan: the checkpoint is the last push, else the last visit; (subscription_id, since) identifies the row."""
+    return notifications(sub_new_jobs(due(watching), jobs, "since"))
+
+
 def sub_list(subs: DataFrame) -> DataFrame:
     return subs.filter("not deleted").orderBy("user_id", F.desc("created_at"), F.desc("id"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Window
@@ -263,17 +264,31 @@ def assemble_posting(t: Tables):
     return out.select("id", "job_category", "education", "profession", F.array_join("tags", "|").alias("tags"), "source_text_hash", "confidence", F.length("requirements").cast("long").alias("n_requirements"))
 
 
-# streams: the same table in several micro-batches; what they add, folded, must equal the batch result
-def _fed(t: Tables, rows, slice_of: str, name: str, start):
-    """Lands the slices of rows one after the other and runs the stream over each, as arrivals would; start(source, checkpoint, target)."""
-    folder = shared_folder(t.spark, name)
+# streams: the same table in several micro-batches; what they add, put together, must equal the batch result
+def _landed(t: Tables, rows, slice_of: str, folder: str) -> list:
+    """The slices of rows, each a table of its own."""
     rows.withColumn("_slice", F.expr(slice_of)).write.partitionBy("_slice").parquet(f"{folder}/landed")
     landed = t.spark.read.parquet(f"{folder}/landed")
-    for (number,) in sorted(landed.select("_slice").distinct().collect()):  # a few periods
-        landed.filter(F.col("_slice") == number).select(rows.columns).write.mode("append").parquet(f"{folder}/in")
+    numbers = sorted(n for (n,) in landed.select("_slice").distinct().collect())  # a few periods
+    return [landed.filter(F.col("_slice") == n).select(rows.columns) for n in numbers]
+
+
+def _fed(t: Tables, rows, slice_of: str, name: str, start, late: bool = False) -> str:
+    """Lands the slices of rows one after the other and runs the stream over each, as arrivals would; start(source, checkpoint, target).
+
+    late: the second slice comes first, and every slice brings rows of the one before once more.
+    """
+    folder = shared_folder(t.spark, name)
+    slices = _landed(t, rows, slice_of, folder)
+    if late:
+        slices = [*slices[1:2], *slices[:1], *slices[2:]]
+    for k, part in enumerate(slices):
+        part.write.mode("append").parquet(f"{folder}/in")
+        if late and k:
+            slices[k - 1].write.mode("append").parquet(f"{folder}/in")
         source = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
         start(source, f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out"), folder
+    return f"{folder}/out"
 
 
 _PERIOD = "cast(floor(year(fetched_at) / 3) as int)"
@@ -281,42 +296,42 @@ _PERIOD = "cast(floor(year(fetched_at) / 3) as int)"
 
 @query(q_ingest._CUR)
 def stream_posting_upsert(t: Tables):
-    added, _ = _fed(t, t.observations, _PERIOD, "postings", streams.stream_posting_upsert)
-    return streams.current(streams.versions(added)).withColumn("fetched_at", F.unix_timestamp("fetched_at"))
+    out = _fed(t, t.observations, _PERIOD, "postings", streams.stream_posting_upsert, late=True)
+    return streams.current(t.spark, out).withColumn("fetched_at", F.unix_timestamp("fetched_at"))
 
 
 @query(f"select *, case when consecutive_failures = 0 then 'success' when consecutive_failures >= 2 then 'review' else 'failed' end as status from ({q_ingest._HEALTH})")
 def stream_source_health(t: Tables):
-    added, _ = _fed(t, t.outcomes, "cast(floor(run_id / 8) as int)", "health", streams.stream_source_health)
-    return streams.health(added)
+    out = _fed(t, t.outcomes, "cast(floor(run_id / 8) as int)", "health", streams.stream_source_health, late=True)
+    return streams.health(t.spark, out)
 
 
-#: A period's pushes: what is new since the checkpoint, the newest hundred first; the checkpoint of the next push is the period's last posting.
+#: A period's pushes: of what is new since the checkpoint the newest hundred; the checkpoint of the next push is the period's last posting.
 _PUSHES = f"""with h as (select *, coalesce(last_pushed_at, last_checked_at) as first_since, year(fetched_at) // 3 as period from ({q_people._HITS})),
     top as (select * from (select *, row_number() over (partition by id, period order by fetched_at desc, job_id desc) as place from h where fetched_at > first_since) where place <= 100 and {q_people._WORD}),
-    through as (select year(fetched_at) // 3 as period, max(fetched_at) as ends from jobs group by 1),
-    push as (select id, period, any_value(first_since) as first_since, count(*) as job_count, list_slice(list(title order by fetched_at desc, job_id desc), 1, 3) as shown from top group by 1, 2),
-    told as (select p.*, coalesce(lag(ends) over (partition by id order by p.period), first_since) as since from push p join through using (period))"""
+    push as (select id, period, any_value(first_since) as since, max(fetched_at) as newest_at, count(*) as job_count, list_slice(list(title order by fetched_at desc, job_id desc), 1, 3) as shown from top group by 1, 2)"""
 
 
-def _notices(t: Tables, times: int):
-    watching = t.keep(_watching(t), "watching")  # read by every batch
-
-    def start(source, checkpoint, target):
-        for _ in range(times - 1):
-            streams.stream_sub_scan(source, watching, checkpoint, target).awaitTermination()
-        return streams.stream_sub_scan(source, watching, checkpoint, target)
-
-    return _fed(t, t.jobs, _PERIOD, "scan", start)[0]
-
-
-@query(_PUSHES + " select id as subscription_id, epoch(since)::bigint as since, job_count, array_to_string(shown, '、') || case when job_count > 3 then ' 等 ' || job_count || ' 条' else '' end as summary from told")
+@query(_PUSHES + """ select id as subscription_id, epoch(since)::bigint as since, epoch(newest_at)::bigint as newest_at, job_count,
+    array_to_string(shown, '、') || case when job_count > 3 then ' 等 ' || job_count || ' 条' else '' end as summary from push""")
 def stream_sub_scan(t: Tables):
-    return _notices(t, 1).select("subscription_id", F.unix_timestamp("since").alias("since"), "job_count", "summary")
+    """The slices come out of order and twice; each posting is pushed once."""
+    watching = t.keep(_watching(t), "watching")  # read by every batch
+    out = _fed(t, t.jobs, _PERIOD, "scan", lambda source, checkpoint, target: streams.stream_sub_scan(source, watching, checkpoint, target, "10000 days"), late=True)
+    notes = streams.stored(t.spark, out, "notifications")
+    return notes.select("subscription_id", F.unix_timestamp("since").alias("since"), F.unix_timestamp("newest_at").alias("newest_at"), "job_count", "summary")
 
 
-@query(_PUSHES + " select id as subscription_id, count(*) as pushes, count(*) - count(distinct since) as duplicates, sum(job_count)::bigint as jobs from told group by 1")
+@query(_PUSHES + " select id as subscription_id, count(*) as pushes, 0::bigint as duplicates, sum(job_count)::bigint as jobs from push group by 1")
 def sub_no_duplicate_push(t: Tables):
-    """Pushes of a subscription, and how many of them share a checkpoint, after a stream that was started twice for each arrival."""
-    out = _notices(t, 2)
-    return out.groupBy("subscription_id").agg(F.count(F.lit(1)).alias("pushes"), (F.count(F.lit(1)) - F.countDistinct("since")).alias("duplicates"), F.sum("job_count").alias("jobs"))
+    """Pushes of a subscription, and how many postings were pushed to it twice, after two scans at once for each arrival."""
+    watching, folder = t.keep(_watching(t), "watching"), shared_folder(t.spark, "overlapping")
+    here = None
+    for part in _landed(t, t.jobs, _PERIOD, folder):
+        here = part if here is None else here.unionByName(part)
+        with ThreadPoolExecutor(2) as pool:
+            for scan in [pool.submit(streams.scan_and_push, watching, here, f"{folder}/out") for _ in range(2)]:
+                scan.result()
+    notes = t.spark.read.parquet(f"{folder}/out")
+    twice = notes.select("subscription_id", F.explode("job_ids").alias("job_id")).groupBy("subscription_id").agg((F.count(F.lit(1)) - F.countDistinct("job_id")).alias("duplicates"))
+    return notes.groupBy("subscription_id").agg(F.count(F.lit(1)).alias("pushes"), F.sum("job_count").alias("jobs")).join(twice, "subscription_id")

@@ -239,7 +239,7 @@ _SCAN = f"""select id as subscription_id, user_id, keyword, since, count(*) as j
 
 @query(f"select * replace (epoch(since)::bigint as since) from ({_SCAN})")
 def sub_scan(t: Tables):
-    return S.sub_scan(_watching(t), t.jobs).withColumns({"since": F.unix_timestamp("since"), "job_ids": F.array_join(F.transform("job_ids", lambda x: x.cast("string")), ",")})
+    return S.sub_scan(_watching(t), t.jobs).drop("newest_at").withColumns({"since": F.unix_timestamp("since"), "job_ids": F.array_join(F.transform("job_ids", lambda x: x.cast("string")), ",")})
 
 
 @query("select id, user_id, keyword, epoch(created_at)::bigint as created_at from subscriptions where not deleted")

@@ -1,6 +1,9 @@
 """Golden rows of table operators, and streams against their batch results."""
 
+import os
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import duckdb
@@ -37,26 +40,43 @@ def test_versions(spark):
     assert old == [(0, "A", at(0), at(1)), (1, "B", at(1), at(2))]
 
 
-def test_streamed_versions_equal_the_batch(spark, tmp_path):
-    rows = [(n % 3, f"u{n % 2}", "AB"[(n * 7 // 5) % 2], f"n{n}") for n in range(60)]
+def shuffled_slices(log, seed, folder, start):
+    """Slices of a log arrive in any order, some twice; start is run after each."""
+    rnd = random.Random(seed)
+    order = [0, 1, 2, 3, 4, 1, 3]
+    rnd.shuffle(order)
+    for k in order:
+        log.filter(f"seq % 5 = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        start(log.sparkSession.readStream.schema(log.schema).parquet(f"{folder}/in"), f"{folder}/c", f"{folder}/t").awaitTermination()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_versions_equal_the_batch(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    rows = [(n % 3, f"u{n % 2}", rnd.choice("AAB"), f"n{n}") for n in range(60)]
     log = observations(spark, rows)
-    for k in range(4):
-        log.filter(f"seq >= {k * 15} and seq < {k * 15 + 15}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    for _ in range(2):  # a second run finds nothing new
-        source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        streams.stream_posting_upsert(source, f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
-    state = streams.versions(spark.read.parquet(f"{tmp_path}/t"))
-    assert sorted(map(tuple, streams.current(state).collect())) == sorted(map(tuple, ingest.posting_current(log).collect()))
-    cols = ["institution_id", "source_url", "version", "raw_text", "last_seen_at", "captured_at"]
-    assert sorted(map(tuple, streams.snapshots(state).select(cols).collect())) == sorted(map(tuple, ingest.posting_snapshots(log).select(cols).collect()))
+    shuffled_slices(log, seed, tmp_path, streams.stream_posting_upsert)
+    assert sorted(map(tuple, streams.current(spark, f"{tmp_path}/t").collect())) == sorted(map(tuple, ingest.posting_current(log).collect()))
+    assert sorted(map(tuple, streams.snapshots(spark, f"{tmp_path}/t").collect())) == sorted(map(tuple, ingest.posting_snapshots(log).collect()))
+
+
+def test_a_late_observation_parts_a_run(spark, tmp_path):
+    log = observations(spark, [(1, "u", "A", "x"), (1, "u", "B", "y"), (1, "u", "A", "z")])
+    for part in ("seq <> 1", "seq = 1"):
+        log.filter(part).write.mode("append").parquet(f"{tmp_path}/in")
+        streams.stream_posting_upsert(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
+    assert sorted((r.version, r.raw_text, r.last_seen_at, r.captured_at) for r in streams.snapshots(spark, f"{tmp_path}/t").collect()) == [(0, "A", at(0), at(1)), (1, "B", at(1), at(2))]
 
 
-def test_streamed_health_equals_the_batch(spark, tmp_path):
-    log = spark.createDataFrame([(n % 2, n, n % 7 < 2) for n in range(40)], "institution_id long, seq long, ok boolean")
-    for k in range(4):
-        log.filter(f"seq >= {k * 10} and seq < {k * 10 + 10}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    streams.stream_source_health(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
-    assert sorted(map(tuple, streams.health(spark.read.parquet(f"{tmp_path}/t")).collect())) == sorted(tuple(r) for r in ingest.source_health(log).select("institution_id", "consecutive_failures", "last_seq", "status").collect())
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_streamed_health_equals_the_batch(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    log = spark.createDataFrame([(n % 3, n, n % 3 != 2 and rnd.random() < 0.3) for n in range(45)], "institution_id long, seq long, ok boolean")
+    shuffled_slices(log, seed, tmp_path, streams.stream_source_health)
+    got = sorted(map(tuple, streams.health(spark, f"{tmp_path}/t").collect()))
+    last = {r.institution_id: r for r in ingest.health_log(log).orderBy("seq").collect()}
+    assert [r[:3] for r in got] == [(i, last[i].consecutive_failures, last[i].seq) for i in sorted(last)] and got == sorted(map(tuple, ingest.source_health(log).collect()))
+    assert spark.read.parquet(f"{tmp_path}/t/outcomes").filter("institution_id = 2").count() >= 15  # a source without any success keeps its failures
 
 
 @pytest.mark.parametrize("avg,low,failed,status", [(0.9, 0, 0, "stable"), (0.65, 0, 0, "watch"), (0.85, 25, 0, "watch"), (0.9, 0, 1, "review"), (0.9, 5, 0, "stable")])
@@ -238,17 +258,45 @@ def test_keywords_are_looked_for_in_institution_names(spark):
     assert broad == {2: (1, 1, 100), 3: (1, 1, 100), 5: (1, 1, 100)}
 
 
+WATCHING = "id long, user_id long, keyword string, institution_ids array<long>, last_checked_at timestamp, last_pushed_at timestamp"
+
+
 def test_streamed_scan_pushes_once(spark, tmp_path):
-    subs = spark.createDataFrame([(1, 9, "ICU", [1], at(0), None), (2, 9, "b", [1], at(0), at(3))], "id long, user_id long, keyword string, institution_ids array<long>, last_checked_at timestamp, last_pushed_at timestamp")
-    inst = spark.createDataFrame([(1, True, "ok")], "id long, enabled boolean, last_status string")
-    watching = subscriptions.active(subs, inst)
-    for k, titles in enumerate((["ICU", "x"], ["b"], ["ICU b", "ICU"])):
-        jobs = spark.createDataFrame([(10 * k + n, 1, t, "", "org", at(2 * k + n + 1)) for n, t in enumerate(titles)], JOBS)
+    """Late and repeated postings are pushed once, postings before the checkpoint or too late never."""
+    subs = spark.createDataFrame([(1, 9, "ICU", [1], at(0), None), (2, 9, "b", [1], at(0), at(3))], WATCHING)
+    watching = subscriptions.active(subs, spark.createDataFrame([(1, True, "ok")], "id long, enabled boolean, last_status string"))
+    arrivals = [[(40, "ICU b", 5), (41, "x", 5)], [(10, "ICU", 1), (40, "ICU b", 5)], [(20, "b", 2), (21, "b", 4), (10, "ICU", 1)], [(50, "ICU", 60), (51, "b", 61)], [(60, "ICU b", 20), (61, "ICU", 55)]]
+    for rows in arrivals:
+        jobs = spark.createDataFrame([(n, 1, t, "", "org", at(d)) for n, t, d in rows], JOBS)
         jobs.write.mode("append").parquet(f"{tmp_path}/in")
         for _ in range(2):
-            streams.stream_sub_scan(spark.readStream.schema(jobs.schema).parquet(f"{tmp_path}/in"), watching, f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
-    got = sorted((r.subscription_id, r.since, r.job_count) for r in spark.read.parquet(f"{tmp_path}/t").collect())
-    assert got == [(1, at(0), 1), (1, at(2), 2), (2, at(3), 1)]
+            streams.stream_sub_scan(spark.readStream.schema(jobs.schema).parquet(f"{tmp_path}/in"), watching, f"{tmp_path}/c", f"{tmp_path}/t", "30 days").awaitTermination()
+    got = sorted((r.subscription_id, tuple(r.job_ids)) for r in streams.stored(spark, f"{tmp_path}/t", "notifications").collect())
+    assert got == [(1, (10,)), (1, (40,)), (1, (50,)), (1, (61,)), (2, (21,)), (2, (40,)), (2, (51,))]
+
+
+def test_overlapping_scans_push_once(spark, tmp_path, monkeypatch):
+    """Two scans prepare their notifications before either is published; the second starts again and finds nothing new."""
+    subs = spark.createDataFrame([(1, 9, "ICU", [1], at(0), None)], WATCHING)
+    watching = subscriptions.active(subs, spark.createDataFrame([(1, True, "ok")], "id long, enabled boolean, last_status string"))
+    jobs = spark.createDataFrame([(n, 1, "ICU", "", "org", at(n)) for n in range(1, 4)], JOBS)
+    meet, publish, tried = threading.Barrier(2, timeout=60), streams._publish, []
+
+    def together(session, staged, to):
+        if len(tried) < 2:
+            tried.append(to)
+            meet.wait()
+        return publish(session, staged, to)
+
+    monkeypatch.setattr(streams, "_publish", together)
+    with ThreadPoolExecutor(2) as pool:
+        numbers = sorted(f.result() for f in [pool.submit(streams.scan_and_push, watching, jobs, f"{tmp_path}/t") for _ in range(2)])
+    assert numbers == [0, 1] and [x.rsplit("/")[-1] for x in tried] == ["scan=0"] * 2
+    assert [(r.subscription_id, sorted(r.job_ids)) for r in spark.read.parquet(f"{tmp_path}/t").collect()] == [(1, [1, 2, 3])]
+    assert not [x for x in os.listdir(f"{tmp_path}/t") if x.startswith("_staged")]
+    later = jobs.unionByName(spark.createDataFrame([(9, 1, "ICU", "", "org", at(9))], JOBS))
+    assert streams.scan_and_push(watching, later, f"{tmp_path}/t") == 2
+    assert sorted(n for r in spark.read.parquet(f"{tmp_path}/t").collect() for n in r.job_ids) == [1, 2, 3, 9]
 
 
 def test_scan_uses_the_checkpoint_and_whole_words(spark):
