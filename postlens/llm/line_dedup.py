@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, unused, written
 
-EDITS, CHARS_PER_EDIT, LIST_CAP = 2, 10, 20
+EDITS, CHARS_PER_EDIT, LIST_CAP = 2, 10, 32
+#: Up to so many lines in question, some 90 bytes each, are broadcast.
+BROADCAST_HASHES = 1_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -126,7 +128,8 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
 
 
 def _postings(wide: Column, edits: int) -> list[Column]:
-    """A line's segments and its probes of lines that are shorter by up to `edits`, or shifted: hashes, of which the last bit says whether it is an own segment."""
+    """A line's segments and its probes of lines that are shorter by up to `edits`, or shifted: hashes, of which the last bit says whether it is an own
+    segment, and the three before it which scheme and length it is of."""
     parts, keys, n = edits + 1, [], _chars(wide)
     for less in range(edits + 1):
         length = n - less
@@ -137,7 +140,7 @@ def _postings(wide: Column, edits: int) -> list[Column]:
             for shift in range(low, high + 1):
                 # inside the line always, as each segment has a character or more
                 key = F.xxhash64(F.lit(edits), length, F.lit(i), _cut(wide, start + shift + 1, size))
-                keys.append(key.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(less == 0 and shift == 0))))
+                keys.append(key.bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(8 * (edits - 1) + 2 * less + int(less == 0 and shift == 0))))
     return keys
 
 
@@ -229,16 +232,20 @@ def _narrowed(states: DataFrame, text: DataFrame) -> DataFrame:
     at = states.join(text.select("id", "wide"), "id")
     two = at.filter("e1 = 2").select("key", "id", "wide", F.explode(_pair_window(*map(F.col, ("p1", "n1", "w1", "own", "wide")))).alias("x"))
     two = two.select(F.xxhash64("key", "x.fixed").alias("key"), "id", *[f"x.{c}" for c in ("own", "e1", "p1", "n1", "w1", "p2", "n2", "w2")], "wide")
-    # one edit in each half fixes nothing yet, so these halves are halved at once
+    # one edit in each half fixes nothing yet, so the longer half is halved at once
     apart = two.filter("e1 = 1 and (w1 > 0 or w2 > 0)")
     one = at.filter("e1 = 1").select(apart.columns).unionByName(apart)
-    one = one.withColumn("x", F.explode(_window(*map(F.col, ("p1", "n1", "w1")), "1", F.col("wide")))).withColumn("y", F.explode(_window(*map(F.col, ("p2", "n2", "w2")), "2", F.col("wide"))))
-    one = one.select(F.xxhash64("key", "x.fixed", "y.fixed").alias("key"), "id", "own", "e1", *[F.col(f"{s}.{c}").alias(f"{c}{k}") for s, k in (("x", 1), ("y", 2)) for c in ("p", "n", "w")])
+    # of two stretches the longer one: a state gives two rows a step, and most of them have no partner any more
+    first = F.col("w1") >= F.col("w2")
+    ways = [_window(*map(F.col, (f"p{k}", f"n{k}", f"w{k}")), str(k), F.col("wide")) for k in (1, 2)]
+    one = one.withColumn("x", F.explode(F.when(first, ways[0]).otherwise(ways[1])))
+    stretch = lambda c, k: F.when(first if k == 1 else ~first, F.col(f"x.{c}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}")
+    one = one.select(F.xxhash64("key", "x.fixed").alias("key"), "id", "own", "e1", *[stretch(c, k) for k in (1, 2) for c in ("p", "n", "w")])
     return one.unionByName(two.filter("e1 = 2 or (w1 = 0 and w2 = 0)").drop("wide"))
 
 
 def _narrow(crowd: DataFrame, text: DataFrame, edits: int, chars: int, list_cap: int) -> tuple[DataFrame, DataFrame]:
-    """crowd: id of the lines of long postings; text: id, rank (the order of first lines), wide.
+    """crowd: id and kind (scheme, and how much shorter the other line is) of the entries of long postings; text: id, rank (the order of first lines), wide.
 
     Returns pairs u, v still to verify, and links u, v to the first line of settled lists, whose lines are all
     near. A state says where in a line the edits may lie: one stretch with both, or two with one each; all that
@@ -246,12 +253,10 @@ def _narrow(crowd: DataFrame, text: DataFrame, edits: int, chars: int, list_cap:
     stays long costs a few rows a line and step, and the steps are the logarithm of a line's length.
     """
     n, zero = _chars(F.col("wide")), F.lit(0)
-    own = text.join(crowd, "id", "left_semi")
-    starts = []
+    own, starts = text.join(crowd, "id"), []
     for e in range(1, edits + 1):
-        fit = own.filter((n >= e * chars) & (F.lit(True) if e == edits else n < (e + 1) * chars + e))
-        length = F.explode(F.array(*[n - less for less in range(e + 1)])).alias("w1")
-        state = fit.select("id", n.alias("n1"), length)
+        fit = own.filter((F.shiftright("kind", 2) == e - 1) & (n >= e * chars) & (F.lit(True) if e == edits else n < (e + 1) * chars + e))
+        state = fit.select("id", n.alias("n1"), (n - F.col("kind").bitwiseAND(F.lit(3))).alias("w1"))
         # of two lines in e edits the shorter has e * chars characters or more
         state = state.filter(F.col("w1") >= e * chars)
         starts.append(state.select(F.xxhash64(F.lit(e), "w1").alias("key"), "id", (F.col("n1") == F.col("w1")).alias("own"), F.lit(e).alias("e1"), F.lit(1).alias("p1"), "n1", "w1", zero.alias("p2"), zero.alias("n2"), zero.alias("w2")))
@@ -271,17 +276,20 @@ def _narrow(crowd: DataFrame, text: DataFrame, edits: int, chars: int, list_cap:
         states = written(_narrowed(long.distinct(), text), "line-states")
 
 
-def near_pairs(posts: DataFrame, distinct: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT, list_cap: int = LIST_CAP) -> DataFrame:
-    """posts: key, id, own of distinct lines; distinct: id, rank, line.
+def near_pairs(posts: DataFrame, lines: DataFrame, distinct: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT, list_cap: int = LIST_CAP) -> DataFrame:
+    """posts: key, id, own, kind of distinct lines; lines: a, b, line, repeats allowed; distinct: id, a, b, rank.
 
     Returns u, v: near lines, all pairs but those that a link of each to the first line near both stands for.
     """
     listed = written(_listed(posts), "line-listed")
     found = written(_met(listed.filter(F.col("n") <= list_cap)), "line-pairs")
-    crowd = written(listed.filter(F.col("n") > list_cap).select("id").distinct(), "line-crowd")
-    # the texts of the lines in question alone
-    asked = found.select(F.col("u").alias("id")).unionByName(found.select(F.col("v").alias("id"))).unionByName(crowd).distinct()
-    text = written(distinct.join(asked, "id", "left_semi").select("id", "rank", "line"), "line-texts")
+    crowd = written(listed.filter(F.col("n") > list_cap).select("id", "kind").distinct(), "line-crowd")
+    # the texts of the lines in question alone, fetched once
+    asked = found.select(F.col("u").alias("id")).unionByName(found.select(F.col("v").alias("id"))).unionByName(crowd.select("id")).distinct()
+    asked = written(distinct.join(asked, "id", "left_semi").select("id", "a", "b", "rank"), "line-asked")
+    # up to the bound the hashes go to the lines; beyond it the lines go to the hashes
+    sought = F.broadcast(asked) if asked.count() <= BROADCAST_HASHES else asked
+    text = written(lines.join(sought, ["a", "b"]).select("id", "rank", "line").dropDuplicates(["id"]), "line-texts")
     more, links = _narrow(crowd, text.select("id", "rank", _wide(F.col("line")).alias("wide")), edits, chars_per_edit, list_cap)
     pairs = found.unionByName(more).distinct()
     sides = pairs.join(text.select(F.col("id").alias("u"), F.col("line").alias("u_line")), "u").join(text.select(F.col("id").alias("v"), F.col("line").alias("v_line")), "v")
@@ -301,15 +309,16 @@ def dedup(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_E
     read = lines_of(docs)
     order = F.struct("doc_id", "line_no")
     lines = written(read.select("doc_id", "line_no", "a", "b"), "lines")
-    # equal lines are one from here on; it alone is posted
-    firsts = read.groupBy("a", "b").agg(F.min(order).alias("rank"), F.any_value("line").alias("line"))
+    posted = _posted(read.select("doc_id", "line_no", "a", "b", _wide(F.col("line")).alias("wide")), edits, chars_per_edit)
+    firsts = posted.groupBy("a", "b").agg(F.min(order).alias("rank"), F.any_value("posts").alias("posts"))
     # of different lines at one place of one id the hashes decide
     firsts = firsts.withColumn("rank", F.struct("rank.doc_id", "rank.line_no", "a", "b"))
     distinct = written(firsts.withColumn("id", F.monotonically_increasing_id()), "line-distinct")
-    posted = written(_posted(distinct.filter(F.length("line") >= chars_per_edit).select("id", _wide(F.col("line")).alias("wide")), edits, chars_per_edit), "line-posted")
     # a line may post one key twice; its list is then a little longer
-    posts = posted.select("id", F.explode("posts").alias("post")).select(F.col("post").bitwiseAND(F.lit(-2)).alias("key"), "id", (F.col("post").bitwiseAND(F.lit(1)) == 1).alias("own"))
-    pairs = written(near_pairs(posts, distinct, edits, chars_per_edit, list_cap), "line-links")
+    posts = distinct.select("id", F.explode("posts").alias("post")).select(
+        F.col("post").bitwiseAND(F.lit(-16)).alias("key"), "id", (F.col("post").bitwiseAND(F.lit(1)) == 1).alias("own"), F.shiftright(F.col("post").bitwiseAND(F.lit(15)), 1).cast("byte").alias("kind")
+    )
+    pairs = written(near_pairs(posts, read.filter(F.length("line") >= chars_per_edit).select("a", "b", "line"), distinct, edits, chars_per_edit, list_cap), "line-links")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     ranks = distinct.select("id", "a", "b", "rank")
     earlier = both.join(ranks.select(F.col("id").alias("v"), F.col("rank").alias("other")), "v").groupBy("u").agg(F.min("other").alias("earlier"))
