@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OVERLAP = 0.5
+OVERLAP, PER_STRETCH = 0.5, 64
 #: What stands for an open end.
 OPEN_ENDED = ("至今", "now", "present", "current")
 #: Level names and the words that mean them.
@@ -43,29 +43,42 @@ def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.when(shared < 0, 0.0).when(shorter == 0, F.when((shared == 0) & (a_start == b_start), 1.0).otherwise(0.0)).otherwise(shared / shorter)
 
 
-def _meet(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
-    """Equal user, collection and year first: each entry is in every year it touches, and a pair counts in the year in which its common part begins.
+def _grid(intervals: DataFrame) -> DataFrame:
+    """user_id, collection, low (first start), width (days) and last: stretches of a user's time in which some PER_STRETCH entries start."""
+    days = F.datediff(F.max("start"), F.min("start")) + 1
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / PER_STRETCH), F.lit(1))
+    width = F.greatest(F.ceil(days / many), F.lit(1)).cast("int")
+    return intervals.groupBy("user_id", "collection").agg(F.min("start").alias("low"), width.alias("width"), F.floor((days - 1) / width).cast("int").alias("last"))
 
-    So entries of a user meet those of the same years alone. Dates and order are a residual filter.
+
+def _touching(earlier: DataFrame, later: DataFrame, before: Column) -> DataFrame:
+    """Pairs of rows with grid (aliases a and b) of which b starts while a is open; before: what else orders them.
+
+    Each entry of `later` stands in the stretch in which it starts, each of `earlier` is carried on through those in
+    which it is open. So a pair is met once, and a busy user's time is worked on by many tasks.
     """
-    year = lambda c: F.year(c)
+    at = lambda day: F.least(F.greatest(F.floor(F.datediff(day, F.col("low")) / F.col("width")).cast("int"), F.lit(0)), F.col("last"))
+    a = earlier.withColumn("stretch", F.explode(F.sequence(at(F.col("start")), at(F.col("stop"))))).alias("a")
+    b = later.withColumn("stretch", at(F.col("start"))).alias("b")
+    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.collection") == F.col("b.collection")) & (F.col("a.stretch") == F.col("b.stretch"))
+    return a.join(b, same & before & (F.col("a.stop") >= F.col("b.start")))
 
-    def by_year(df: DataFrame, name: str) -> DataFrame:
-        # parsed dates as a column of their own, spread over years: one row for most entries
-        return df.select("user_id", "collection", "item_id", "start", "end", F.explode(F.sequence(year("start"), year(F.greatest("end", "start")))).alias("year")).alias(name)
 
-    keys = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.collection") == F.col("b.collection")) & (F.col("a.year") == F.col("b.year"))
-    near = (F.col("a.start") <= F.greatest("b.end", "b.start")) & (F.col("b.start") <= F.greatest("a.end", "a.start"))
-    once = F.col("a.year") == year(F.greatest("a.start", "b.start"))
-    pairs = by_year(left, "a").join(by_year(right, "b"), keys & once & near & apart)
+def _overlapping(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
     ratio = overlap_ratio(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
-    return pairs.select("a.user_id", "a.collection", F.col("a.item_id").alias("left_id"), F.col("b.item_id").alias("right_id"), ratio.alias("ratio")).filter(F.col("ratio") >= OVERLAP)
+    return pairs.select("a.user_id", "a.collection", left.alias("left_id"), right.alias("right_id"), ratio.alias("ratio")).filter(F.col("ratio") >= OVERLAP)
+
+
+def _known(intervals: DataFrame, grid: DataFrame) -> DataFrame:
+    known = intervals.filter("start is not null").select("user_id", "collection", "item_id", "start", "end", F.greatest("end", "start").alias("stop"))
+    return known.join(grid, ["user_id", "collection"])
 
 
 def overlap_pairs(intervals: DataFrame) -> DataFrame:
     """intervals: user_id, collection, item_id, start, end. Pairs of a user's entries that overlap by half or more."""
-    known = intervals.filter("start is not null")
-    return _meet(known, known, F.col("a.item_id") < F.col("b.item_id"))
+    known = _known(intervals, _grid(intervals.filter("start is not null")))
+    order = (F.col("a.start") < F.col("b.start")) | ((F.col("a.start") == F.col("b.start")) & (F.col("a.item_id") < F.col("b.item_id")))
+    return _overlapping(_touching(known, known, order), F.least("a.item_id", "b.item_id"), F.greatest("a.item_id", "b.item_id"))
 
 
 def overlap_flagged(pairs: DataFrame) -> DataFrame:
@@ -74,7 +87,19 @@ def overlap_flagged(pairs: DataFrame) -> DataFrame:
 
 
 def overlap_new_item(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    return _meet(candidates.filter("start is not null"), existing.filter("start is not null"), F.col("a.item_id") != F.col("b.item_id"))
+    """Candidates (left_id) with the entries (right_id) of their user and collection that they overlap by half or more."""
+    grid = _grid(existing.filter("start is not null"))
+    old, new = _known(existing, grid), _known(candidates, grid)
+    other = F.col("a.item_id") != F.col("b.item_id")
+    after = _touching(old, new, other & (F.col("a.start") <= F.col("b.start")))
+    before = _touching(new, old, other & (F.col("a.start") < F.col("b.start")))
+    return _overlapping(after, F.col("b.item_id"), F.col("a.item_id")).unionByName(_overlapping(before, F.col("a.item_id"), F.col("b.item_id")))
+
+
+def latest_entries(intervals: DataFrame) -> DataFrame:
+    """The entry of the greatest item_id of each user and collection, as if it had just been added."""
+    newest = intervals.groupBy("user_id", "collection").agg(F.max("item_id").alias("item_id"))
+    return intervals.join(newest, ["user_id", "collection", "item_id"], "left_semi")
 
 
 def is_blank(item: Column, fields: list[str]) -> Column:

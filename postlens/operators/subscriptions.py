@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.text import txt_keyword_match
-from postlens.operators.postings import contains_like
+from postlens.functions.text import grams, txt_keyword_match
+from postlens.operators.postings import ascii_lower, contains_like
 
+GRAM = 3
 HIT_CAP, SHOWN, BROAD, DEFAULT_SOURCES, DAYS = 100, 3, 0.5, 12, 30
 
 
@@ -28,6 +31,40 @@ def active(subs: DataFrame, institutions: DataFrame) -> DataFrame:
     return watched(subs).filter(F.trim("keyword") != "").join(ok, ["id", "institution_id"], "left_semi")
 
 
+def _part(keyword: Column) -> Column:
+    """The longest part of a keyword without wildcards, of several the greatest."""
+    parts = F.transform(F.split(ascii_lower(keyword), r"[%_\\\\]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
+    return F.array_max(parts)["p"]
+
+
+def anchor_size(keyword: Column) -> Column:
+    return F.least(F.length(_part(keyword)), F.lit(GRAM))
+
+
+def keyword_anchors(keywords: DataFrame) -> DataFrame:
+    """keyword, gram: a piece of up to GRAM characters that each text with the keyword holds, of its longest part without wildcards.
+
+    Of several the one that the fewest keywords hold. A keyword of wildcards alone has the empty piece.
+    """
+    part = keywords.select("keyword").distinct().select("keyword", _part(F.col("keyword")).alias("part"), anchor_size(F.col("keyword")).alias("size"))
+    pieces = reduce(lambda acc, n: acc.when(F.col("size") == n, grams(F.col("part"), n)), range(GRAM + 1), F)
+    each = part.select("keyword", F.explode(pieces).alias("gram"))
+    return each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).groupBy("keyword").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+
+
+def keyword_candidates(asked: DataFrame, jobs: DataFrame, sizes: list[int], fields: tuple[str, ...] = ("title", "raw_text", "institution_name")) -> DataFrame:
+    """jobs (institution_id, fields, ...) with the rows of asked (institution_id, keyword, ...) whose anchor one of the fields holds; sizes: those of the anchors.
+
+    An index of keywords by institution and piece: a posting looks up its own pieces, so what it costs goes by
+    its length and not by the number of keywords, each of which it meets once at most.
+    """
+    # a character that no text holds keeps pieces within a field
+    text = ascii_lower(F.concat_ws("\x00", *fields))
+    pieces = F.array_distinct(F.concat(*[grams(text, n) for n in sizes])) if sizes else F.array(F.lit(""))
+    posted = asked.join(keyword_anchors(asked), "keyword").withColumnRenamed("gram", "_gram")
+    return jobs.withColumn("_gram", F.explode(pieces)).join(posted, ["institution_id", "_gram"]).drop("_gram")
+
+
 def keyword_hits(watching: DataFrame, jobs: DataFrame, since: str | None = None) -> DataFrame:
     """watching joined with the postings that hold its keyword in title, text or institution name, as LIKE does; `whole` says whether as a word.
 
@@ -37,12 +74,12 @@ def keyword_hits(watching: DataFrame, jobs: DataFrame, since: str | None = None)
     after = F.lit(None).cast("timestamp") if since is None else F.col(since)
     asked = watching.groupBy("institution_id", "keyword").agg(F.min(after).alias("_least"), F.bool_or(after.isNull()).alias("_all"))
     j = jobs.select("institution_id", F.col("id").alias("job_id"), "title", "raw_text", "institution_name", "fetched_at")
-    if since is not None:
-        first = watching.agg(F.min(since).alias("least"), F.count_if(F.col(since).isNull()).alias("open")).first()
-        if first.least is not None and not first.open:
-            j = j.filter(F.col("fetched_at") > F.lit(first.least))  # reaches the scan
+    # one row: the least checkpoint and the few sizes of anchors
+    first = watching.agg(F.min(after).alias("least"), F.count_if(after.isNull()).alias("open"), F.array_sort(F.collect_set(anchor_size(F.col("keyword")))).alias("sizes")).first()
+    if first.least is not None and not first.open:
+        j = j.filter(F.col("fetched_at") > F.lit(first.least))  # reaches the scan
     like = contains_like(F.col("title"), F.col("keyword")) | contains_like(F.col("raw_text"), F.col("keyword")) | contains_like(F.col("institution_name"), F.col("keyword"))
-    met = j.join(asked, "institution_id").filter((F.col("_all") | (F.col("fetched_at") > F.col("_least"))) & F.coalesce(like, F.lit(False)))
+    met = keyword_candidates(asked, j, first.sizes).filter((F.col("_all") | (F.col("fetched_at") > F.col("_least"))) & F.coalesce(like, F.lit(False)))
     text = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "institution_name", "raw_text")])
     whole = ~F.trim("keyword").rlike(r"^[\x00-\x7F]*$") | txt_keyword_match(text, F.col("keyword"))
     hits = met.select("institution_id", "keyword", "job_id", "title", "fetched_at", whole.alias("whole"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import ingest
-from postlens.plans.registry import also, query
+from postlens.plans.registry import query
 from postlens.sources.bindings import EVENTS_AS_OF, Tables
 
 _K = "institution_id, source_url"
@@ -82,14 +82,10 @@ def run_recent(t: Tables):
     return _summary(t).orderBy(F.desc("run_id")).limit(10)
 
 
-for _name in ("run_outcomes", "run_summary", "run_progress", "run_recent"):
-    also(_name, f"{_name}_all")
-
-
-@query(f"""select count(*) = 0 as due from (select * from (select run_id * 1000 + institution_id as run, min(happened) as started_at, min(trigger) as trigger from outcomes group by 1) order by started_at desc, run desc limit 50)
+@query(f"""select count(*) = 0 as due from (select * from (select run_id, institution_id, min(happened) as started_at, min(trigger) as trigger from outcomes group by 1, 2) order by started_at desc, run_id desc, institution_id desc limit 50)
     where trigger = 'auto' and started_at >= timestamp '{EVENTS_AS_OF}' - interval 24 hour""")
 def run_gap_24h(t: Tables):
-    runs = t.outcomes.groupBy((F.col("run_id") * 1000 + F.col("institution_id")).alias("run_id")).agg(F.min("happened").alias("started_at"), F.min("trigger").alias("trigger"))
+    runs = t.outcomes.groupBy(F.struct("run_id", "institution_id").alias("run_id")).agg(F.min("happened").alias("started_at"), F.min("trigger").alias("trigger"))
     return ingest.run_gap(runs, EVENTS_AS_OF)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postlens.operators import drafts as D
 from postlens.operators import intervals as I
 from postlens.operators import subscriptions as S
-from postlens.plans.registry import also, query
+from postlens.plans.registry import query
 from postlens.sources.bindings import AS_OF, Tables
 
 _DATE = """case when lower(trim({c})) in ('至今', 'now', 'present', 'current') then date '{as_of}' when regexp_matches(trim({c}), '^\\d{4}(-\\d{1,2}){0,2}$')
@@ -33,6 +33,11 @@ def _intervals(t: Tables):
     return I.interval_build(t.intervals, AS_OF)
 
 
+def _parsed(t: Tables):
+    """Dates are parsed once, as both sides of a join and the grid read them."""
+    return t.keep(_intervals(t).select("user_id", "collection", "item_id", "start", "end"), "intervals")
+
+
 @query(f"select item_id, epoch({_d('start_raw')})::bigint as start_at, epoch({_d('end_raw')})::bigint as end_at from intervals")
 def date_parse(t: Tables):
     return t.intervals.select("item_id", *[F.unix_timestamp(I.date_parse(F.col(f"{c}_raw"), AS_OF).cast("timestamp")).alias(f"{c}_at") for c in ("start", "end")])
@@ -45,21 +50,19 @@ def interval_build(t: Tables):
 
 @query(_ONCE)
 def overlap_pairs(t: Tables):
-    return I.overlap_pairs(_intervals(t))
+    return I.overlap_pairs(_parsed(t))
 
 
 @query(f"with q as ({_ONCE}) select user_id, left_id as item_id from q union select user_id, right_id from q")
 def overlap_flagged(t: Tables):
-    return I.overlap_flagged(I.overlap_pairs(_intervals(t)))
+    return I.overlap_flagged(I.overlap_pairs(_parsed(t)))
 
 
-@query(_PAIRS.replace("{apart}", "a.item_id <> b.item_id"))
+@query(_PAIRS.replace("{apart}", "a.item_id <> b.item_id and a.item_id in (select max(item_id) from intervals group by user_id, collection)"))
 def overlap_new_item(t: Tables):
-    iv = _intervals(t)
-    return I.overlap_new_item(iv, iv)
-
-
-also("overlap_new_item", "overlap_new_item_all")
+    """The latest entry of each user and collection against the user's other ones."""
+    iv = _parsed(t)
+    return I.overlap_new_item(iv, I.latest_entries(iv))
 
 
 @query("select l_orderkey as user_id, sum((l_returnflag <> 'N' or l_linenumber = 2)::int)::bigint as n_nonblank, sum((l_returnflag <> 'N' or l_linenumber = 2)::int) = 0 as is_empty from lineitem group by 1")

@@ -44,8 +44,3 @@ def query(sql: str | None = None):
         return f
 
     return put
-
-
-def also(name: str, as_: str) -> None:
-    """Registers a query under a second name."""
-    QUERIES[as_], SQL[as_] = QUERIES[name], SQL[name]
