@@ -57,10 +57,14 @@ def parser_quality(jobs: DataFrame) -> DataFrame:
     )
 
 
+def judged(average: Column, low_share: Column, failed: Column) -> Column:
+    """Failed attachments → review; a low rounded average or a low share over 0.2 → watch; else stable."""
+    return F.when(failed > 0, "review").when((average < 0.7) | (low_share > 0.2), "watch").otherwise("stable")
+
+
 def review_status(quality: DataFrame) -> DataFrame:
-    """quality with status: failed attachments → review; a low rounded average or a low share over 0.2 → watch; else stable."""
-    watch = (F.col("avg_confidence") < 0.7) | (F.col("low_confidence") / F.col("jobs") > 0.2)
-    status = F.when(F.col("failed_attachments") > 0, "review").when(watch, "watch").otherwise("stable")
+    """quality with status, the worst first."""
+    status = judged(F.col("avg_confidence"), F.col("low_confidence") / F.col("jobs"), F.col("failed_attachments"))
     severity = F.when(F.col("status") == "review", 0).when(F.col("status") == "watch", 1).otherwise(2)
     return quality.withColumn("status", status).orderBy(severity, F.desc("failed_attachments"), F.desc("low_confidence"), F.desc("jobs"), "parser")
 
@@ -104,14 +108,37 @@ def render_report(lines: DataFrame) -> DataFrame:
     return marked.withColumn("html", body).agg(ordered("line").alias("markdown"), ordered("html").alias("html"))
 
 
-def summary(jobs: DataFrame) -> DataFrame:
-    """section, name, n: totals, the four group counts, trust classes (jobs needs `trust`), parser statuses and top capabilities."""
-    total = totals(jobs)
-    parts = [total.select(F.inline(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in total.columns])))]
-    parts.append(group_counts(jobs, ("job_category", "education", "institution_type", "region", "trust")))
-    parts.append(review_status(parser_quality(jobs)).select(F.concat(F.lit("parser "), "status").alias("section"), F.col("parser").alias("name"), F.col("jobs").alias("n")))
-    parts.append(capabilities(jobs).select(F.lit("capability").alias("section"), "name", "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+GROUPED = ("job_category", "education", "institution_type", "region", "trust")
+
+
+def cube(jobs: DataFrame) -> DataFrame:
+    """section, name and measures of all that the summary shows, in one pass: jobs are expanded into a row a section and tag,
+    partially summed, and shuffled once. A row a distinct value, so what is counted distinctly is counted by rows."""
+    named = {c: F.col(c) for c in GROUPED} | {"education": or_else("education", UNKNOWN_EDUCATION), "parser": or_else("parser_name", UNKNOWN_PARSER), "institution": F.col("institution_id").cast("string")}
+    tags = F.transform(
+        F.filter("tags", lambda x: (x != F.col("region")) & (x != F.col("institution_type")) & (x != F.col("job_category"))), lambda x: F.struct(F.lit("capability").alias("section"), x.alias("name"))
+    )
+    pairs = F.concat(F.array(*[F.struct(F.lit(k).alias("section"), c.alias("name")) for k, c in named.items()]), F.coalesce(tags, F.expr("cast(array() as array<struct<section:string,name:string>>)")))
+    rows = jobs.select("confidence", "attachment_url", "failed_attachments", F.inline(pairs))
+    return rows.groupBy("section", "name").agg(
+        F.count(F.lit(1)).alias("n"), _count(F.col("confidence") < LOW_CONFIDENCE).alias("low_confidence"), _count(F.col("attachment_url").isNotNull()).alias("attachment_sourced"),
+        F.coalesce(F.sum("failed_attachments"), F.lit(0)).alias("failed_attachments"), F.bround(F.avg("confidence"), 2).alias("avg_confidence"),
+    )
+
+
+def summary(cubed: DataFrame, top: int = 20) -> DataFrame:
+    """section, name, n from `cube`: totals, the group counts, parser statuses and top capabilities."""
+    of = lambda section: F.col("section") == section
+    distinct = lambda section: F.count_if(of(section) & F.col("name").isNotNull())
+    total = lambda c: F.coalesce(F.sum(F.when(of("parser"), F.col(c))), F.lit(0))
+    totals = {
+        "jobs": total("n"), "institutions": distinct("institution"), "regions": distinct("region"), "parsers": distinct("parser"),
+        **{c: total(c) for c in ("low_confidence", "attachment_sourced", "failed_attachments")},
+    }
+    whole = cubed.agg(*[c.alias(k) for k, c in totals.items()])
+    whole = whole.select(F.inline(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(k).alias("name"), F.col(k).cast("long").alias("n")) for k in totals])))
+    status = judged(F.col("avg_confidence"), F.col("low_confidence") / F.col("n"), F.col("failed_attachments"))
+    section = F.when(of("parser"), F.concat(F.lit("parser "), status)).otherwise(F.col("section"))
+    shown = cubed.filter(F.col("section").isin(*GROUPED, "parser")).select(section.alias("section"), "name", "n")
+    best = cubed.filter(of("capability")).select("section", "name", "n").orderBy(F.desc("n"), "name").limit(top)
+    return whole.unionByName(shown).unionByName(best)

@@ -17,13 +17,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
+def trust_of(enabled: Column, parser_name: Column) -> Column:
+    """disabled before fixture before placeholder before real; an institution that isn't known to be enabled is disabled."""
+    return F.when(~F.coalesce(enabled, F.lit(False)), "disabled").when(parser_name.isin(*FIXTURE_PARSERS), "fixture").when(parser_name.isin(*GENERIC_PARSERS), "placeholder").otherwise("real")
+
+
 def trust_class(jobs: DataFrame, institutions: DataFrame) -> DataFrame:
-    """jobs with `trust`: disabled before fixture before placeholder before real; an unknown institution is disabled."""
+    """jobs with `trust`."""
     on = institutions.filter("enabled").select(F.col("id").alias("institution_id"), F.lit(True).alias("_on"))
-    trust = (
-        F.when(F.col("_on").isNull(), "disabled").when(F.col("parser_name").isin(*FIXTURE_PARSERS), "fixture").when(F.col("parser_name").isin(*GENERIC_PARSERS), "placeholder").otherwise("real")
-    )
-    return jobs.join(on, "institution_id", "left").withColumn("trust", trust).drop("_on")
+    return jobs.join(on, "institution_id", "left").withColumn("trust", trust_of(F.col("_on"), F.col("parser_name"))).drop("_on")
 
 
 def filter_trust(jobs: DataFrame, institutions: DataFrame, trust: str) -> DataFrame:

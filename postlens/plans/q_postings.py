@@ -220,4 +220,5 @@ def sink_report(t: Tables):
     union all select 'region', region, count(*) from j group by 2 union all select 'trust', trust, count(*) from j group by 2
     union all select 'parser ' || status, parser, jobs from ({_REVIEW}) union all select 'capability', name, n from ({_CAP})""")
 def analytics_summary(t: Tables):
-    return market.summary(postings.trust_class(t.jobs, t.institutions))
+    jobs = t.jobs.withColumn("trust", postings.trust_of(F.col("institution_enabled"), F.col("parser_name")))
+    return market.summary(t.keep(market.cube(jobs), "market"))

@@ -51,25 +51,25 @@ class Tables:
         )
 
     @cached_property
-    def _sources(self) -> DataFrame:
-        return self.read("supplier").agg(F.count(F.lit(1)).alias("sources"))
+    def _sources(self) -> F.Column:
+        """The number of institutions, counted once; null if there is none."""
+        return F.lit(self.read("supplier").count() or None).cast("long")
 
     def _institution_of(self, key) -> F.Column:
-        return (key % F.col("sources")).cast("long")
+        return (key % self._sources).cast("long")
 
     @cached_property
     def jobs(self) -> DataFrame:
-        inst = self.institutions.select(F.col("id").alias("institution_id"), F.col("name").alias("institution_name"), "institution_type", "region")
+        inst = self.institutions.select(F.col("id").alias("institution_id"), F.col("name").alias("institution_name"), "institution_type", "region", F.col("enabled").alias("institution_enabled"))
         k = F.col("o_orderkey")
         orders = (
             self.read("orders")
             .join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .crossJoin(F.broadcast(self._sources))  # one row
             .withColumn("institution_id", self._institution_of(F.col("o_custkey")))
         )
         parsers = F.array(*map(F.lit, ("demo-fixture-v1", "generic-visible-page-v1", "generic-fallback-v1", "alpha-v1", "beta-v1")))
         return orders.join(inst, "institution_id").select(
-            k.alias("id"), "institution_id", "institution_name", "institution_type", "region",
+            k.alias("id"), "institution_id", "institution_name", "institution_type", "region", "institution_enabled",
             F.concat_ws(" ", "o_orderpriority", "c_name").alias("title"),
             F.col("o_orderpriority").alias("job_category"),
             F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, "").otherwise(F.col("o_orderstatus")).alias("education"),
@@ -95,7 +95,6 @@ class Tables:
     def observations(self) -> DataFrame:
         return (
             self.read("lineitem")
-            .crossJoin(F.broadcast(self._sources))
             .select(
                 self._institution_of(F.col("l_partkey")).alias("institution_id"), F.format_string("https://jobs.example/p/%d", "l_partkey").alias("source_url"),
                 F.sha2("l_returnflag", 256).alias("source_text_hash"), F.col("l_returnflag").alias("raw_text"), F.format_string("%s parser", "l_linestatus").alias("parser_name"),
@@ -126,11 +125,10 @@ class Tables:
     def subscriptions(self) -> DataFrame:
         k = F.col("s_suppkey")
         words = F.array(*map(F.lit, ("urgent", "HIGH", "customer", "machinery", "specified", " ", "build", "supplier")))
-        ids = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: (k + i * 3) % F.col("sources"))
+        ids = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: (k + i * 3) % self._sources)
         at = F.timestamp_add("DAY", (k % 900).cast("int"), F.lit("1999-01-01").cast("timestamp"))
         return (
             self.read("supplier")
-            .crossJoin(F.broadcast(self._sources))
             .select(
                 k.alias("id"), (k % 20).alias("user_id"), F.get(words, (k % 8).cast("int")).alias("keyword"), F.array_distinct(ids).alias("institution_ids"),
                 at.alias("last_checked_at"), F.when(k % 3 == 0, F.timestamp_add("DAY", F.lit(60), at)).alias("last_pushed_at"), F.timestamp_add("DAY", F.lit(-30), at).alias("created_at"), (k % 17 == 0).alias("deleted"),
