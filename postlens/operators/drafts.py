@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.operators.running import Keep, running
+
 DECISIONS = ("adopt", "edit", "remove")
+#: Drafts a page of a field's references.
+PAGE = 100
 #: Sections without evidence, and the title of one.
 SKIP_SECTIONS = ("identity", "target", "gaps", "appendix", "appendix-satisfied", "appendix-unmet", "appendix-unlinked")
 SKIP_TITLE = "投递前需补充确认"
@@ -88,10 +92,19 @@ def export_gate(reviewed: DataFrame, loose: DataFrame, application: Column, over
     return out.withColumn("code", code.cast("long"))
 
 
-def field_references(items: DataFrame) -> DataFrame:
-    """By user and field: drafts that cite it."""
-    cited = items.filter("field_id is not null").groupBy("user_id", "field_id").agg(F.array_sort(F.collect_set("draft_id")).alias("draft_ids"))
-    return cited.select("user_id", "field_id", F.size("draft_ids").cast("long").alias("n_drafts"), "draft_ids")
+def field_references(items: DataFrame, keep: Keep, page: int = PAGE) -> DataFrame:
+    """By user and field the drafts that cite it, in pages: user_id, field_id, n_drafts, page (from 0), draft_ids (at most `page`, in order).
+
+    A field that all drafts cite has many rows of a bounded size. Places in the list are running counts over
+    segments, so such a field is no task's alone.
+    """
+    cited = items.filter("field_id is not null").select("user_id", "field_id", "draft_id").distinct()
+    placed = running(cited, ["user_id", "field_id"], ["draft_id"], keep, {"_place": F.lit(1).cast("long")})
+    number = F.floor((F.col("_place") - 1) / page).cast("long")
+    pages = placed.groupBy("user_id", "field_id", number.alias("page")).agg(F.array_sort(F.collect_list("draft_id")).alias("draft_ids"), F.max("_place").alias("_place"))
+    pages = keep(pages, "field-pages")
+    counts = pages.groupBy(F.col("user_id").alias("_user"), F.col("field_id").alias("_field")).agg(F.max("_place").alias("n_drafts"))
+    return pages.join(counts, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("field_id") == F.col("_field"))).select("user_id", "field_id", "n_drafts", "page", "draft_ids")
 
 
 def appendix_met(requirement: Column, label: Column, source: Column, strength: Column) -> Column:

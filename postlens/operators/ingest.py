@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.operators.running import Keep, running
+
 KEY = ("institution_id", "source_url")
 #: What keeps its first value and what follows the content.
 DIMENSIONS, CONTENT = ("institution_name",), ("source_text_hash", "raw_text", "parser_name")
@@ -64,10 +66,14 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
     return out.withColumn("status", status)
 
 
-def run_progress(outcomes: DataFrame, order: str = "institution_id") -> DataFrame:
-    w = Window.partitionBy("run_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def run_progress(outcomes: DataFrame, order: str = "institution_id", keep: Keep | None = None) -> DataFrame:
+    """Counts so far of each run; with keep a run of any length is cut into segments."""
     failed = F.col("outcome") != "success"
-    return outcomes.withColumns({"success_so_far": F.sum(F.when(~failed, F.col("n_postings")).otherwise(0)).over(w), "failures_so_far": F.sum(failed.cast("long")).over(w)})
+    sums = {"success_so_far": F.when(~failed, F.col("n_postings")).otherwise(0), "failures_so_far": failed.cast("long")}
+    if keep:
+        return running(outcomes, ["run_id"], [order], keep, sums)
+    w = Window.partitionBy("run_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return outcomes.withColumns({k: F.sum(c).over(w) for k, c in sums.items()})
 
 
 def run_gap(runs: DataFrame, as_of: str, hours: int = 24, newest: int = 50) -> DataFrame:
@@ -84,12 +90,19 @@ def run_targets(institutions: DataFrame, ids: list[int] | None) -> DataFrame:
     return picked.select("id", F.col("enabled").alias("target"))
 
 
-def health_log(outcomes: DataFrame) -> DataFrame:
-    """outcomes (institution_id, seq, ok) with consecutive_failures after each: a success starts an island of 0."""
-    w = Window.partitionBy("institution_id").orderBy("seq")
-    island = outcomes.withColumn("_island", F.sum(F.col("ok").cast("int")).over(w))
-    inside = Window.partitionBy("institution_id", "_island").orderBy("seq")
-    return island.withColumn("consecutive_failures", F.sum((~F.col("ok")).cast("long")).over(inside)).drop("_island")
+def health_log(outcomes: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """outcomes (institution_id, seq, ok) with consecutive_failures after each: failures so far, less those up to the last success.
+
+    With keep an institution's log of any length is cut into segments.
+    """
+    failed = (~F.col("ok")).cast("long")
+    if keep:
+        counted = running(outcomes, ["institution_id"], ["seq"], keep, {"_failures": failed})
+        log = running(counted, ["institution_id"], ["seq"], keep, maxima={"_before": F.when(F.col("ok"), F.col("_failures"))})
+    else:
+        w = Window.partitionBy("institution_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        log = outcomes.withColumn("_failures", F.sum(failed).over(w)).withColumn("_before", F.max(F.when(F.col("ok"), F.col("_failures"))).over(w))
+    return log.withColumn("consecutive_failures", F.col("_failures") - F.coalesce("_before", F.lit(0))).drop("_failures", "_before")
 
 
 def health_status(failures: Column) -> Column:

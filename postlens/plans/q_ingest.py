@@ -74,7 +74,7 @@ def run_summary(t: Tables):
 @query(f"""select run_id, institution_id, (sum(case when outcome = 'success' then n_postings else 0 end) over w)::bigint as success_so_far, (sum((outcome <> 'success')::int) over w)::bigint as failures_so_far
     from ({_OUT}) window w as (partition by run_id order by institution_id rows unbounded preceding)""")
 def run_progress(t: Tables):
-    return ingest.run_progress(_outcomes(t)).select("run_id", "institution_id", "success_so_far", "failures_so_far")
+    return ingest.run_progress(_outcomes(t), keep=t.keep).select("run_id", "institution_id", "success_so_far", "failures_so_far")
 
 
 @query(f"select * from ({_RUNS}) order by run_id desc limit 10")
@@ -112,7 +112,7 @@ def source_health_review(t: Tables):
 
 @query(f"select institution_id, seq, consecutive_failures::bigint as consecutive_failures from ({_HLOG})")
 def source_health_log(t: Tables):
-    return ingest.health_log(t.outcomes).select("institution_id", "seq", "consecutive_failures")
+    return ingest.health_log(t.outcomes.select("institution_id", "seq", "ok"), t.keep).select("institution_id", "seq", "consecutive_failures")
 
 
 @query("select sum(enabled::int)::bigint as enabled, count(*) as total from institutions")

@@ -144,9 +144,11 @@ def draft_export_gate(t: Tables):
     return D.export_gate(D.review(t.draft_items), D.unlinked(t.draft_items, t.draft_facts), F.col("draft_id") % 2 == 1, F.col("draft_id") % 4 == 0).select("draft_id", "n_unlinked", "code")
 
 
-@query("select user_id, field_id, count(distinct draft_id) as n_drafts, string_agg(distinct draft_id::varchar, ',' order by draft_id::varchar) as draft_ids from draft_items where field_id is not null group by 1, 2")
+@query("""with d as (select distinct user_id, field_id, draft_id from draft_items where field_id is not null),
+    p as (select *, (row_number() over (partition by user_id, field_id order by draft_id) - 1) // 100 as page, count(*) over (partition by user_id, field_id) as n_drafts from d)
+    select user_id, field_id, n_drafts, page, string_agg(draft_id::varchar, ',' order by draft_id) as draft_ids from p group by 1, 2, 3, 4""")
 def field_references(t: Tables):
-    return D.field_references(t.draft_items).withColumn("draft_ids", F.array_join(F.array_sort(F.transform("draft_ids", lambda x: x.cast("string"))), ","))
+    return D.field_references(t.draft_items, t.keep).withColumn("draft_ids", F.array_join(F.transform("draft_ids", lambda x: x.cast("string")), ","))
 
 
 @query("""select draft_id, text, decision, 'r ' || text || case when field_id is null then '' else ' — 证据：' || section_id || '：' || field_id end || ' — 强度：weak' as met,

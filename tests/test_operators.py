@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from postlens.functions import text as T
 from postlens.lexicon import ZH_MEDICAL
-from postlens.operators import drafts, extract, imports, ingest, intervals, market, matching, postings, profiles, subscriptions
+from postlens.operators import drafts, extract, imports, ingest, intervals, market, matching, postings, profiles, running, subscriptions
 from postlens.plans import catalog
 from postlens.plans.registry import with_tables
 from postlens.sources import pages
@@ -79,6 +79,59 @@ def test_streamed_health_equals_the_batch(spark, tmp_path, seed):
     assert spark.read.parquet(f"{tmp_path}/t/outcomes").filter("institution_id = 2").count() >= 15  # a source without any success keeps its failures
 
 
+@pytest.fixture
+def keep(spark, tmp_path):
+    """Writes tables as queries do, with many small range partitions that stay."""
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kept = {}
+
+    def put(df, name):
+        path = f"{tmp_path}/{name}-{len(kept)}"
+        df.write.parquet(path)
+        kept[path] = spark.read.schema(df.schema).parquet(path)
+        return kept[path]
+
+    put.kept = kept
+    yield put
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_totals_of_a_hot_key(spark, keep):
+    """Half of the rows have one key: they stand in many segments, and the sums and maxima are the plain ones."""
+    rnd = random.Random(5)
+    rows = [(None if i % 41 == 0 else 7 if i % 2 else i % 13, rnd.randrange(200), i, rnd.choice([None, 1, 2, -3])) for i in range(900)]
+    out = running.running(spark.createDataFrame(rows, "k long, o long, i long, v long"), ["k"], ["o"], keep, {"s": F.col("v")}, {"m": F.col("v")}).collect()
+    at, best = {}, {}
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        at[r[0], r[2]] = at.get(r[0], 0) + (r[3] or 0)
+        at[r[0]] = at[r[0], r[2]]
+        best[r[0], r[2]] = best[r[0]] = max((x for x in (best.get(r[0]), r[3]) if x is not None), default=None)
+    assert len(out) == len(rows) and all((x.s, x.m) == (at[x.k, x.i], best[x.k, x.i]) for x in out)
+    placed = next(t for p, t in keep.kept.items() if "running-rows" in p)
+    spread = placed.filter("k = 7").groupBy("_segment").count().collect()
+    assert len(spread) >= 4 and max(r["count"] for r in spread) < 300
+
+
+def test_long_runs_and_logs_by_segments(spark, keep):
+    rnd = random.Random(9)
+    outcomes = spark.createDataFrame([(1 if i % 3 else 2, i, rnd.choice(["success", "network"]), i % 5) for i in range(300)], "run_id long, institution_id long, outcome string, n_postings long")
+    assert sorted(map(tuple, ingest.run_progress(outcomes, keep=keep).collect())) == sorted(map(tuple, ingest.run_progress(outcomes).collect()))
+    log = spark.createDataFrame([(i % 2 * (i % 5), i, rnd.random() < 0.2) for i in range(300)], "institution_id long, seq long, ok boolean")
+    got, n = {(r.institution_id, r.seq): r.consecutive_failures for r in ingest.health_log(log, keep).collect()}, {}
+    for i, seq, ok in sorted(map(tuple, log.collect()), key=lambda r: r[1]):
+        n[i] = 0 if ok else n.get(i, 0) + 1
+        assert got[i, seq] == n[i]
+    assert sorted(map(tuple, ingest.health_log(log).collect())) == sorted((i, s, ok, got[i, s]) for i, s, ok in map(tuple, log.collect()))
+
+
+def test_references_come_in_pages(spark, keep):
+    items = spark.createDataFrame([(1, 5, d % 130) for d in range(400)] + [(1, 6, 3), (2, 5, 9), (2, None, 1)], "user_id long, field_id long, draft_id long")
+    pages = {(r.user_id, r.field_id, r.page): (r.n_drafts, r.draft_ids) for r in drafts.field_references(items, keep, page=50).collect()}
+    assert pages == {(1, 5, p): (130, list(range(50 * p, min(50 * p + 50, 130)))) for p in range(3)} | {(1, 6, 0): (1, [3]), (2, 5, 0): (1, [9])}
+
+
 @pytest.mark.parametrize("avg,low,failed,status", [(0.9, 0, 0, "stable"), (0.65, 0, 0, "watch"), (0.85, 25, 0, "watch"), (0.9, 0, 1, "review"), (0.9, 5, 0, "stable")])
 def test_review_status(spark, avg, low, failed, status):
     q = spark.createDataFrame([("p", 100, low, 0, failed, avg)], "parser string, jobs long, low_confidence long, attachment_sourced long, failed_attachments long, avg_confidence double")
