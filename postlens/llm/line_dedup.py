@@ -11,7 +11,8 @@ probes, for its own length and the shorter ones in question, the substrings that
 Pairs that meet in a posting are verified by a banded bit-parallel edit distance. Lines that may have one
 edit post two segments, longer ones three; a line at the border does both.
 
-A posting with more than `list_cap` lines emits no pairs. Its lines are narrowed down instead, see `_narrow`:
+A posting with more than `list_cap` lines emits only pairs of near signatures (parities of classes of characters
+and of neighbours, of which an edit turns few), one of more than SIGNED times as many none at all. Its lines are narrowed down, see `_narrow`:
 the stretch of a line that may differ is halved until the postings are short or nothing is left of it. In the
 latter all lines of a posting are near, and each is linked to the first one alone. So no list is paired whole
 and no line is left out. Blank lines stay. Null texts have no lines but one empty one.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, unused, written
 
-EDITS, CHARS_PER_EDIT, LIST_CAP = 2, 10, 32
+EDITS, CHARS_PER_EDIT, LIST_CAP = 2, 10, 20
+#: A list of up to so many times LIST_CAP lines emits the pairs whose signatures are near.
+SIGNED = 10
 #: Up to so many lines in question, some 90 bytes each, are broadcast.
 BROADCAST_HASHES = 1_000_000
 
@@ -172,13 +175,31 @@ def _listed(posts: DataFrame) -> DataFrame:
     return posts.join(written(sizes.select("key", "n"), "line-lists").hint("merge"), "key")
 
 
-def _met(listed: DataFrame) -> DataFrame:
-    """Pairs u < v of lines that meet in a posting."""
-    left, right = listed.filter("own").select("key", F.col("id").alias("u")), listed.select("key", F.col("id").alias("v"), "own")
-    pairs = left.join(right, "key").filter("u <> v and (u < v or not own)")
+def _met(listed: DataFrame, signed: int = 0) -> DataFrame:
+    """Pairs u < v of lines that meet in a posting; with `signed`, those whose signatures allow for so many edits."""
+    sig = ["ones", "twos"] if signed else []
+    left = listed.filter("own").select("key", F.col("id").alias("u"), *sig)
+    right = listed.select("key", F.col("id").alias("v"), "own", *[F.col(c).alias(f"v_{c}") for c in sig])
+    close = f" and bit_count(ones ^ v_ones) <= {2 * signed} and bit_count(twos ^ v_twos) <= {4 * signed}" if signed else ""
+    pairs = left.join(right, (left["key"] == right["key"]) & F.expr(f"u <> v and (u < v or not own){close}"))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _signature(line: Column) -> Column:
+    """ones, twos: 64 parities each, whether the characters, or the pairs of neighbours, of a class occur an odd number of times.
+
+    An edit turns two bits of the first at most, and four of the second.
+    """
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(F.lit(63)))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("ones"), F.lit(0).cast("long").alias("twos"))
+
+    def step(acc: Column, c: Column) -> Column:
+        twos = F.when(acc["last"] < 0, acc["twos"]).otherwise(acc["twos"].bitwiseXOR(bit(acc["last"] * 37 + F.ascii(c))))
+        return F.struct(F.ascii(c).alias("last"), acc["ones"].bitwiseXOR(bit(F.ascii(c))).alias("ones"), twos.alias("twos"))
+
+    return F.aggregate(F.filter(F.split(line, ""), lambda c: c != ""), start, step)
+
+
 def _window(p: Column, n: Column, w: Column, tag: str, line: Column) -> Column:
     """The ways to narrow a stretch that holds one edit: array of (fixed, p, n, w).
 
@@ -245,7 +266,7 @@ def _narrowed(states: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def _narrow(crowd: DataFrame, text: DataFrame, edits: int, chars: int, list_cap: int) -> tuple[DataFrame, DataFrame]:
-    """crowd: id and kind (scheme, and how much shorter the other line is) of the entries of long postings; text: id, rank (the order of first lines), wide.
+    """crowd: id and kind (scheme, and how much shorter the other line is) of the entries of long postings; text: id, rank (the order of first lines), wide, ones and twos (its signature).
 
     Returns pairs u, v still to verify, and links u, v to the first line of settled lists, whose lines are all
     near. A state says where in a line the edits may lie: one stretch with both, or two with one each; all that
@@ -268,7 +289,8 @@ def _narrow(crowd: DataFrame, text: DataFrame, edits: int, chars: int, list_cap:
         done = listed.filter(settled).select("key", "id").join(text.select("id", "rank"), "id")
         first = written(done.groupBy("key").agg(F.min_by("id", "rank").alias("v")), "line-least")
         links.append(written(done.join(first, "key").filter("id <> v").select(F.col("id").alias("u"), "v").distinct(), "line-stars"))
-        pairs.append(written(_met(listed.filter(~settled & (F.col("n") <= list_cap))), "line-narrow-pairs"))
+        short = listed.filter(~settled & (F.col("n") <= list_cap)).join(text.select("id", "ones", "twos"), "id")
+        pairs.append(written(_met(short, edits), "line-narrow-pairs"))
         long = listed.filter(~settled & (F.col("n") > list_cap)).drop("n")
         if long.isEmpty():
             return reduce(DataFrame.unionByName, pairs).distinct(), reduce(DataFrame.unionByName, links).distinct()
@@ -283,15 +305,21 @@ def near_pairs(posts: DataFrame, lines: DataFrame, distinct: DataFrame, edits: i
     """
     listed = written(_listed(posts), "line-listed")
     found = written(_met(listed.filter(F.col("n") <= list_cap)), "line-pairs")
-    crowd = written(listed.filter(F.col("n") > list_cap).select("id", "kind").distinct(), "line-crowd")
+    crowd = written(listed.filter(F.col("n") > list_cap).select("key", "id", "own", "kind", "n"), "line-crowd")
     # the texts of the lines in question alone, fetched once
     asked = found.select(F.col("u").alias("id")).unionByName(found.select(F.col("v").alias("id"))).unionByName(crowd.select("id")).distinct()
     asked = written(distinct.join(asked, "id", "left_semi").select("id", "a", "b", "rank"), "line-asked")
     # up to the bound the hashes go to the lines; beyond it the lines go to the hashes
     sought = F.broadcast(asked) if asked.count() <= BROADCAST_HASHES else asked
     text = written(lines.join(sought, ["a", "b"]).select("id", "rank", "line").dropDuplicates(["id"]), "line-texts")
-    more, links = _narrow(crowd, text.select("id", "rank", _wide(F.col("line")).alias("wide")), edits, chars_per_edit, list_cap)
-    pairs = found.unionByName(more).distinct()
+    # lines of long lists alone are signed
+    signed = text.join(crowd.select("id").distinct(), "id", "left_semi")
+    signed = written(signed.select("id", "rank", _wide(F.col("line")).alias("wide"), _signature(F.col("line")).alias("sig")).select("id", "rank", "wide", "sig.ones", "sig.twos"), "line-signed")
+    wide_cap = list_cap * SIGNED
+    middling = crowd.filter(F.col("n") <= wide_cap).join(signed.select("id", "ones", "twos"), "id")
+    longest = written(crowd.filter(F.col("n") > wide_cap).select("id", "kind").distinct(), "line-longest")
+    more, links = _narrow(longest, signed, edits, chars_per_edit, wide_cap)
+    pairs = found.unionByName(_met(middling, edits)).unionByName(more).distinct()
     sides = pairs.join(text.select(F.col("id").alias("u"), F.col("line").alias("u_line")), "u").join(text.select(F.col("id").alias("v"), F.col("line").alias("v_line")), "v")
     allowed = F.call_function("div", F.least(F.length("u_line"), F.length("v_line")), F.lit(chars_per_edit))
     near = _characters(sides.withColumn("allowed", F.least(allowed, F.lit(edits)))).filter(within_edits(edits, F.col("allowed")))

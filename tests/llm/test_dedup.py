@@ -308,6 +308,20 @@ def test_lines(spark):
         assert r.kept_text == "\n".join(x for n, x in enumerate(lines) if not any(truth.get((r.doc_id, n), (False, False))))
 
 
+def test_signatures_of_near_lines_are_near(spark):
+    rnd = random.Random(21)
+    pairs = []
+    for _ in range(200):
+        a = b = "".join(rnd.choice("abc dé漢") for _ in range(rnd.randrange(10, 60)))
+        for _ in range(k := rnd.randrange(3)):
+            p = rnd.randrange(len(b))
+            b = rnd.choice([b[:p] + b[p + 1 :], b[:p] + "x" + b[p:], b[:p] + "y" + b[p + 1 :]])
+        pairs.append((a, b, k))
+    sig = [line_dedup._signature(F.col(c)).alias(c) for c in "ab"]
+    out = spark.createDataFrame(pairs, "a string, b string, k int").select(*sig, "k").selectExpr("k", "bit_count(a.ones ^ b.ones) as n", "bit_count(a.twos ^ b.twos) as m").collect()
+    assert all(r.n <= 2 * r.k and r.m <= 4 * r.k for r in out) and any(r.n for r in out) and any(r.m > r.n for r in out)
+
+
 def test_lines_keep_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "same line\nx", "i", "g", 0), (2, "same line\ny", "j", "h", 0)], "doc_id long, text string, _id string, _gone string, kept_text int")
     out = {r.doc_id: r for r in line_dedup.without_repeats(docs).collect()}
