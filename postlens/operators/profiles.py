@@ -60,13 +60,16 @@ def fact_flatten(profiles: DataFrame) -> DataFrame:
     return out
 
 
-def read_lines(docs: DataFrame, markdown: bool = False) -> DataFrame:
-    """docs: doc_id, text. Ordered lines; documents with too many lines or characters, or too long a line, are left out whole."""
+def read_lines(docs: DataFrame, markdown: bool = False) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. Ordered lines, and the documents that are turned away whole (doc_id, rejected: lines, characters
+    or line, whichever limit is passed first)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n", -1)
-    ok = (F.size(lines) <= MAX_LINES) & (F.length(text) <= MAX_CHARS) & ~F.exists(lines, lambda x: F.length(x) > MAX_LINE)
-    cut = docs.filter(ok).select("doc_id", F.posexplode(lines).alias("line_no", "text"))
-    return cut.withColumn("text", F.trim(F.regexp_replace("text", r"^\s*#+\s*", "") if markdown else F.col("text")))
+    reason = F.when(F.size(lines) > MAX_LINES, "lines").when(F.length(text) > MAX_CHARS, "characters").when(F.exists(lines, lambda x: F.length(x) > MAX_LINE), "line")
+    judged = docs.withColumn("rejected", reason)
+    cut = judged.filter("rejected is null").select("doc_id", F.posexplode(lines).alias("line_no", "text"))
+    kept = cut.withColumn("text", F.trim(F.regexp_replace("text", r"^\s*#+\s*", "") if markdown else F.col("text")))
+    return kept, judged.filter("rejected is not null").select("doc_id", "rejected")
 
 
 def md_line_kinds(lines: DataFrame) -> DataFrame:

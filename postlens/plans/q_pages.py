@@ -31,16 +31,17 @@ def _events(t: Tables):
     return P.page_events(_pages(t))
 
 
-_CELLS = """select 'a' || (p_partkey % 300) as attachment_url, 's' || (p_partkey % 2) as sheet, row_number() over (partition by p_partkey % 300, p_partkey % 2 order by p_partkey) as row_index,
-    case when p_partkey % 600 < 200 and p_partkey // 600 = 0 then ['Title', 'Unit', '', 'Degree'] else [p_name, p_brand, 'x', case when p_size % 5 = 0 then ' ' else p_type end] end as cells from part"""
+# an attachment is fourteen parts in two sheets, so their number grows with part; two of three have a header
+_CELLS = """select 'a' || (p_partkey // 14) as attachment_url, 's' || (p_partkey % 2) as sheet, row_number() over (partition by p_partkey // 14, p_partkey % 2 order by p_partkey) as row_index,
+    case when p_partkey % 14 < 2 and p_partkey // 14 % 3 < 2 then ['Title', 'Unit', '', 'Degree'] else [p_name, p_brand, 'x', case when p_size % 5 = 0 then ' ' else p_type end] end as cells from part"""
 
 
 def _cells(t: Tables):
     k = F.col("p_partkey")
-    w = Window.partitionBy("attachment_url", "sheet").orderBy("p_partkey")
-    head = (k % 600 < 200) & (F.floor(k / 600) == 0)
-    cells = F.when(head, F.array(*map(F.lit, ("Title", "Unit", "", "Degree")))).otherwise(F.array("p_name", "p_brand", F.lit("x"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_type"))))
-    rows = t.read("part").select("p_partkey", F.format_string("a%d", k % 300).alias("attachment_url"), F.format_string("s%d", k % 2).alias("sheet"), cells.alias("cells"))
+    grid = F.call_function("div", k, F.lit(14))
+    w = Window.partitionBy("attachment_url", "sheet").orderBy("p_partkey")  # seven rows
+    cells = F.when((k % 14 < 2) & (grid % 3 < 2), F.array(*map(F.lit, ("Title", "Unit", "", "Degree")))).otherwise(F.array("p_name", "p_brand", F.lit("x"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_type"))))
+    rows = t.read("part").select("p_partkey", F.format_string("a%d", grid).alias("attachment_url"), F.format_string("s%d", k % 2).alias("sheet"), cells.alias("cells"))
     return rows.withColumn("row_index", F.row_number().over(w)).drop("p_partkey")
 
 
@@ -82,10 +83,14 @@ def src_profiles(t: Tables):
     return p.select("user_id", F.col("basics.name").alias("name"), "mode", F.size("skills").cast("long").alias("n_skills"), F.get("skills", 0)["level"].alias("level"))
 
 
-@query("""with l as (select doc_id, unnest(range(1, len(x) + 1)) - 1 as line_no, unnest(x) as text, len(x) as n, list_max(list_transform(x, lambda s: length(s))) as longest, total from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x, length(coalesce(text, '')) as total from documents))
-    select doc_id, line_no, trim(text) as text from l where n <= 10000 and total <= 500000 and longest <= 10000""")
+@query("""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as x, length(coalesce(text, '')) as total from documents),
+    j as (select *, case when len(x) > 10000 then 'lines' when total > 500000 then 'characters' when list_max(list_transform(x, lambda s: length(s))) > 10000 then 'line' end as rejected from d)
+    select doc_id, unnest(range(1, len(x) + 1)) - 1 as line_no, trim(unnest(x)) as text, null as rejected from j where rejected is null
+    union all select doc_id, null, null, rejected from j where rejected is not null""")
 def src_resume_lines(t: Tables):
-    return profiles.read_lines(t.read("documents").select("doc_id", "text")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
+    """Lines, and a row for each document that is turned away, with the reason."""
+    lines, rejected = profiles.read_lines(t.read("documents").select("doc_id", "text"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text").unionByName(rejected, allowMissingColumns=True)
 
 
 @query("select l_returnflag as flag, count(*) as n, sum(l_orderkey)::bigint as keys from lineitem group by 1")

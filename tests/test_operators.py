@@ -303,6 +303,13 @@ def test_page_events(spark):
     assert {r.kind for r in extract.page_generic_postings(ev, page, ("job",)).collect()} == {"anchor", "page"}
 
 
+def test_resumes_over_a_limit_are_turned_away(spark):
+    texts = ["a\n b ", None, "x" * 10_001, "x\n" * 10_000, ("y" * 9000 + "\n") * 60, "z" * 10_000]
+    lines, rejected = profiles.read_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(map(tuple, rejected.collect())) == [(2, "line"), (3, "lines"), (4, "characters")]
+    assert sorted((r.doc_id, r.line_no, len(r.text)) for r in lines.collect()) == [(0, 0, 1), (0, 1, 1), (1, 0, 0), (5, 0, 10_000)]
+
+
 def test_drafts(spark):
     items = spark.createDataFrame([(1, "a", 1, "adopt"), (1, "a", 2, None), (2, "a", 1, "edit")], "draft_id long, section_id string, pos int, decision string")
     got = {r.draft_id: (r.status, r.pending, r.first_pending) for r in drafts.review(items).collect()}
