@@ -13,7 +13,7 @@ from postlens.lexicon import ZH_MEDICAL
 from postlens.operators import drafts, extract, imports, ingest, intervals, market, matching, postings, profiles, running, subscriptions
 from postlens.plans import catalog
 from postlens.plans.registry import with_tables
-from postlens.sources import pages
+from postlens.sources import pages, sinks
 from postlens.streaming import streams
 from pyspark.sql import functions as F
 
@@ -310,6 +310,21 @@ def test_resumes_over_a_limit_are_turned_away(spark):
     assert sorted((r.doc_id, r.line_no, len(r.text)) for r in lines.collect()) == [(0, 0, 1), (0, 1, 1), (1, 0, 0), (5, 0, 10_000)]
 
 
+def test_an_upsert_rewrites_the_partitions_it_touches(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id as k", "1L as seq", "concat('old ', id) as v")
+    path, keys = f"{tmp_path}/table", ["k"]
+    sinks.upsert_table(rows, path, keys, ["seq"], 50)
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+    before = files()
+    few = spark.createDataFrame([(k, s, f"new {k}") for k, s in [(3, 2), (4, 0), (5, 2), (9999, 1)]], "k long, seq long, v string")
+    for _ in range(2):  # a merge may run again
+        table = sinks.upsert_table(few, path, keys, ["seq"], 50)
+    got = {r.k: r.v for r in table.collect()}
+    assert got == {k: f"old {k}" for k in range(2000)} | {3: "new 3", 5: "new 5", 9999: "new 9999"} and table.columns == ["k", "seq", "v"]
+    same = {f for f, at in files().items() if before.get(f) == at}
+    assert len({os.path.dirname(f) for f in files()} - {os.path.dirname(f) for f in same}) <= 4 and len(same) >= 46
+
+
 def test_drafts(spark):
     items = spark.createDataFrame([(1, "a", 1, "adopt"), (1, "a", 2, None), (2, "a", 1, "edit")], "draft_id long, section_id string, pos int, decision string")
     got = {r.draft_id: (r.status, r.pending, r.first_pending) for r in drafts.review(items).collect()}
