@@ -8,6 +8,7 @@ put together in any order, and a row that arrives twice counts once.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -95,15 +96,20 @@ def stream_sub_scan(jobs: DataFrame, watching: DataFrame, checkpoint: str, targe
     return _append(hits, target, checkpoint, {"notifications": lambda batch: subscriptions.notifications(subscriptions.newest(batch))})
 
 
+#: A distributed store renames in one step; a local one looks first and moves then, so scans of one process take turns.
+_publishing = threading.Lock()
+
+
 def _publish(spark: SparkSession, staged: str, to: str) -> bool:
-    """Moves a folder to a name that must not exist; False if it does. A rename is one step for all who read or rename."""
+    """Moves a folder to a name that must not exist; False if it does."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(staged).toUri(), conf) if path(staged).toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
     none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        files.rename(path(staged), path(to), none)
+        with _publishing:
+            files.rename(path(staged), path(to), none)
     except Exception as e:
         if "FileAlreadyExistsException" not in str(e):
             raise
