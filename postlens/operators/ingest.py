@@ -5,45 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.operators.running import Keep, running
+from postlens.operators.running import Keep, changes, running, same
 
 KEY = ("institution_id", "source_url")
 #: What keeps its first value and what follows the content.
 DIMENSIONS, CONTENT = ("institution_name",), ("source_text_hash", "raw_text", "parser_name")
 
 
-def versioned(log: DataFrame) -> DataFrame:
-    """log with `version`: it counts the changes of the text hash in the order of seq. One shuffle on the identity serves all that follows."""
+def versioned(log: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """log with `version`: it counts the changes of the text hash in the order of seq. One shuffle on the identity serves all that follows.
+
+    With keep a posting's log of any length is cut into segments.
+    """
+    if keep:
+        return changes(log, list(KEY), "seq", "source_text_hash", keep)
     w = Window.partitionBy(*KEY).orderBy("seq")
     changed = ~F.col("source_text_hash").eqNullSafe(F.lag("source_text_hash").over(w)) & (F.row_number().over(w) > 1)
     return log.withColumn("_changed", changed.cast("int")).withColumn("version", F.sum("_changed").over(w)).drop("_changed")
 
 
-def posting_current(log: DataFrame) -> DataFrame:
+def _versions(log: DataFrame, keep: Keep | None) -> DataFrame:
+    """One row a version: its first seq and hash, first_at, last_at. Texts take no part."""
+    slim = versioned(log.select(*KEY, "seq", "source_text_hash", "fetched_at"), keep)
+    each = slim.groupBy(*KEY, "version", "source_text_hash").agg(F.min("seq").alias("seq"), F.min_by("fetched_at", "seq").alias("first_at"), F.max_by("fetched_at", "seq").alias("last_at"))
+    return keep(each, "versions") if keep else each
+
+
+def _with_content(versions: DataFrame, log: DataFrame) -> DataFrame:
+    """versions with the content and dimensions of their first rows: of the log those rows alone are met, spread by seq."""
+    first = log.select(*[F.col(c).alias(f"_k_{c}") for c in (*KEY, "seq", "source_text_hash")], *[c for c in (*CONTENT, *DIMENSIONS) if c != "source_text_hash"])
+    met = versions.join(first, same(versions, first, {c: f"_k_{c}" for c in (*KEY, "seq", "source_text_hash")}))
+    return met.drop(*[c for c in first.columns if c.startswith("_k_")], "seq").dropDuplicates([*KEY, "version"])  # a row may repeat
+
+
+def posting_current(log: DataFrame, keep: Keep | None = None) -> DataFrame:
     """One row an identity: content of the last version's first row, time of the last row, dimensions of the first row ever."""
-    each = versioned(log).groupBy(*KEY, "version").agg(
-        *[F.min_by(c, "seq").alias(c) for c in (*CONTENT, *DIMENSIONS)], F.max_by("fetched_at", "seq").alias("fetched_at")
-    )
+    if keep:
+        ends = _versions(log, keep)
+        most = ends.groupBy(*KEY).agg(F.max("version").alias("_most"))
+        known = most.select(*[F.col(c).alias(f"_m_{c}") for c in KEY], "_most")
+        ends = ends.join(known, same(ends, known, {c: f"_m_{c}" for c in KEY})).filter((F.col("version") == 0) | (F.col("version") == F.col("_most"))).drop(*known.columns)
+        each = _with_content(ends, log).withColumn("fetched_at", F.col("last_at")).drop("first_at", "last_at")
+    else:
+        each = versioned(log).groupBy(*KEY, "version").agg(*[F.min_by(c, "seq").alias(c) for c in (*CONTENT, *DIMENSIONS)], F.max_by("fetched_at", "seq").alias("fetched_at"))
     return each.groupBy(*KEY).agg(
         *[F.max_by(c, "version").alias(c) for c in CONTENT], *[F.min_by(c, "version").alias(c) for c in DIMENSIONS], F.max_by("fetched_at", "version").alias("fetched_at"), F.max("version").cast("long").alias("changes")
     )
 
 
-def posting_snapshots(log: DataFrame) -> DataFrame:
+def posting_snapshots(log: DataFrame, keep: Keep | None = None) -> DataFrame:
     """One row a change: the old content, when it was last seen, when the change was."""
+    if keep:
+        each = _versions(log, keep)
+        # the version behind is met by its number, not by a window over the posting
+        behind = each.select(*[F.col(c).alias(f"_n_{c}") for c in KEY], (F.col("version") - 1).alias("_n_version"), F.col("first_at").alias("captured_at"))
+        old = each.join(behind, same(each, behind, {c: f"_n_{c}" for c in (*KEY, "version")})).drop(*[c for c in behind.columns if c != "captured_at"], "first_at")
+        out = _with_content(old.withColumnRenamed("last_at", "last_seen_at"), log)
+        return out.select(*KEY, "version", *CONTENT, *DIMENSIONS, "last_seen_at", "captured_at")
     each = versioned(log).groupBy(*KEY, "version").agg(
-        *[F.min_by(c, "seq").alias(c) for c in CONTENT], F.max_by("fetched_at", "seq").alias("last_seen_at"), F.min_by("fetched_at", "seq").alias("first_at")
+        *[F.min_by(c, "seq").alias(c) for c in (*CONTENT, *DIMENSIONS)], F.max_by("fetched_at", "seq").alias("last_seen_at"), F.min_by("fetched_at", "seq").alias("first_at")
     )
     w = Window.partitionBy(*KEY).orderBy("version")
     return each.withColumn("captured_at", F.lead("first_at").over(w)).filter(F.col("captured_at").isNotNull()).drop("first_at")
 
 
-def posting_history(log: DataFrame, newest: int = 20) -> DataFrame:
+def posting_history(log: DataFrame, newest: int = 20, keep: Keep | None = None) -> DataFrame:
+    """The newest changes of each posting; tasks send that many each alone."""
     w = Window.partitionBy(*KEY).orderBy(F.desc("version"))
-    return posting_snapshots(log).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= newest)
+    return posting_snapshots(log, keep).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= newest)
 
 
-def posting_new_flag(log: DataFrame) -> DataFrame:
+def posting_new_flag(log: DataFrame, keep: Keep | None = None) -> DataFrame:
+    if keep:
+        return running(log, list(KEY), ["seq"], keep, {"_n": F.lit(1)}).withColumn("is_new", F.col("_n") == 1).drop("_n")
     return log.withColumn("is_new", F.row_number().over(Window.partitionBy(*KEY).orderBy("seq")) == 1)
 
 

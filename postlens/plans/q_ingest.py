@@ -22,22 +22,22 @@ def _epochs(df, *names):
 
 @query(_CUR)
 def posting_current(t: Tables):
-    return _epochs(ingest.posting_current(t.observations), "fetched_at")
+    return _epochs(ingest.posting_current(t.observations, t.keep), "fetched_at")
 
 
 @query(f"select {_K}, version::bigint as version, source_text_hash, raw_text, parser_name, epoch(last_at)::bigint as last_seen_at, epoch(captured)::bigint as captured_at from ({_SNAP})")
 def posting_snapshots(t: Tables):
-    return _epochs(ingest.posting_snapshots(t.observations), "last_seen_at", "captured_at")
+    return _epochs(ingest.posting_snapshots(t.observations, t.keep), "last_seen_at", "captured_at")
 
 
 @query(f"select {_K}, raw_text, row_number() over (partition by {_K} order by version desc) as rank from ({_SNAP}) qualify rank <= 20")
 def posting_history(t: Tables):
-    return ingest.posting_history(t.observations).select("institution_id", "source_url", "raw_text", "rank")
+    return ingest.posting_history(t.observations, keep=t.keep).select("institution_id", "source_url", "raw_text", "rank")
 
 
 @query(f"select {_K}, epoch(fetched_at)::bigint as fetched_at, row_number() over (partition by {_K} order by seq) = 1 as is_new from observations")
 def posting_new_flag(t: Tables):
-    return _epochs(ingest.posting_new_flag(t.observations).select("institution_id", "source_url", "fetched_at", "is_new"), "fetched_at")
+    return _epochs(ingest.posting_new_flag(t.observations.select("institution_id", "source_url", "seq", "fetched_at"), t.keep).select("institution_id", "source_url", "fetched_at", "is_new"), "fetched_at")
 
 
 _OUT = """select run_id, institution_id, coalesce(n, 0) as n_postings, case when e is not null then e when coalesce(n, 0) = 0 then 'zero_output' else 'success' end as outcome

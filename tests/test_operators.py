@@ -126,6 +126,36 @@ def test_long_runs_and_logs_by_segments(spark, keep):
     assert sorted(map(tuple, ingest.health_log(log).collect())) == sorted((i, s, ok, got[i, s]) for i, s, ok in map(tuple, log.collect()))
 
 
+def test_versions_by_segments(spark, keep):
+    """One posting has half of the rows: it stands in many segments, and versions are those of one window. Null hashes and keys included."""
+    rnd = random.Random(11)
+    rows = [((1, "hot") if n % 2 else (None, "u") if n % 40 == 0 else (n % 3, f"u{n % 5}"), rnd.choice(["A", "B", "B", "B", None])) for n in range(600)]
+    log = observations(spark, [(*k, h, f"n{n % 4}") for n, (k, h) in enumerate(rows)])
+    log = log.unionByName(log.filter("seq % 50 = 0"))  # rows that repeat
+    counted, at_key, seen = {}, {}, {}
+    for n, (k, h) in enumerate(rows):
+        at_key[k] = at_key.get(k, 0) + (k in seen and seen[k] != h)
+        seen[k] = h
+        counted[n] = at_key[k]
+    got = ingest.versioned(log, keep).collect()
+    assert len(got) == log.count() and all(r.version == counted[r.seq] for r in got)
+    placed = next(t for p, t in keep.kept.items() if "running-rows" in p)
+    spread = placed.filter("source_url = 'hot'").groupBy("_segment").count().collect()
+    assert len(spread) >= 4 and max(r["count"] for r in spread) < 200
+    same = lambda f: assert_same(f(log.dropDuplicates(["seq"])), f(log, keep=keep))
+    for f in (ingest.posting_current, ingest.posting_snapshots, ingest.posting_history):
+        same(f)
+    once = log.dropDuplicates(["seq"])
+    assert_same(ingest.posting_new_flag(once), ingest.posting_new_flag(once, keep))
+    assert ingest.posting_snapshots(log.limit(0), keep).count() == 0 and ingest.posting_current(log.limit(0), keep).count() == 0
+
+
+def assert_same(a, b):
+    assert sorted(a.columns) == sorted(b.columns)
+    x, y = (sorted(map(tuple, d.select(sorted(a.columns)).collect()), key=str) for d in (a, b))
+    assert x == y
+
+
 def test_references_come_in_pages(spark, keep):
     items = spark.createDataFrame([(1, 5, d % 130) for d in range(400)] + [(1, 6, 3), (2, 5, 9), (2, None, 1)], "user_id long, field_id long, draft_id long")
     pages = {(r.user_id, r.field_id, r.page): (r.n_drafts, r.draft_ids) for r in drafts.field_references(items, keep, page=50).collect()}
