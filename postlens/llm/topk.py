@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 SCALE, K = 1024, 10
-BUCKETS, CHUNK_ROWS, SEED_ROWS = 64, 8192, 2048
-#: Of a block's queries, as doubles.
+BUCKETS, CHUNK_ROWS, SEED_ROWS = 64, 65_536, 2048
+#: Of a block's queries and of a chunk's vectors, as doubles. A query is sent to each chunk that its block reaches and a
+#: vector to each block that reaches it, so both have one size.
 BLOCK_BYTES = 1 << 25
 #: From this local cosine on a bucket prunes by coordinates too, with so many of them.
 COORDINATE_FROM, COORDINATES = 0.6, 8
@@ -138,7 +139,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
     # buckets by descending norm; one row a bucket and dimension
     above = F.filter(F.lit(summed.e) if summed.e else F.expr("cast(array() as array<double>)"), lambda e: F.col("norm") <= e)
     data = data.withColumn("bucket", F.size(above))
-    shape = data.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"), F.max("norm").alias("top"))
+    chunk_rows = F.least(F.lit(CHUNK_ROWS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))).cast("int")))
+    shape = data.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"), F.max("norm").alias("top"))
     shape = written(shape, "topk-shape")
 
     queries = data.filter(is_query)
