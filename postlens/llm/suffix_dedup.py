@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -264,6 +264,17 @@ def _repeated(suffixes: DataFrame, rows: int) -> DataFrame:
     return found.filter("repeats").unionByName(straddling).select("anchor", "hull", "at")
 
 
+def _stretches(windows: DataFrame, length: int) -> DataFrame:
+    """windows: anchor, hull, at. Returns anchor, hull, a, b: runs of windows that overlap or touch, from the first one's start to the last one's.
+
+    The window function needs the partitioning that the join by hull needs anyway.
+    """
+    w = Window.partitionBy("anchor", "hull").orderBy("at")
+    opens = (F.col("at") - F.lag("at").over(w) > length).cast("long")
+    runs = windows.withColumn("opens", opens).withColumn("run", F.coalesce(F.sum("opens").over(w), F.lit(0)))
+    return runs.groupBy("anchor", "hull", "run").agg(F.min("at").alias("a"), F.max("at").alias("b")).drop("run")
+
+
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     """Bytes and maximal runs that spans (start, stop) cover, and the digest of the rest."""
     removed, count, end, rest = 0, 0, 0, hashlib.sha256()
@@ -311,12 +322,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     mixed = hulls.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*core)
     spelt = written(hulls.join(mixed, core, "left_semi").select("r.*", "anchor", "hull"), "suffix-spelt")
     windows = spelt.agg(F.coalesce(F.sum(F.col("end") - F.col("begin") + 1), F.lit(0)).alias("n")).first().n
-    again = _repeated(_suffixes(spelt, own, length), windows)
+    again = _stretches(_repeated(_suffixes(spelt, own, length), windows), length)
     size = F.col("end") - F.col("begin")
     inside = (
         live.join(hulls.filter("n > 1").select("anchor", "hull"), ["anchor", "hull"])
         .select("anchor", "context", F.col("offset").alias("a"), (F.col("offset") + size).alias("b"))
-        .unionByName(live.join(again, ["anchor", "hull"]).select("anchor", "context", (F.col("offset") + F.col("at")).alias("a"), (F.col("offset") + F.col("at")).alias("b")))
+        .unionByName(live.join(again, ["anchor", "hull"]).select("anchor", "context", (F.col("offset") + F.col("a")).alias("a"), (F.col("offset") + F.col("b")).alias("b")))
     )
     met = met.filter("weight = 1")
     whole = met.filter("n > 1").select("t", "first", (F.col("last") + length).alias("stop"))
