@@ -61,9 +61,9 @@ def posting_snapshots(log: DataFrame, keep: Keep | None = None) -> DataFrame:
         behind = each.select(*[F.col(c).alias(f"_n_{c}") for c in KEY], (F.col("version") - 1).alias("_n_version"), F.col("first_at").alias("captured_at"))
         old = each.join(behind, same(each, behind, {c: f"_n_{c}" for c in (*KEY, "version")})).drop(*[c for c in behind.columns if c != "captured_at"], "first_at")
         out = _with_content(old.withColumnRenamed("last_at", "last_seen_at"), log)
-        return out.select(*KEY, "version", *CONTENT, *DIMENSIONS, "last_seen_at", "captured_at")
+        return out.select(*KEY, "version", *CONTENT, "last_seen_at", "captured_at")
     each = versioned(log).groupBy(*KEY, "version").agg(
-        *[F.min_by(c, "seq").alias(c) for c in (*CONTENT, *DIMENSIONS)], F.max_by("fetched_at", "seq").alias("last_seen_at"), F.min_by("fetched_at", "seq").alias("first_at")
+        *[F.min_by(c, "seq").alias(c) for c in CONTENT], F.max_by("fetched_at", "seq").alias("last_seen_at"), F.min_by("fetched_at", "seq").alias("first_at")
     )
     w = Window.partitionBy(*KEY).orderBy("version")
     return each.withColumn("captured_at", F.lead("first_at").over(w)).filter(F.col("captured_at").isNotNull()).drop("first_at")
