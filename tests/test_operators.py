@@ -485,3 +485,10 @@ def test_all_drafts_candidates_and_targets(spark):
         both(spark, name)
     rows, db = both(spark, "run_outcomes")
     assert {r["institution_id"] for r in rows} == {i for (i,) in db.sql("select distinct user_id from events").fetchall()}
+
+
+def test_candidates_are_all_entries(spark):
+    rows, db = both(spark, "overlap_new_item")
+    pairs, _ = both(spark, "overlap_pairs")
+    assert {(r["left_id"], r["right_id"]) for r in rows} == {p for r in pairs for p in ((r["left_id"], r["right_id"]), (r["right_id"], r["left_id"]))}
+    assert rows
