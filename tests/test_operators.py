@@ -492,3 +492,16 @@ def test_candidates_are_all_entries(spark):
     pairs, _ = both(spark, "overlap_pairs")
     assert {(r["left_id"], r["right_id"]) for r in rows} == {p for r in pairs for p in ((r["left_id"], r["right_id"]), (r["right_id"], r["left_id"]))}
     assert rows
+
+
+@pytest.mark.parametrize("name", ["page_article_lines", "page_generic_postings"])
+def test_references_cut_before_their_semicolon(spark, tmp_path, name):
+    texts = ["a &amp;&amp", "b &quot", "c &#39s &#39&#39", "d &#x27", "e &am", "f &amp;lt &amplt", "g &lt;&gt &copy &middot"]
+    html = [f"<html><head><title>{x}</title></head><body><p>{x} y</p><div>{x}</div><p>z</p></body></html>" for x in texts]
+    spark.createDataFrame([(n, f"https://x.example/{n}", h) for n, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    asked = db.sql(catalog.SQL[name])
+    mine = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select(*asked.columns).collect()]
+    assert sorted(mine, key=str) == sorted(asked.fetchall(), key=str)
+    assert "a &&" in {r[1] for r in mine} and "b \"" in {r[1] for r in mine}
