@@ -505,3 +505,18 @@ def test_references_cut_before_their_semicolon(spark, tmp_path, name):
     mine = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select(*asked.columns).collect()]
     assert sorted(mine, key=str) == sorted(asked.fetchall(), key=str)
     assert "a &&" in {r[1] for r in mine} and "b \"" in {r[1] for r in mine}
+
+
+def test_word_searches_equal_their_patterns(spark):
+    lines = ["Doi 10", "x GCP", "cet4", "CET-6 a", "n3", "技能：R", "x 技能", "技能 x", "获奖", "熟悉 SAS", "a 熟悉", "plain", "医院", "二等奖", *imports.NEGATED_WORDS, "未曾", "无相关", "未知"]
+    rows = spark.createDataFrame([(x,) for x in lines], "s string")
+    s = F.col("s")
+    got = rows.select("s", imports.standalone(s).alias("a"), s.rlike(imports.STANDALONE).alias("b"), T.has(s, imports.NEGATED_WORDS).alias("c"), s.rlike(imports.NEGATED).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got) and {r.a for r in got} == {r.c for r in got} == {True, False}
+
+
+def test_classes_and_skills_are_compiled(spark):
+    rows = spark.createDataFrame([("证书\n无证书，熟悉SPSS；不会Python,R x", None), ("护士资格", "skills"), ("计划 护士资格证", "certificates")], "text string, hint string")
+    out = rows.select(imports.block_classify(F.col("text"), F.col("hint")).alias("c"), imports.block_skills(F.col("text")).alias("s"))
+    assert [(r.c, r.s) for r in out.collect()] == [(["certificates"], ["SPSS", "R语言"]), (["certificates"], []), ([], [])]
+    assert "array_compact" not in (plan := out._jdf.queryExecution().analyzed().toString()) and "array_except" in plan
