@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, kind string, pos int, text string, href string, container string"
+_ARROW = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("pos", pa.int32()), ("text", pa.string()), ("href", pa.string()), ("container", pa.string())])
+#: Characters that a task gathers before it sends a batch, and those that an event counts for beside its text.
+OUT_CHARS, EACH = 1 << 21, 100
 _BLOCKS = {"p", "div", "li", "br", "tr", "td", "th", "h1", "h2", "h3", "h4", "article", "section", "ul", "ol", "table", "title"}
 _KINDS = {"a", "li", "h1", "td", "tr"}
 
@@ -69,21 +72,34 @@ class _Events(HTMLParser):
                 self.rows[at][2] += data
 
 
-def page_events(pages: DataFrame) -> DataFrame:
-    """pages: page_id, html. Broken markup is read as far as it goes; null pages have no events."""
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page_id, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist(), strict=True):
+
+def page_events(pages: DataFrame, most: int = OUT_CHARS) -> DataFrame:
+    """pages: page_id, html. Broken markup is read as far as it goes; null pages have no events.
+
+    A task holds one page's events and some `most` characters of others, however many pages a batch has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for page_id, html in zip(batch.column(0), batch.column(1), strict=True):
                 parser = _Events()
-                parser.feed(html or "")
+                parser.feed(html.as_py() or "")
                 parser.close()
                 parser._flush()
-                rows += [(page_id, k, pos, " ".join(text.split()), href, box) for k, pos, text, href, box in parser.rows]
-            yield pd.DataFrame(rows, columns=["page_id", "kind", "pos", "text", "href", "container"])
-
-    return pages.filter("page_id is not null").select("page_id", "html").mapInPandas(run, SCHEMA)
+                for k, pos, text, href, box in parser.rows:
+                    rows.append((page_id.as_py(), k, pos, " ".join(text.split()), href, box))
+                    size += len(rows[-1][3]) + EACH
+                    if size >= most:
+                        yield _packed(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _packed(rows)
+
+    return pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, SCHEMA)
 
 
 def read_pages(pages: DataFrame, limits: dict[str, int], default: int = 30, site: str = "site") -> DataFrame:

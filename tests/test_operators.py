@@ -520,3 +520,10 @@ def test_classes_and_skills_are_compiled(spark):
     out = rows.select(imports.block_classify(F.col("text"), F.col("hint")).alias("c"), imports.block_skills(F.col("text")).alias("s"))
     assert [(r.c, r.s) for r in out.collect()] == [(["certificates"], ["SPSS", "R语言"]), (["certificates"], []), ([], [])]
     assert "array_compact" not in (plan := out._jdf.queryExecution().analyzed().toString()) and "array_except" in plan
+
+
+def test_page_events_leave_in_bounded_batches(spark):
+    html = "<ul>" + "".join(f"<li><a href='/{n}'>job {n}</a></li>" for n in range(40)) + "</ul>"
+    given = spark.createDataFrame([(n, html if n else None) for n in range(5)], "page_id long, html string")
+    whole, small = pages.page_events(given), pages.page_events(given, most=500)
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str) and whole.count() == 4 * 120
