@@ -132,6 +132,9 @@ def _score(docs: DataFrame, model: dict[int, float], named: str) -> DataFrame:
     bias = model.get(INTERCEPT, NO_MODEL)
     sparse = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(table).astype(np.int32), table[np.flatnonzero(table)].astype(np.float64)))
     names = docs.columns
+    # a text that is a string already goes to Python once
+    given = isinstance(docs.select("text").schema[0].dataType, T.StringType)
+    place = [c.lower() for c in names].index("text") if given else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values = sparse.value
@@ -139,15 +142,15 @@ def _score(docs: DataFrame, model: dict[int, float], named: str) -> DataFrame:
         w[at] = values
         for batch in batches:
             scores = []
-            for text in batch.column(0):
+            for text in batch.column(place):
                 places = features(text.as_py() or "")
                 hit = np.unique(places[w[places] != 0])
                 scores.append(1 / (1 + np.exp(-np.clip(w[hit].sum() + bias, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], schema.names)
 
     # numbers for names: mapInArrow takes no names with dots
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], T.StructField("score", T.DoubleType())])
-    plain = docs.select(F.col("text").cast("string").alias("read"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+    plain = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], *([] if given else [F.col("text").cast("string").alias("read")]))
     return plain.mapInArrow(run, schema).toDF(*names, named)
 
 

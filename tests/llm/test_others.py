@@ -452,3 +452,12 @@ def test_chat_finds_rewritten_history(spark):
     out = {r.conv_id: r for r in chat.format_conversations(df, forgetful).collect()}
     assert out[1].rewritten_at == 1 and not out[1].loss_spans and out[2].rewritten_at is None and len(out[2].turn_spans) == 2
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_toxicity_sends_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "bad word", "en"), (2, None, "de"), (3, "", None)], "doc_id long, text string, lang string")
+    model = {int(p): 0.5 for p in toxicity.features("bad word")} | {toxicity.INTERCEPT: -1.0}
+    out = toxicity.score(docs, model)
+    assert "read" not in out._jdf.queryExecution().analyzed().toString()
+    binary = toxicity.score(docs.withColumn("text", F.col("text").cast("binary")), model)
+    assert {r.doc_id: r.score for r in out.collect()} == {r.doc_id: r.score for r in binary.collect()} and out.columns == [*docs.columns, "score"]
