@@ -174,12 +174,13 @@ def page_images(events: DataFrame, pages: DataFrame, most: int = IMAGES) -> Data
 def assemble_posting(parsed: DataFrame, lex: Lexicon = ZH_MEDICAL, duties: str = "岗位职责：", needs: str = "任职要求") -> DataFrame:
     """parsed: title, body, institution_type, region, posted_at and more columns; adds the derived fields of a posting."""
     raw = T.txt_normalize(F.concat_ws("\n", "title", "body"))
-    asked = T.txt_requirements_simple(F.col("body"), lex)
+    # the clauses are cut once for both of their uses
+    asked = T.let(T.txt_requirements_simple(F.col("body"), lex), lambda a: F.when(F.size(a) > 0, F.array_join(a, "；")))
     before = F.trim(F.replace(F.substring_index("body", needs, 1), F.lit(duties), F.lit("")))
     return parsed.withColumn("raw_text", raw).withColumns(
         {
             "job_category": T.txt_category(F.col("title"), F.col("body"), lex), "education": T.txt_education(F.col("raw_text"), lex), "profession": T.txt_profession(F.col("raw_text"), lex),
-            "tags": T.txt_tags(F.col("title"), F.col("body"), F.col("institution_type"), F.col("region"), lex), "requirements": F.when(F.size(asked) > 0, F.array_join(asked, "；")).otherwise(F.col("body")),
-            "responsibilities": before, "source_text_hash": T.txt_hash(F.col("raw_text")), "confidence": T.txt_confidence(F.col("raw_text"), F.col("title"), lex),
+            "tags": T.txt_tags(F.col("title"), F.col("body"), F.col("institution_type"), F.col("region"), lex), "requirements": F.coalesce(asked, "body"),
+            "responsibilities": before, "source_text_hash": T.txt_hash(F.col("raw_text")), "confidence": T.txt_confidence(F.col("raw_text"), F.col("title"), lex, normal=True),
         }
     )
